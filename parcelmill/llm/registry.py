@@ -1,11 +1,12 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op04_substring, op09_secrets, op10_chat
+from . import op04_substring, op06_packing, op09_secrets, op10_chat
 
 
 def queries():
     return {
         "op4_substring": op04_substring.op4_substring,
+        "op6_packing": op06_packing.op6_packing,
         "op9_secrets": op09_secrets.op9_secrets,
         "op10_chat": op10_chat.op10_chat,
     }
