@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op03_toxicity, op04_substring, op06_packing, op09_secrets, op10_chat
+from . import op03_toxicity, op04_substring, op06_packing, op07_winnow, op09_secrets, op10_chat
 
 
 def queries():
@@ -8,10 +8,11 @@ def queries():
         "op3_toxicity": op03_toxicity.op3_toxicity,
         "op4_substring": op04_substring.op4_substring,
         "op6_packing": op06_packing.op6_packing,
+        "op7_winnow": op07_winnow.op7_winnow,
         "op9_secrets": op09_secrets.op9_secrets,
         "op10_chat": op10_chat.op10_chat,
     }
 
 
 def oracle_sql():
-    return {"op10_chat": op10_chat.SQL}
+    return {"op7_winnow": op07_winnow.SQL, "op10_chat": op10_chat.SQL}
