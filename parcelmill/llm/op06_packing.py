@@ -35,7 +35,7 @@ from .common import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-MEMO = 300_000
+MEMO = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED = PIECES + ", part int, place long"
 RESULT = PIECES + ", sequence_id long, offset long"
@@ -51,7 +51,10 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
+        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():  # a letter and a sign never share a token
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
         if len(self) >= MEMO:
             for old in list(self)[MEMO // 4 :]:  # the first chunks met are mostly frequent ones
                 del self[old]
@@ -65,6 +68,16 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python worker, kept over its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -75,7 +88,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_i
     """One row per piece: where it starts in its document, its length and the digest of its ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         close = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, ids = [], []
