@@ -101,7 +101,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM
         # Words of the documents with a hit only; their places are bounded by their length.
         near = at.limit(broadcast_rows + 1).count() <= broadcast_rows
         same = (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
-        hit_docs = docs.join(F.broadcast(at) if near else at, same).dropDuplicates(["row_key", "doc_id"]).select("row_key", "doc_id", "places", words(F.col("text")).alias("w"))
+        hit_docs = docs.join(F.broadcast(at) if near else at, same).select("row_key", "doc_id", "places", words(F.col("text")).alias("w"))
         # Windows from ``place`` on share the least hash as long as the gram stays in them: s at most.
         starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (s - 1)))))
         texts = let(F.struct("w", starts.alias("s")), lambda x: F.transform(F.filter(x["s"], lambda i: i + (n - 1) <= F.size(x["w"])), lambda i: F.struct(i.alias("start"), spelled(x["w"], i, n).alias("window"))))

@@ -1,10 +1,11 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op03_toxicity, op04_substring, op06_packing, op07_winnow, op09_secrets, op10_chat
+from . import op01_rules, op03_toxicity, op04_substring, op06_packing, op07_winnow, op09_secrets, op10_chat
 
 
 def queries():
     return {
+        "op1_rules": op01_rules.op1_rules,
         "op3_toxicity": op03_toxicity.op3_toxicity,
         "op4_substring": op04_substring.op4_substring,
         "op6_packing": op06_packing.op6_packing,
