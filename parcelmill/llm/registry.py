@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op01_rules, op03_toxicity, op04_substring, op06_packing, op07_winnow, op09_secrets, op10_chat
+from . import op01_rules, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op09_secrets, op10_chat
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_rules": op01_rules.op1_rules,
         "op3_toxicity": op03_toxicity.op3_toxicity,
         "op4_substring": op04_substring.op4_substring,
+        "op5_suffix": op05_suffix.op5_suffix,
         "op6_packing": op06_packing.op6_packing,
         "op7_winnow": op07_winnow.op7_winnow,
         "op9_secrets": op09_secrets.op9_secrets,
