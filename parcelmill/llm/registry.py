@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op01_rules, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op09_secrets, op10_chat
+from . import op01_rules, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op5_suffix": op05_suffix.op5_suffix,
         "op6_packing": op06_packing.op6_packing,
         "op7_winnow": op07_winnow.op7_winnow,
+        "op8_setsketch": op08_setsketch.op8_setsketch,
         "op9_secrets": op09_secrets.op9_secrets,
         "op10_chat": op10_chat.op10_chat,
     }
