@@ -1,11 +1,12 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op01_rules, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat
+from . import op01_rules, op02_mixing, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat
 
 
 def queries():
     return {
         "op1_rules": op01_rules.op1_rules,
+        "op2_mixing": op02_mixing.op2_mixing,
         "op3_toxicity": op03_toxicity.op3_toxicity,
         "op4_substring": op04_substring.op4_substring,
         "op5_suffix": op05_suffix.op5_suffix,
