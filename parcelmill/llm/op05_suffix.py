@@ -45,7 +45,7 @@ LENGTH = 100
 GRAM = 24
 SPREAD = 28
 BYTES_PER_CELL = 8
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 NO_ID = -(1 << 63)
 
 
@@ -84,7 +84,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, counts: sketch.Sketch, lengt
     # Equal neighbours of one rank may belong to two documents.
     doc_edge = np.searchsorted(offsets, first, "right") != np.searchsorted(offsets, last, "right")
     assert not doc_edge.any()
-    return rank[first] if len(first) else none.astype(K.U), first, last
+    return (rank[first] if len(first) else none.astype(K.U)), first, last
+
+
+def _bucket(hashes: np.ndarray, shift: int) -> np.ndarray:
+    """32 bits of a gram's hash, the same ones from the hash (shift 12) and from its rank (shift 8)."""
+    return ((hashes >> K.U(shift)) & K.U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,29 +152,48 @@ def previous_factors(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-SEGMENTS = "gram long, h1 long, h2 long, doc_id long, row_key long, first int, body binary"
+SEGMENTS = "gram int, doc_id long, row_key int, first int, body binary"
 _NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
-KEPT = "row_key long, doc_id long, first int, last int"
+KEPT = "row_key int, doc_id long, first int, last int"
+
+
+def _sizes(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all bodies, one after the other, and where each begins (one more at the end)."""
+    at = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1 + bodies.offset)[bodies.offset :].astype(np.int64)
+    return np.frombuffer(bodies.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _earliest(cols: list[np.ndarray]) -> np.ndarray:
-    """Rows that are the earliest (doc_id, row_key, first) of their (h1, h2)."""
-    _, h1, h2, doc, key, first = cols
+def _earliest(doc: np.ndarray, key: np.ndarray, first: np.ndarray, bodies: pa.Array) -> np.ndarray:
+    """Rows that are the earliest (doc_id, row_key, first) of their body, by 128 bits of hash."""
+    data, at = _sizes(bodies)
+    h1, h2 = (K._ROLL[7 + seed].spans(K._ROLL[7 + seed].prefix(K._BYTES[seed][data]), at[:-1], at[1:]) for seed in (0, 1))
     order = np.lexsort((first, key, doc, h2, h1))
     new = np.ones(len(order), bool)
     new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
     return order[new]
 
 
-def _unmatched(cols: list[np.ndarray], bodies: pa.Array, length: int) -> pa.RecordBatch | None:
+def _unmatched(gram: np.ndarray, doc: np.ndarray, key: np.ndarray, first: np.ndarray, bodies: pa.Array, length: int) -> Iterator[pa.RecordBatch]:
     """Runs of strings with no earlier match, for whole buckets."""
-    pick = _earliest(cols)
-    pick = pick[np.lexsort((cols[5][pick], cols[4][pick], cols[3][pick]))]  # text order
+    pick = _earliest(doc, key, first, bodies)
+    # A bucket's only segment has no earlier match but in itself, for which its gram must come twice.
+    data, at = _sizes(bodies.take(pa.array(pick)))
+    seg = np.repeat(np.arange(len(pick)), np.diff(at))
+    grams = _bucket(K._ROLL[5].windows(K._ROLL[5].prefix(K._BYTES[0][data]), _shape(length)[0]), 12)
+    same = grams == gram[pick][seg[: len(grams)]]
+    _, of, many = np.unique(gram[pick], return_inverse=True, return_counts=True)
+    alone = (many[of] == 1) & (np.bincount(seg[: len(grams)][same], minlength=len(pick)) < 2)
+    lone = pick[alone]
+    if len(lone):
+        last = first[lone] + np.diff(at)[alone] - length
+        yield pa.RecordBatch.from_arrays([pa.array(key[lone]), pa.array(doc[lone]), pa.array(first[lone]), pa.array(last.astype(np.int32))], ["row_key", "doc_id", "first", "last"])
+    pick = pick[~alone]
+    if not len(pick):
+        return
+    pick = pick[np.lexsort((first[pick], key[pick], doc[pick]))]  # text order
     bodies = bodies.take(pa.array(pick))
-    sizes = np.diff(np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1 + bodies.offset)[bodies.offset :]).astype(np.int64)
-    start = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(bodies.buffers()[2], np.uint8)
-    raw = raw[np.frombuffer(bodies.buffers()[1], np.int32, 1 + bodies.offset)[bodies.offset] :][: int(sizes.sum())]
+    raw, start = _sizes(bodies)
+    sizes, start = np.diff(start), start[:-1]
     order, common = suffix_order(raw, length)
     # Suffixes that would run from one segment into the next aren't strings of the text.
     room = np.repeat(start + sizes, sizes)[: len(order)] - np.arange(len(order))
@@ -190,11 +214,9 @@ def _unmatched(cols: list[np.ndarray], bodies: pa.Array, length: int) -> pa.Reco
     edge[start] = True
     begin = np.flatnonzero(free[:-1] & (edge[:-1] | ~np.concatenate([[False], free[:-2]])))
     stop = np.flatnonzero(free[:-1] & (edge[1:] | ~free[1:]))
-    if not len(begin):
-        return None
     of = seg[begin]
-    base = cols[5][pick][of] - start[of]
-    return pa.RecordBatch.from_arrays([pa.array(cols[4][pick][of]), pa.array(cols[3][pick][of]), pa.array((begin + base).astype(np.int32)), pa.array((stop + base).astype(np.int32))], ["row_key", "doc_id", "first", "last"])
+    base = first[pick][of] - start[of]
+    yield pa.RecordBatch.from_arrays([pa.array(key[pick][of]), pa.array(doc[pick][of]), pa.array((begin + base).astype(np.int32)), pa.array((stop + base).astype(np.int32))], ["row_key", "doc_id", "first", "last"])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -205,7 +227,8 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
     request, the kept bytes as ``kept``)."""
     gram, spread = _shape(length)
     spark = docs.sparkSession
-    docs = with_key(docs)
+    # 32 bits tell rows of one doc_id apart.
+    docs = with_key(docs).select("doc_id", "text", F.hash("row_key").alias("short_key"))
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, data, offsets in K.blocks(batch):
@@ -223,24 +246,20 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
         size = 0
 
         def merged() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate([h[0][k] for h in held]) for k in range(6)]
+            gram, doc, key, first = (np.concatenate([h[0][k] for h in held]) for k in range(4))
             bodies = pa.concat_arrays([h[1] for h in held])
-            pick = _earliest(cols)
+            pick = _earliest(doc, key, first, bodies)
             for k in range(0, len(pick), 20_000):
                 p = pick[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[p]) for c in cols[:5]), pa.array(cols[5][p].astype(np.int32)), bodies.take(pa.array(p))], _NAMES)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[p]) for c in (gram, doc, key, first)), bodies.take(pa.array(p))], _NAMES)
 
         for batch in batches:
-            keys = batch.column("row_key").to_numpy(zero_copy_only=False)
+            keys = batch.column("short_key").to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for row, data, offsets in K.blocks(batch):
                 rarest, first, last = segments(data, offsets, shared.value, length)
                 if not len(first):
                     continue
-                pair = []
-                for seed in (0, 1):
-                    roll = K._ROLL[7 + seed]
-                    pair.append(roll.spans(roll.prefix(K._BYTES[seed][data]), first, last + length).view(np.int64))
                 doc = np.searchsorted(offsets, first, "right") - 1
                 ends = np.cumsum(last + length - first)
                 body = np.empty(int(ends[-1]), np.uint8)
@@ -248,9 +267,7 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
                 np.take(data, src, out=body)
                 place = np.concatenate([[0], ends]).astype(np.int32)
                 bodies = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(place.tobytes()), pa.py_buffer(body)])
-                cols = [rarest.view(np.int64), *pair, ids[row + doc], keys[row + doc], first - offsets[doc]]
-                pick = _earliest(cols)
-                held.append(([c[pick] for c in cols], bodies.take(pa.array(pick))))
+                held.append(([_bucket(rarest, 8), ids[row + doc], keys[row + doc], (first - offsets[doc]).astype(np.int32)], bodies))
                 size += len(body)
                 if size >= 16 * CHUNK:
                     yield from merged()
@@ -264,10 +281,7 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
 
         def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             whole = whole.combine_chunks()
-            cols = [whole.column(c).to_numpy().astype(np.int64) for c in _NAMES[:6]]
-            out = _unmatched(cols, whole.column("body").chunk(0), length)
-            if out is not None:
-                yield out
+            yield from _unmatched(*(whole.column(c).to_numpy() for c in _NAMES[:4]), whole.column("body").chunk(0), length)
 
         for batch in batches:
             held.append(batch)
@@ -315,7 +329,7 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
                 cols = [ids.slice(row, n), pa.array(np.diff(offsets)), pa.array(lost.astype(np.int64)), pa.array(runs.astype(np.int64)), pa.array([x[0] for x in out])]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([x[1] for x in out], pa.binary())] * with_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes)
 
-    same = (F.col("row_key") == F.col("key")) & (F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long")) == F.col("id"))
+    same = (F.col("short_key") == F.col("key")) & (F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long")) == F.col("id"))
     joined = docs.join(kept.hint("shuffle_hash"), same, "left")
     return joined.select("doc_id", "text", "free").mapInArrow(settle, RESULT + ", kept binary" * with_bytes)
 
