@@ -14,16 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a folder of this machine used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    folder of this machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        set_dir = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        set_dir = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(set_dir or Path(tempfile.mkdtemp(prefix="parcelmill-")).as_uri())
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the copy."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

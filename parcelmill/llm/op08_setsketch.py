@@ -14,10 +14,11 @@ similarity of their full sets is 75 % or more.
    below the threshold (by ``SLACK``, over ten standard deviations).
 5. *Verification.*  Candidates are compared on their full sets, read from their texts.
 
-Within a bucket of a band nothing is paired with all: first each class meets only the smallest class of its
-buckets (a star), and links make components.  What then remains of a bucket in several components is
-compared further, but only where the distances to a leader that are already known leave a
-link possible: Jaccard distance is a metric, so d(x, y) >= d(x, leader) - d(y, leader).
+Within a bucket of a band nothing is paired with all: first each class meets only the smallest class (the
+head) of its buckets, a star, and links make components.  What a bucket then still holds outside
+its head's component is compared by its *delta* to the head, the shingles not shared with it.  Two sets
+differ by at least both deltas less what the deltas can share, and tokens that no other delta of the head has can't
+be shared.  This exact bound leaves the pairs that may still be linked, which are verified on their texts.
 No partner is capped.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, are linked with nothing
@@ -184,6 +185,63 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(100 * F.col("inter") >= PERCENT * F.col("total")).select("x", "y")
 
 
+DELTAS = "head long, rep long, size long, tokens array<long>"
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a set and its head's set do not share."""
+    cached: dict[int, np.ndarray] = {}
+
+    def form(key: int, text: str) -> np.ndarray:
+        if key not in cached:
+            if len(cached) >= 256:
+                cached.clear()
+            raw = np.frombuffer(text.encode(), np.uint8)
+            cached[key] = shingle_sets(raw, np.array([0, len(raw)]))[0]
+        return cached[key]
+
+    for batch in batches:
+        keys, sizes, found = [], [], []
+        for head, rep, th, tx in zip(batch.column("head").to_pylist(), batch.column("rep").to_pylist(), batch.column("th"), batch.column("tx")):
+            own = form(rep, tx.as_py())
+            keys.append((head, rep))
+            sizes.append(len(own))
+            found.append(np.setxor1d(own, form(head, th.as_py()), assume_unique=True).view(np.int64))
+        if keys:
+            at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(sizes, pa.int64()), lists], ["head", "rep", "size", "tokens"])
+
+
+def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (x, y) that meet in a bucket and may still be linked, x being outside its head's component.
+
+    With m = |x - head| + |head - x| (the delta) and r its tokens that some other delta of the head
+    shares, |x - y| + |y - x| >= m_x + m_y - 2 min(r_x, r_y), and a link needs that to be at most
+    (|x| + |y|) (1 - t) / (1 + t).  So b_x + a_y and a_x + b_y must both not be positive, where
+    b = m - size * share and a = b - 2 r: each side is first cut by the other's least b.
+    """
+    open_heads = members.where("g <> g_head").select("head").distinct()
+    members = cut(members.join(open_heads, "head", "left_semi"))
+    pairs = members.select("head", "rep")
+    pairs = pairs.join(texts.select("rep", F.col("text").alias("tx")), "rep").join(texts.select(F.col("rep").alias("head"), F.col("text").alias("th")), "head")
+    deltas = cut(pairs.mapInArrow(_deltas, DELTAS))
+    lone = deltas.select("head", "rep", F.explode("tokens").alias("token")).groupBy("head", "token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    lone = lone.where("n = 1").groupBy("head", "rep").agg(F.count(F.lit(1)).alias("own"))
+    share = (100 - PERCENT) / (100 + PERCENT)
+    m = F.size("tokens")
+    info = deltas.select("head", "rep", m.alias("m"), (m - F.col("size") * share).alias("b")).join(lone, ["head", "rep"], "left")
+    info = info.select("head", "rep", "b", (F.col("b") - 2 * (F.col("m") - F.coalesce("own", F.lit(0)))).alias("a"))
+    info = cut(info.join(members, ["head", "rep"]))
+    x, close = info.where("g <> g_head"), F.lit(1e-6)
+    y = info.join(x.groupBy("head").agg(F.min("b").alias("least")), "head").where(F.col("a") + F.col("least") <= close)
+    x = x.join(y.groupBy("head").agg(F.min("b").alias("least")), "head").where(F.col("a") + F.col("least") <= close)
+    x = x.select("head", F.col("rep").alias("x"), F.col("a").alias("ax"), F.col("b").alias("bx"), F.col("g").alias("gx"))
+    y = y.select(F.col("head").alias("on_head"), F.col("rep").alias("y"), F.col("a").alias("ay"), F.col("b").alias("by"), F.col("g").alias("gy"))
+    met = x.join(y, (F.col("head") == F.col("on_head")) & (F.col("gx") != F.col("gy")) & (F.col("bx") + F.col("ay") <= close) & (F.col("ax") + F.col("by") <= close))
+    return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``links``: the smallest node reachable.  Alternates large-star and
     small-star steps, which leave each node pointing at its component's least in O(log^2 n) rounds."""
@@ -236,19 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     known = cut(known.unionByName(verified(apart(pairs), texts)))
     group = components(linked(known))
-    # Buckets that still hold several components.  Whoever is not in the head's component was compared with
-    # the head, and its distance bounds that to all others whose distance is known.
-    to_head = known.select(F.col("x").alias("rep"), F.col("y").alias("head"), (1 - F.col("inter") / F.col("total")).alias("far"))
-    seen = met.join(to_head, ["rep", "head"], "left").join(of("rep"), "rep", "left").join(of("head"), "head", "left")
-    seen = seen.select("band", "rep", F.when(F.col("rep") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far"), F.coalesce("g_rep", "rep").alias("g"), F.coalesce("g_head", "head").alias("g_head"))
-    outside = cut(seen.where("g <> g_head"))
-    split = outside.select("band").distinct()
-    inside = seen.join(split, "band", "left_semi")
-    a = outside.select("band", F.col("rep").alias("x"), F.col("g").alias("gx"), F.col("far").alias("fx"))
-    b = inside.select(F.col("band").alias("on_band"), F.col("rep").alias("y"), F.col("g").alias("gy"), F.col("far").alias("fy"))
-    reach = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    left = a.join(b, (F.col("band") == F.col("on_band")) & (F.col("gx") != F.col("gy")) & reach)
-    left = left.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    left = within_reach(met.join(of("rep"), "rep", "left").join(of("head"), "head", "left").select("head", "rep", F.coalesce("g_rep", "rep").alias("g"), F.coalesce("g_head", "head").alias("g_head")).distinct(), texts)
     last = verified(apart(left), texts)
     group = components(linked(known.unionByName(last)))
     named = own.join(group, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("found"))
