@@ -166,7 +166,15 @@ def _sizes(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _earliest(doc: np.ndarray, key: np.ndarray, first: np.ndarray, bodies: pa.Array) -> np.ndarray:
     """Rows that are the earliest (doc_id, row_key, first) of their body, by 128 bits of hash."""
     data, at = _sizes(bodies)
-    h1, h2 = (K._ROLL[7 + seed].spans(K._ROLL[7 + seed].prefix(K._BYTES[seed][data]), at[:-1], at[1:]) for seed in (0, 1))
+    h1, h2 = np.empty(len(doc), K.U), np.empty(len(doc), K.U)
+    k = 0
+    while k < len(doc):  # about a MB of bodies at a time
+        e = max(k + 1, int(np.searchsorted(at, at[k] + K.BLOCK_BYTES, "right")) - 1)
+        part = data[at[k] : at[e]]
+        for h, seed in ((h1, 0), (h2, 1)):
+            roll = K._ROLL[7 + seed]
+            h[k:e] = roll.spans(roll.prefix(K._BYTES[seed][part]), at[k:e] - at[k], at[k + 1 : e + 1] - at[k])
+        k = e
     order = np.lexsort((first, key, doc, h2, h1))
     new = np.ones(len(order), bool)
     new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
