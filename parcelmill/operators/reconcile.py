@@ -125,3 +125,41 @@ def overall_confidence(*parts: str) -> Column:
     kept = F.filter(F.array(*parts), lambda x: x > 0)
     total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(kept) > 0, F.round(total / F.size(kept), 4)).otherwise(F.lit(0.0))
+
+
+def wide(reconciled: DataFrame, fields: list[str]) -> DataFrame:
+    """One record per image: value, source and confidence of each field as columns."""
+    x = F.struct("value", "source", "confidence")
+    per = reconciled.groupBy("image_id").pivot("field_name", fields).agg(F.first(x))
+    out = [F.col("image_id")]
+    for f in fields:
+        out += [F.col(f"{f}.value").alias(f), F.coalesce(F.col(f"{f}.source"), F.lit("NOT_EXTRACTED")).alias(f"{f}_source"), F.coalesce(F.col(f"{f}.confidence"), F.lit(0.0)).alias(f"{f}_confidence")]
+    return per.select(*out)
+
+
+def perception_flags(c=F.col) -> Column:
+    """Flags from what perception reports, in no order."""
+    return F.array_compact(
+        F.array(
+            flag(c("low_quality"), "LOW_IMAGE_QUALITY"), flag(c("overlay_fields") == 0, "OVERLAY_NOT_FOUND"), flag(c("overlay_fields").between(1, 3), "OVERLAY_PARTIAL"), flag(~c("ocr_available"), "OCR_UNAVAILABLE"),
+            flag(~c("detector_available"), "DETECTOR_UNAVAILABLE"), flag(c("barcode_values") > 1, "MULTIPLE_BARCODES"), flag(c("conflict"), "AWB_CONFLICT"), flag(c("vision_failed"), "VISION_API_UNAVAILABLE"),
+        )
+    )
+
+
+def parcel_evidence(detector_count: Column, heuristic_count: Column, vision_count: Column, vision_confidence: Column) -> Column:
+    """The detector's count, else the heuristic's, else a confident outside answer."""
+    return F.coalesce(detector_count, heuristic_count, F.when(vision_confidence >= 0.75, vision_count))
+
+
+def error_boundary(records: DataFrame) -> DataFrame:
+    """Records whose file was refused, or whose processing failed, end as such and nothing else."""
+    refused, broke = F.col("input_error").isNotNull(), F.col("error_code").isNotNull()
+    return records.withColumns(
+        {
+            "processing_status": F.when(refused | broke, "FAILED").otherwise("COMPLETED"),
+            "primary_status": F.when(refused, "REJECTED").when(broke, "PROCESSING_ERROR").otherwise(F.col("primary_status")),
+            "flags": F.when(refused, F.array_union("flags", F.array(F.lit("UNSUPPORTED_IMAGE")))).otherwise(F.col("flags")),
+            "requires_review": F.when(refused, False).when(broke, True).otherwise(F.col("requires_review")),
+        }
+    )

@@ -47,9 +47,20 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder (not below it) or one file: path, bytes, digest and size; the digest is taken
     before validation, so a bad file too is known when a batch is resumed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    files = files.select("path", "modificationTime", "length", "content").unionByName(_empty_files(spark, path))
     return files.select("path", "modificationTime", F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha256"), F.hex(F.substring("content", 1, 8)).alias("head"))
 
 
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """The file source passes over files without bytes; they are rows too, to be refused by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(conf).listStatus(at)
+    rows = [(f.getPath().toString(), f.getModificationTime() / 1000) for f in found if f.isFile() and f.getLen() == 0]
+    made = spark.createDataFrame(rows, "path string, seconds double")
+    return made.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 ENTRY = "name string, content binary, code string, message string"
 
 
