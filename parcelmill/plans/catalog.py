@@ -12,7 +12,9 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import evidence as V
 from ..operators import jobs as J
+from ..operators import perception
 from ..operators import reconcile as R
+from ..operators import report
 from .adapters import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -783,3 +785,57 @@ def job_patch(spark, d):
 def job_delete(spark, d):
     j = view(spark, d, "v_jobs").select("event_id", "job_id")
     return J.without(j, j.where("job_id % 7 = 0").select("job_id").distinct(), "job_id").select("event_id", "job_id")
+
+
+# --- further reports and perception --------------------------------------------------------------
+
+
+@query(f"WITH {STATUS} SELECT image_id, primary_status, flags AS status_flags, coalesce(awb_number, '') AS awb_number, CASE WHEN length_cm IS NULL THEN '' ELSE length_cm::BIGINT || ' x ' || width_cm::BIGINT || ' x ' || height_cm::BIGINT || ' cm' END AS dimensions_text, 59 AS n_columns FROM res")
+def detailed_report(spark, d):
+    r = report.detailed(_records(spark, d).withColumnRenamed("flags", "status_flags"))
+    return r.select("image_id", "primary_status", "status_flags", "awb_number", "dimensions_text", F.lit(len(r.columns)).alias("n_columns"))
+
+
+_REASONS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.REASON_TEXT.items())
+
+
+@query(f"""WITH {STATUS}, q AS (SELECT image_id, string_agg(CASE r {_REASONS} END, '; ' ORDER BY r) AS notes FROM (SELECT image_id, unnest(string_split(reasons, ';')) AS r FROM res WHERE reasons <> '') GROUP BY 1),
+f AS (SELECT image_id, string_agg(CASE r {_WORDS} END, '; ' ORDER BY r) AS notes FROM (SELECT image_id, unnest(string_split(flags, ';')) AS r FROM res WHERE reasons = '' AND flags <> '') GROUP BY 1)
+SELECT filename AS file, requires_review AS needs_review, coalesce(q.notes, f.notes, '') AS notes FROM res LEFT JOIN q USING (image_id) LEFT JOIN f USING (image_id)""")
+def simple_report(spark, d):
+    r = report.simple(_records(spark, d).withColumn("location", F.lit(None).cast("string")))
+    return r.select(F.col("File").alias("file"), F.col("Needs review").alias("needs_review"), F.col("Notes").alias("notes"))
+
+
+@query(f"WITH {GROUPS} SELECT image_id, value AS awb_number, source AS awb_number_source, confidence AS awb_number_confidence, NULL::VARCHAR AS weight, 'NOT_EXTRACTED' AS weight_source, 0.0::DOUBLE AS weight_confidence FROM rec")
+def wide_fields(spark, d):
+    return R.wide(_reconciled(spark, d), ["awb_number", "weight"])
+
+
+@query("""WITH p AS (SELECT l_orderkey AS image_id, l_linenumber AS pass_no, max(60 + l_partkey % 40) / 100 AS awb_confidence FROM lineitem GROUP BY 1, 2), s AS (SELECT image_id, min(pass_no) FILTER (awb_confidence >= 0.86) AS stop FROM p GROUP BY 1)
+SELECT p.image_id, pass_no, awb_confidence FROM p JOIN s USING (image_id) WHERE stop IS NULL OR pass_no <= stop""")
+def ocr_pass_schedule(spark, d):
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("pass_no")).agg((F.max(60 + F.col("l_partkey") % 40) / 100).alias("awb_confidence"))
+    return perception.until_strong(p)
+
+
+@query("SELECT part.p_partkey AS k, CASE lower(replace(trim(n), '_', ' ')) WHEN 'barcode' THEN 'barcode_region' WHEN 'cardboard box' THEN 'parcel_full' WHEN 'hand' THEN 'hand_or_obstruction' WHEN 'parcel full' THEN 'parcel_full' END AS class_name FROM part JOIN (SELECT p_partkey, ['Barcode ', 'cardboard_box', 'person', 'HAND', 'parcel_full'][(p_partkey % 5 + 1)::INT] AS n FROM part) t USING (p_partkey)")
+def class_aliases(spark, d):
+    names = F.array(*(F.lit(x) for x in ("Barcode ", "cardboard_box", "person", "HAND", "parcel_full")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), perception.internal_class(F.get(names, (F.col("p_partkey") % 5).cast("int"))).alias("class_name"))
+
+
+@query()
+def line_clusters(spark, d):
+    b = view(spark, d, "v_boxes").select(F.col("image_id").alias("page"), (F.col("y") + F.col("h") / 2).alias("center"), F.col("x").cast("double").alias("left"), F.col("h").cast("double").alias("height"), F.concat(F.lit("t"), F.col("box_id").cast("string")).alias("token"))
+    return perception.line_clusters(b)
+
+
+@query("WITH t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w * h DESC, x DESC, y DESC, w DESC, h DESC) AS rk FROM v_boxes) SELECT image_id, min(x) AS x, min(y) AS y, max(x + w) AS x2, max(y + h) AS y2 FROM t WHERE rk <= 12 GROUP BY 1")
+def overlay_union(spark, d):
+    return perception.union_box(view(spark, d, "v_boxes").withColumn("pixels", F.col("w") * F.col("h")))
+
+
+@query("SELECT image_id, (rk - 1)::INT AS rank, box_id FROM (SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY class_name <> 'label_region', score DESC, box_id) AS rk FROM v_boxes) WHERE rk <= 5")
+def label_topk(spark, d):
+    return perception.short_list(view(spark, d, "v_boxes").withColumn("by_detector", F.col("class_name") == "label_region"))

@@ -317,3 +317,35 @@ def test_splits(spark):
     out = spark.range(2000).select(J.split_of(F.col("id").cast("string")).alias("s")).groupBy("s").count().collect()
     share = {r.s: r["count"] / 2000 for r in out}
     assert abs(share["train"] - 0.7) < 0.05 and abs(share["val"] - 0.15) < 0.04
+
+
+def test_class_names(spark):
+    from parcelmill.operators import perception as P
+
+    one = lambda x: value(spark, P.class_list(F.col("x")), x=x)
+    assert one("{0: 'barcode', 2: 'person', 1: 'cardboard box'}") == ["barcode", "cardboard box", "person"]
+    assert one("['a', 'b']") == ["a", "b"] and one("broken") == P.CLASSES
+    assert [value(spark, P.internal_class(F.col("x")), x=n) for n in ("barcode", "cardboard box", "person")] == ["barcode_region", "parcel_full", None]
+
+
+def test_line_clusters_and_observations(spark):
+    from parcelmill.operators import perception as P
+
+    t = spark.createDataFrame([(1, 10.0, 5.0, 10.0, "b"), (1, 11.0, 0.0, 10.0, "a"), (1, 40.0, 0.0, 10.0, "c"), (1, 41.0, 9.0, 10.0, "")], "page int, center double, left double, height double, token string")
+    assert P.line_clusters(t).first().text == "a b\nc"
+    kinds = {"filename": "string", "width": "int", "height": "int", "orientation": "string", "blur_score": "double", "brightness": "double", "contrast": "double", "underexposure_pct": "double", "overexposure_pct": "double", "edge_density": "double", "overlay": "struct<x:int,y:int,width:int,height:int>", "overlay_ocr_confidence": "double", "parsed_field_count": "int"}
+    from parcelmill.operators import report
+
+    o = P.observations(report.with_columns(spark.range(1), kinds).withColumn("overlay", F.expr("named_struct('x', 1, 'y', 2, 'width', 3, 'height', 4)")))
+    assert len(o.columns) == 14 and o.first().overlay_bbox == "1,2,3,4" and o.first().overlay_detected
+
+
+def test_reports_have_all_columns(spark):
+    from parcelmill.operators import report
+
+    r = spark.createDataFrame([("1", None, ["a", "b"], 1.5, "kg", "SUCCESS_PARTIAL_FIELDS", True, [], ["NEW_FLAG"])], "image_id string, awb_number string, warnings array<string>, weight_value double, weight_unit string, primary_status string, requires_review boolean, review_reasons array<string>, flags array<string>")
+    row = report.detailed(r).first()
+    assert len(row) == 59 and (row.awb_number, row.awb_number_excel, row.warnings, row.weight_original) == ("", "", "a;b", "1.5 kg")
+    full = report.with_columns(r, {"filename": "string", "weight_grams": "double", "length_cm": "double", "width_cm": "double", "height_cm": "double", "location": "string"})
+    s = report.simple(full).first()
+    assert (s["Tracking number"], s["Result"], s["Notes"]) == ("Not found", report.CHECK, "New flag")
