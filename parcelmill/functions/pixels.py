@@ -131,3 +131,54 @@ def detection_rows(output: np.ndarray, classes: int) -> np.ndarray:
     """Model output with one row per box, whichever way round it came."""
     x = output[0] if output.ndim == 3 else output
     return x.T if x.shape[0] == classes + 4 and x.shape[1] != classes + 4 else x
+
+
+def boxed(bgr: np.ndarray, boxes: list[tuple[int, int, int, int]], colour=(0, 200, 0), thick: int = 3) -> np.ndarray:
+    """A preview with the outline of each box."""
+    out = bgr.copy()
+    for x, y, w, h in boxes:
+        x2, y2 = min(x + w, out.shape[1]), min(y + h, out.shape[0])
+        x, y = max(0, x), max(0, y)
+        out[y : y + thick, x:x2] = out[max(y, y2 - thick) : y2, x:x2] = colour
+        out[y:y2, x : x + thick] = out[y:y2, max(x, x2 - thick) : x2] = colour
+    return out
+
+
+def adverse(bgr: np.ndarray) -> dict[str, np.ndarray]:
+    """Worse versions of an image, for tests: blurred, dark, bright, turned, cut, covered, empty."""
+    p = np.pad(bgr.astype(np.float64), ((4, 4), (4, 4), (0, 0)), mode="edge")
+    h, w = bgr.shape[:2]
+    blur = sum(p[i : i + h, j : j + w] for i in range(9) for j in range(9)) / 81
+    covered = bgr.copy()
+    covered[h // 4 : h // 2, w // 4 : 3 * w // 4] = 40
+    return {
+        "blur": blur.astype(np.uint8),
+        "dark": (bgr * 0.15).astype(np.uint8),
+        "bright": np.clip(bgr * 1.8 + 60.0, 0, 255).astype(np.uint8),
+        "turned": rotated(bgr, 90),
+        "cut": bgr[: h // 2, : w // 2],
+        "covered": covered,
+        "empty": np.full_like(bgr, 235),
+    }
+
+
+def blob_parts(mask: np.ndarray, cell: int = 8) -> list[tuple[int, int, int, int, int]]:
+    """(pixels, x, y, w, h) of connected groups of cells that hold marked pixels (a dilated component search)."""
+    h, w = mask.shape
+    rows, cols = -(-h // cell), -(-w // cell)
+    padded = np.zeros((rows * cell, cols * cell), bool)
+    padded[:h, :w] = mask
+    counts = padded.reshape(rows, cell, cols, cell).sum(axis=(1, 3))
+    label = np.where(counts > 0, np.arange(1, rows * cols + 1).reshape(rows, cols), 0)
+    while True:  # the least label spreads over neighbours until nothing changes
+        p = np.pad(np.where(label > 0, label, rows * cols + 1), 1, constant_values=rows * cols + 1)
+        least = np.min([p[1 + i : 1 + i + rows, 1 + j : 1 + j + cols] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+        new = np.where(label > 0, least, 0)
+        if (new == label).all():
+            break
+        label = new
+    out = []
+    for k in np.unique(label[label > 0]):
+        r, c = np.nonzero(label == k)
+        out.append((int(counts[label == k].sum()), int(c.min() * cell), int(r.min() * cell), int((c.max() - c.min() + 1) * cell), int((r.max() - r.min() + 1) * cell)))
+    return sorted(out, reverse=True)

@@ -108,3 +108,13 @@ def unzipped(spark: SparkSession, archives: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("code", T.StringType()), T.StructField("message", T.StringType())])
     spark.udtf.register("parcelmill_unzip", F.udtf(_Unzip, returnType=schema))
     return spark.sql("SELECT a.path, e.* FROM {a} a, LATERAL parcelmill_unzip(a.content) e", a=archives)
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """Images as the JVM decodes them: size, orientation, pixels (blue, green, red); unreadable ones are
+    kept and marked instead of dropped."""
+    image = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    w, h = F.col("width"), F.col("height")
+    turn = F.when(w > h, "LANDSCAPE").when(h > w, "PORTRAIT").otherwise("SQUARE")
+    bad = h < 0
+    return image.select("origin", F.when(~bad, w).alias("width"), F.when(~bad, h).alias("height"), F.when(~bad, turn).alias("orientation"), F.when(~bad, F.col("data")).alias("pixels"), bad.alias("corrupt"))

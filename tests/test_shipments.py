@@ -349,3 +349,31 @@ def test_reports_have_all_columns(spark):
     full = report.with_columns(r, {"filename": "string", "weight_grams": "double", "length_cm": "double", "width_cm": "double", "height_cm": "double", "location": "string"})
     s = report.simple(full).first()
     assert (s["Tracking number"], s["Result"], s["Notes"]) == ("Not found", report.CHECK, "New flag")
+
+
+def test_decoding(spark, tmp_path):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = b"".join(b"\x00" + bytes([255, 0, 0] * 3) for _ in range(2))
+    png = PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    (tmp_path / "ok.png").write_bytes(png)
+    (tmp_path / "bad.png").write_bytes(PNG + b"broken")
+    out = {r.origin.rsplit("/", 1)[1]: r for r in files.decoded(spark, str(tmp_path)).collect()}
+    assert (out["ok.png"].width, out["ok.png"].height, out["ok.png"].orientation) == (3, 2, "LANDSCAPE")
+    assert bytes(out["ok.png"].pixels[:3]) == b"\x00\x00\xff" and out["bad.png"].corrupt and out["bad.png"].width is None
+
+
+def test_previews_and_fixtures():
+    image = np.full((40, 60, 3), 120, np.uint8)
+    marked = pixels.boxed(image, [(5, 5, 20, 20)])
+    assert (marked[5, 10] == (0, 200, 0)).all() and (marked[15, 15] == 120).all() and (image == 120).all()
+    worse = pixels.adverse(image)
+    assert set(worse) == {"blur", "dark", "bright", "turned", "cut", "covered", "empty"} and worse["turned"].shape == (60, 40, 3)
+    mask = np.zeros((40, 60), bool)
+    mask[2:6, 2:6] = mask[30:36, 40:50] = True
+    parts = pixels.blob_parts(mask)
+    assert [p[0] for p in parts] == [60, 16]
