@@ -9,14 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of a few MB: by rows alone, very long texts would make them large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if now.lstrip("-").rstrip("kmg").isdigit() and not 0 < int(now.rstrip("kmg")) * scale <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's reader only."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
     folder of this machine."""
+    bounded(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,5 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
 def with_key(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``row_key``, which tells rows that share a doc_id
     apart by their text.  Rows equal in both share the key, and every result computed for them."""
+    bounded(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), *more)

@@ -105,7 +105,7 @@ def remove(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, max_cells:
                 yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in pair), pa.array(keys[row + doc]), ids.take(pa.array(row + doc)), pa.array((starts - words.first[doc]).astype(np.int32))], ["h1", "h2", "row_key", "doc_id", "place"])
 
     once = (
-        docs.mapInArrow(candidates, CANDIDATES)
+        docs.mapInArrow(K.task(candidates), CANDIDATES)
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in ("row_key", "doc_id", "place")))
         .where("n = 1")
@@ -141,7 +141,7 @@ def remove(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, max_cells:
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([x[1] for x in out], pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
     joined = docs.join(once.hint("shuffle_hash"), (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return joined.select("doc_id", "text", "single").mapInArrow(settle, RESULT + ", kept_text string" * with_text)
+    return joined.select("doc_id", "text", "single").mapInArrow(K.task(settle), RESULT + ", kept_text string" * with_text)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,9 @@ from .common import table, with_key
 LENGTH = 100
 GRAM = 24
 SPREAD = 28
-BYTES_PER_CELL = 8
-CHUNK = 2 << 20
+BYTES_PER_CELL = 4
+MAX_CELLS = 1 << 27  # one row, 64 MB: as good here as two of half the size, and half as much to merge
+CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -230,7 +231,7 @@ def _unmatched(gram: np.ndarray, doc: np.ndarray, key: np.ndarray, first: np.nda
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CELLS, with_bytes: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS, with_bytes: bool = False) -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, digest of what is kept (and, on
     request, the kept bytes as ``kept``)."""
     gram, spread = _shape(length)
@@ -245,7 +246,7 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
                 yield hashes[chosen]
 
     texts = docs.select("text")
-    counts = sketch.build(texts, anchors, sketch.size_for(texts, BYTES_PER_CELL, max_cells))
+    counts = sketch.build(texts, anchors, sketch.size_for(texts, BYTES_PER_CELL, max_cells), rows=1)
     shared = spark.sparkContext.broadcast(counts)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +306,8 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
         if held and sum(b.num_rows for b in held):
             yield from flush(pa.Table.from_batches(held))
 
-    parts = docs.mapInArrow(found, SEGMENTS).repartition(F.col("gram")).sortWithinPartitions("gram")
-    kept = parts.mapInArrow(settle_buckets, KEPT)
+    parts = docs.mapInArrow(K.task(found), SEGMENTS).repartition(F.col("gram")).sortWithinPartitions("gram")
+    kept = parts.mapInArrow(K.task(settle_buckets), KEPT)
     kept = kept.groupBy(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("first", "last")).alias("free"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +340,7 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = sketch.MAX_CE
 
     same = (F.col("short_key") == F.col("key")) & (F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long")) == F.col("id"))
     joined = docs.join(kept.hint("shuffle_hash"), same, "left")
-    return joined.select("doc_id", "text", "free").mapInArrow(settle, RESULT + ", kept binary" * with_bytes)
+    return joined.select("doc_id", "text", "free").mapInArrow(K.task(settle), RESULT + ", kept binary" * with_bytes)
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (x, y) with the sizes of intersection and union of their full sets."""
     a = texts.select(F.col("rep").alias("x"), F.col("text").alias("tx"))
     b = texts.select(F.col("rep").alias("y"), F.col("text").alias("ty"))
-    return cut(pairs.join(a, "x").join(b, "y").mapInArrow(_verify, VERIFIED))
+    return cut(pairs.join(a, "x").join(b, "y").mapInArrow(K.task(_verify), VERIFIED))
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
     members = cut(members.join(open_heads, "head", "left_semi"))
     pairs = members.select("head", "rep")
     pairs = pairs.join(texts.select("rep", F.col("text").alias("tx")), "rep").join(texts.select(F.col("rep").alias("head"), F.col("text").alias("th")), "head")
-    deltas = cut(pairs.mapInArrow(_deltas, DELTAS))
+    deltas = cut(pairs.mapInArrow(K.task(_deltas), DELTAS))
     lone = deltas.select("head", "rep", F.explode("tokens").alias("token")).groupBy("head", "token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
     lone = lone.where("n = 1").groupBy("head", "rep").agg(F.count(F.lit(1)).alias("own"))
     share = (100 - PERCENT) / (100 + PERCENT)
@@ -264,7 +264,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: set size, component and whether it is the component's first."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    forms = cut(docs.mapInArrow(_forms, FORMS))
+    forms = cut(docs.mapInArrow(K.task(_forms), FORMS))
     full = forms.where("n_shingles > 0")
     own = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     # Band keys come from the class's first row; equal sets have equal keys.

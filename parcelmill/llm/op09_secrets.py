@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel
 from .common import table
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -130,7 +131,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: counts, base digest and all reported spans."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(kernel.task(_scan), SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
@@ -158,7 +159,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
                 batch = batch.set_column(k, "n_chars", pa.array([b if b is not None else a.as_py() for a, b in zip(old, lengths)], old.type))
             yield batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(kernel.task(clean), docs.schema)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

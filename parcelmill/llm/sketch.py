@@ -6,7 +6,7 @@ merged by key in the cluster; counts are added exactly before they are stored as
 four bits, rounded down, so every power from two up still proves "may repeat" and one proves "once".
 A stored cell is never below the true level of a hash in it.
 
-The table that reaches the driver and is broadcast has at most ``2 * max_cells / 2`` bytes
+The table that reaches the driver and is broadcast has at most ``rows * max_cells / 2`` bytes
 (64 MB by default), whatever the input.  Beyond the size where the cells fill up, estimates
 only grow, so more windows go to the exact pass; none is lost.
 """
@@ -20,24 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
+
 BITS = 16
 ROWS = 2
 MAX_CELLS = 1 << 26
 FLUSH = 1 << 22
 U = np.uint64
+MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)]
 SCHEMA = "block int, once binary, more binary, counts binary"
 _ARROW = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
 
 
-def cells(hashes: np.ndarray, log_cells: int) -> Iterator[np.ndarray]:
-    for k in range(ROWS):
-        x = (hashes >> U(64 - log_cells)) if k == 0 else ((hashes * U(0x9E3779B97F4A7C15)) >> U(64 - log_cells))
-        yield x.astype(np.int64) + (k << log_cells)
+def cells(hashes: np.ndarray, log_cells: int, rows: int = ROWS) -> Iterator[np.ndarray]:
+    # Least hashes have small high bits, so every row multiplies before it takes them.
+    for k in range(rows):
+        yield ((hashes * MULTIPLIERS[k]) >> U(64 - log_cells)).astype(np.int64) + (k << log_cells)
 
 
-def _emit(found: list[np.ndarray], log_cells: int) -> Iterator[pa.RecordBatch]:
+def _emit(found: list[np.ndarray], log_cells: int, n_rows: int) -> Iterator[pa.RecordBatch]:
     hashes = np.concatenate(found)
-    for at in cells(hashes, log_cells):
+    for at in cells(hashes, log_cells, n_rows):
         at.sort()
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
         counts, at = np.diff(np.append(first, len(at))).astype(np.uint32), at[first]
@@ -73,12 +76,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sketch:
     """Levels: 0 for none, 1 for a count of one, k for 2^(k-1) up to 2^k - 1, at most 15."""
 
-    def __init__(self, table: np.ndarray, log_cells: int):
-        self.table, self.log_cells = table, log_cells
+    def __init__(self, table: np.ndarray, log_cells: int, rows: int = ROWS):
+        self.table, self.log_cells, self.rows = table, log_cells, rows
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         least = None
-        for at in cells(hashes, self.log_cells):
+        for at in cells(hashes, self.log_cells, self.rows):
             x = self.table[at >> 1]
             x = np.where(at & 1, x >> 4, x & 15)
             least = x if least is None else np.minimum(least, x)
@@ -91,7 +94,7 @@ def size_for(docs: DataFrame, bytes_per_cell: int, max_cells: int = MAX_CELLS) -
     return min(max(n // bytes_per_cell, 1 << BITS), max_cells).bit_length() - 1
 
 
-def build(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log_cells: int) -> Sketch:
+def build(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log_cells: int, rows: int = ROWS) -> Sketch:
     """The merged sketch of ``hashes_of`` over all batches of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +104,14 @@ def build(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nda
                 found.append(h)
                 n += len(h)
                 if n >= FLUSH:
-                    yield from _emit(found, log_cells)
+                    yield from _emit(found, log_cells, rows)
                     found, n = [], 0
         if n:
-            yield from _emit(found, log_cells)
+            yield from _emit(found, log_cells, rows)
 
-    parts = docs.mapInArrow(count, SCHEMA).repartition(F.col("block")).mapInArrow(_merge, "block int, level binary")
-    table = np.zeros((ROWS << log_cells) >> 1, np.uint8)
+    parts = docs.mapInArrow(kernel.task(count), SCHEMA).repartition(F.col("block")).mapInArrow(kernel.task(_merge), "block int, level binary")
+    table = np.zeros((rows << log_cells) >> 1, np.uint8)
     half = 1 << (BITS - 1)
     for row in parts.collect():
         table[row.block * half : (row.block + 1) * half] = np.frombuffer(row.level, np.uint8)
-    return Sketch(table, log_cells)
+    return Sketch(table, log_cells, rows)
