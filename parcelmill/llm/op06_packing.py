@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel
 from .common import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-MEMO = 500_000
+MEMO = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED = PIECES + ", part int, place long"
 RESULT = PIECES + ", sequence_id long, offset long"
@@ -56,7 +57,7 @@ class Encoder(dict):
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
         if len(self) >= MEMO:
-            for old in list(self)[MEMO // 4 :]:  # the first chunks met are mostly frequent ones
+            for old in list(self)[MEMO // 2 :]:  # the first chunks met are mostly frequent ones
                 del self[old]
         if len(chunk) <= 64:
             self[chunk] = ids
@@ -68,17 +69,14 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """One encoder for each Python worker, kept over its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each Python worker, kept over its tasks until another operator's task comes."""
+    if path not in kernel.worker_caches:
+        kernel.worker_caches[path] = Encoder(path)
+    return kernel.worker_caches[path]
 
 
-def _vocabulary(name: str) -> str:
+def public_vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -103,7 +101,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_i
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(kernel.task(pieces), PIECES + ", ids binary" * with_ids)
 
 
 def match(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -190,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
 
     pieces = cut(tokenised(docs, vocabulary, capacity))
     order = [F.col("length").desc(), "ids_crc32", "doc_id", "piece"]
-    ranked = cut(pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, RANKED))
+    ranked = cut(pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(kernel.task(number), RANKED))
     # Parts are ranges of length, so there are at most as many rows as lengths and parts together.
     runs = ranked.groupBy("part", "length").count().orderBy("part", F.desc("length")).toPandas()
     by_length = runs.groupby("length")["count"].sum().sort_index(ascending=False)
@@ -215,8 +213,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
             sequence, copy = run[:, 3] + within // run[:, 5], within % run[:, 5]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(run[:, 4] + copy * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, RESULT)
+    return ranked.mapInArrow(kernel.task(assign), RESULT)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))

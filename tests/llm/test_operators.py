@@ -253,7 +253,7 @@ OPERATORS = {
     "toxicity": lambda d, labels, items: op03_toxicity.classify(d, labels),
     "substring": lambda d, labels, items: op04_substring.remove(d),
     "suffix": lambda d, labels, items: op05_suffix.remove(d),
-    "packing": lambda d, labels, items: op06_packing.pack(d, op06_packing._vocabulary("word_bpe_49k.json")),
+    "packing": lambda d, labels, items: op06_packing.pack(d, op06_packing.public_vocabulary("word_bpe_49k.json")),
     "winnowing": lambda d, labels, items: op07_winnow.find(d, items),
     "near": lambda d, labels, items: op08_setsketch.near_duplicates(d),
     "secrets": lambda d, labels, items: op09_secrets.scan(d),
