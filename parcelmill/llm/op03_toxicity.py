@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,51 +77,76 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    """Weights of the places that have one; spread out over all places where it is first used."""
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray, bias: float):
+        self.places, self.values, self.bias = places, weights, bias
+        self.dense: np.ndarray | None = None
 
     def logits(self, doc: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(doc, self.weights[place], n) + self.bias
+        if self.dense is None:
+            self.dense = np.zeros(DIM, np.float32)
+            self.dense[self.places] = self.values
+        return np.bincount(doc, self.dense[place], n) + self.bias
+
+
+class Sets:
+    """Documents' distinct places, end to end, and where each document begins (one more at the end)."""
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray):
+        self.values, self.starts = values, starts
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position among ``rows``, place) of these documents."""
+        size = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(size)
+        at = np.repeat(self.starts[rows] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(np.arange(len(rows)), size), self.values[at]
+
+    def kept(self, index: np.ndarray) -> Sets:
+        """With places renumbered by ``index``, those below zero left out."""
+        new = index[self.values]
+        stays = np.concatenate([[0], np.cumsum(new >= 0)])
+        return Sets(new[new >= 0], stays[self.starts])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """The non-negative risk minimiser by Adagrad; lists hold each document's distinct places."""
+def fit(positive: Sets, unlabelled: Sets, prior: float, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
+    """The non-negative risk minimiser by Adagrad."""
     prior = min(max(prior, 1e-4), 0.9)
     bias = float(np.log(prior / (1 - prior)))
-    weights = np.zeros(DIM, np.float32)
-    if not positive or not unlabelled:
-        return Model(weights, bias)
-    support, common = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
-    for part, count in ((positive, support), (unlabelled, common)):
-        for x in part:
-            count[x] += 1
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
+    support = np.bincount(positive.values, minlength=DIM)
+    # Few positives share few places, so the support asked for follows them.
+    places = np.flatnonzero(support >= max(1, min(MIN_SUPPORT, len(positive) // 8), MIN_SHARE * len(positive)))
     # A place of toxic text alone is 1 / prior times as frequent in P as in U; places below a share
-    # of that add noise.  Few positives share few places, so the support asked for follows them.
-    lift = (support / len(positive)) / ((common + 1) / (len(unlabelled) + 1))
-    useful = (support >= max(1, min(MIN_SUPPORT, len(positive) // 8), MIN_SHARE * len(positive))) & (lift >= MIN_LIFT / prior)
-    index = np.cumsum(useful) - 1
-    sets = [[index[x[useful[x]]] for x in part] for part in (positive, unlabelled)]
-    w, g2, b2 = np.zeros(int(useful.sum())), np.full(int(useful.sum()), 1e-8), 1e-8
+    # of that add noise.
+    common = np.bincount(unlabelled.values, minlength=DIM)[places]
+    lift = (support[places] / len(positive)) / ((common + 1) / (len(unlabelled) + 1))
+    places = places[lift >= MIN_LIFT / prior]
+    index = np.full(DIM, -1, np.int32)
+    index[places] = np.arange(len(places))
+    sets = [positive.kept(index), unlabelled.kept(index)]
+    del support, index
+    w, g2, b2 = np.zeros(len(places)), np.full(len(places), 1e-8), 1e-8
     rng = np.random.default_rng(seed)
     batch_p = max(1, min(256, len(positive)))
     steps = max(8, len(unlabelled) // 512)
     for _ in range(epochs):
         order = [rng.permutation(len(part)) for part in sets]
         for step in range(steps):
-            chosen = [np.take(order[0], np.arange(step * batch_p, (step + 1) * batch_p), mode="wrap"), order[1][step::steps]]
-            if not len(chosen[1]):
+            p_rows, u_rows = np.take(order[0], np.arange(step * batch_p, (step + 1) * batch_p), mode="wrap"), order[1][step::steps]
+            if not len(u_rows):
                 continue
-            grads = []
-            for part, rows in zip(sets, chosen):
-                lists = [part[r] for r in rows]
-                doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                at = np.concatenate(lists).astype(np.int64)
-                grads.append((doc, at, np.bincount(doc, w[at], len(lists)) + bias))
-            (pd, pa_, zp), (ud, ua, zu) = grads
+            (pd, pa_), (ud, ua) = sets[0].rows(p_rows), sets[1].rows(u_rows)
+            zp, zu = np.bincount(pd, w[pa_], len(p_rows)) + bias, np.bincount(ud, w[ua], len(u_rows)) + bias
             clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             up, un = sigmoid(zu) / len(zu), prior * sigmoid(zp) / len(zp)
             if clean >= 0:
@@ -133,9 +159,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             b2 += gb * gb
             w -= rate * grad / np.sqrt(g2)
             bias -= rate * gb / np.sqrt(b2)
-    weights[useful] = w
-    z = [np.array([w[x].sum() for x in part]) for part in sets]
-    return Model(weights, -cut_point(z[0], z[1], prior))
+    z = []
+    for part in sets:
+        doc, at = part.rows(np.arange(len(part)))
+        z.append(np.bincount(doc, w[at], len(part)))
+    return Model(places, w.astype(np.float32), -cut_point(z[0], z[1], prior))
 
 
 def cut_point(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
@@ -165,14 +193,18 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     # Ids are chosen first, so that only chosen texts are read on.
     positive = texts.select("doc_id").join(toxic, "doc_id", "left_semi").orderBy(pick).limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
     unlabelled = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(23))).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    chosen = texts.join(positive.unionByName(unlabelled), "doc_id").select("positive", "text")
-    sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    rows = chosen.mapInArrow(_features, "positive boolean, places binary").toArrow()
-    for is_positive, cells in zip(rows.column("positive").to_pylist(), rows.column("places").to_pylist()):
-        sets[is_positive].append(np.frombuffer(cells, np.int32))
-    for part in sets.values():  # a fixed order, whatever the tasks' order
-        part.sort(key=lambda x: (len(x), x.tobytes()))
-    return fit(sets[True], sets[False], DEFAULT_PRIOR if prior is None else float(prior))
+    # At most max_positive + max_unlabelled ids, so texts stay where they are.
+    chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "text")
+    rows = chosen.mapInArrow(K.task(_features), "positive boolean, places binary").toArrow().combine_chunks()
+    return fit(*(_sets(rows.filter(rows.column("positive") if on else pc.invert(rows.column("positive")))) for on in (True, False)), DEFAULT_PRIOR if prior is None else float(prior))
+
+
+def _sets(rows: pa.Table) -> Sets:
+    """The documents in an order that doesn't depend on the tasks'."""
+    cells = rows.column("places").to_pylist()
+    cells.sort(key=lambda x: (len(x), x))
+    starts = np.cumsum([0, *(len(x) // 4 for x in cells)])
+    return Sets(np.frombuffer(b"".join(cells), np.int32), starts)
 
 
 def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -188,7 +220,7 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in extra), pa.array(values)], [*extra, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*extra, *({"text"} - set(extra))).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", score double")
+    return docs.select(*extra, *({"text"} - set(extra))).mapInArrow(K.task(run), ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
