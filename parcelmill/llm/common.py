@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; it is read for that, so cut it first."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_key(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``row_key``, which tells rows that share a doc_id
     apart by their text.  Rows equal in both share the key, and every result computed for them."""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, table
+from .common import BROADCAST_BYTES, cut, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -278,6 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few = busy.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # 8 bytes each
     texts = docs.join(F.broadcast(busy) if few else busy, F.col("doc_id") == F.col("rep"), "left_semi")
     texts = cut(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")))
+    if (texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
     # A star first: each class and the smallest head among its buckets.
     star = verified(pairs.groupBy("x").agg(F.min("y").alias("y")), texts)
     group = components(linked(star))
