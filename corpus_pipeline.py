@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmill.llm import op03_toxicity, op06_packing, op07_winnow, op08_setsketch, op09_secrets
-from parcelmill.llm.common import shared_dir, table
+from parcelmill.llm.common import cut, shared_dir, small, table
 
+#: Ids (8 bytes each) that are broadcast at most; more meet their documents by a shuffle.
+IDS = 1_000_000
 # SQL can express neither the classifier nor the sketches; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
@@ -27,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates; of rows equal in id and text, one."""
-    kept = op08_setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    same = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    kept = cut(op08_setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct())
+    same = docs.join(small(kept, IDS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     return same.dropDuplicates(["doc_id", "text"]) if _repeated(docs) else same
 
 
@@ -39,8 +41,8 @@ def _repeated(docs: DataFrame) -> bool:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
     found = op07_winnow.find(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    bad = cut(found.where("contaminated").select(F.col("doc_id").alias("id")).distinct())
+    return docs.join(small(bad, IDS), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in packed sequences."""
-    return op06_packing.pack(docs, op06_packing._vocabulary("word_bpe_49k.json"))
+    return op06_packing.pack(docs, op06_packing.public_vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
