@@ -36,7 +36,7 @@ from .common import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-MEMO = 800_000
+MEMO = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED = PIECES + ", part int, place long"
 RESULT = PIECES + ", sequence_id long, offset long"
