@@ -11,8 +11,8 @@ of its own length).  A document's word is hit if it lies in any occurrence of a
   join, which can't multiply rows.  They are broadcast only if their count is at most
   ``broadcast_rows``; otherwise both sides are shuffled, and as hot fingerprints are spread by
   the document's id before the join, no fingerprint needs one task.
-* *Extension.*  Around each hit the document's windows over the fingerprint are spelled out and
-  joined, as text, with the benchmark's distinct windows.
+* *Extension.*  All windows of each hit's run are spelled out and joined, as text, with the
+  benchmark's distinct windows.
 * A window leads to the sorted set of its items; equal sets are one row, so a passage shared by
   many items costs a document one row and not one for each item and window.
 
@@ -58,14 +58,15 @@ def gram_hashes(w: Column, n: int) -> Column:
 
 
 def fingerprints(w: Column, gram: int, spread: int) -> Column:
-    """(hash, first place of a window it is least in) by runs of windows with one least hash."""
+    """(hash, first and last place of the windows it is least in) by runs of windows with one least hash.
+    A run is longer than ``spread`` where its gram comes again within ``spread`` words."""
 
     def least(h: Column) -> Column:
         return F.transform(upto(F.size(h) - (spread - 1)), lambda i: F.array_min(F.slice(h, i, spread)))
 
     def runs(m: Column) -> Column:
         changed = F.transform(m, lambda x, i: F.struct(x.alias("hash"), (i + 1).alias("place"), ((i == 0) | (F.get(m, i - 1) != x)).alias("new")))
-        return F.filter(changed, lambda x: x["new"])
+        return let(F.filter(changed, lambda x: x["new"]), lambda r: F.transform(r, lambda x, i: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), F.coalesce(F.get(r, i + 1)["place"] - 1, F.size(m)).alias("last"))))
 
     return let(gram_hashes(w, gram), lambda h: let(least(h), runs))
 
@@ -95,15 +96,15 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM
         known = own.select(F.explode(F.transform(fingerprints(F.split("window", " "), k, s), lambda x: x["hash"])).alias("hash")).distinct()
         few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
         marks = docs.select("row_key", "doc_id", F.explode(fingerprints(words(F.col("text")), k, s)).alias("f"))
-        marks = marks.select("row_key", "doc_id", F.col("f.hash").alias("hash"), F.col("f.place").alias("place"))
+        marks = marks.select("row_key", "doc_id", F.col("f.hash").alias("hash"), F.struct("f.place", "f.last").alias("run"))
         at = marks.join(F.broadcast(known) if few else known, "hash", "left_semi")
-        at = cut(at.groupBy(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).agg(F.collect_set("place").alias("places")))
+        at = cut(at.groupBy(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).agg(F.collect_set("run").alias("runs")))
         # Words of the documents with a hit only; their places are bounded by their length.
         near = at.limit(broadcast_rows + 1).count() <= broadcast_rows
         same = (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
-        hit_docs = docs.join(F.broadcast(at) if near else at, same).select("row_key", "doc_id", "places", words(F.col("text")).alias("w"))
-        # Windows from ``place`` on share the least hash as long as the gram stays in them: s at most.
-        starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (s - 1)))))
+        hit_docs = docs.join(F.broadcast(at) if near else at, same).select("row_key", "doc_id", "runs", words(F.col("text")).alias("w"))
+        # All windows of a run share its least hash; runs do not overlap.
+        starts = F.flatten(F.transform("runs", lambda r: F.sequence(r["place"], r["last"])))
         texts = let(F.struct("w", starts.alias("s")), lambda x: F.transform(F.filter(x["s"], lambda i: i + (n - 1) <= F.size(x["w"])), lambda i: F.struct(i.alias("start"), spelled(x["w"], i, n).alias("window"))))
         spread_out = hit_docs.select("row_key", "doc_id", F.inline(texts))
         target = own.select("window", "items")

@@ -113,6 +113,24 @@ def test_winnowing(docs, items, rows):
     assert none.where("contaminated or n_items > 0").isEmpty() and none.count() == len(rows)
 
 
+def test_winnowing_of_repeated_words(spark):
+    """Grams that come again within a window: repeated words, stutters and one-word items."""
+    import random
+
+    rng = random.Random(8)
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    pairs = [(1, " ".join(["ha"] * 10)), (2, "yes"), (3, passage), (4, "no no no"), (5, "a b a b a b a b a b a b")]
+    pairs += [(k, " ".join(rng.choices("ab", k=12))) for k in range(6, 12)]
+    stutter = " ".join((passage.split()[:5]) * 3)
+    rows = [(1, " ".join(["ha"] * 50)), (2, "yes yes yes yes yes"), (3, f"{stutter} {passage} {stutter}"), (4, "no " * 20), (5, "a b " * 30), (6, None), (7, "ha " * 9)]
+    rows += [(k, " ".join(rng.choices("ab", k=300))) for k in range(8, 20)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(pairs, "item_id long, text string")
+    want = sorted(brute.contaminated(rows, pairs))
+    assert [r[2] for r in want[:2]] == [50, 5]
+    assert got(op07_winnow.find(docs, items)) == want
+    assert got(op07_winnow.find(docs, items, broadcast_rows=0)) == want
+
+
 def test_near_duplicates(docs, rows):
     assert got(op08_setsketch.near_duplicates(docs)) == sorted(brute.near(rows))
 
