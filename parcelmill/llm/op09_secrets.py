@@ -7,11 +7,12 @@ Every text is scanned whole.  Three strong detectors report on their own:
 * ``hex``     a long run of hexadecimal digits.
 
 A credential is often spread over several places: an identifier, its secret and the endpoint
-they open.  Each of those parts alone is weak evidence (a user name, 40 letters of base64, a
-URL), so weak parts are *candidates* only, and an interval join decides: every part is an
+they open.  Each of those parts alone is weak evidence (a user name, 20 or more letters of base64,
+url-safe or not, a URL), so weak parts are *candidates* only, and an interval join decides: every part is an
 interval of code points, widened by ``reach`` on both sides to its scope; scopes also end at
-blank lines.  A weak secret is reported if an identifier's scope overlaps it; a weak
-identifier or endpoint is reported if a secret's scope overlaps it.  Parts are sorted by
+blank lines.  A weak secret is reported if the scope of an identifier overlaps it that is not part of
+it (a long user name is not its own secret); a weak identifier or endpoint is reported if a
+secret's scope overlaps it.  A secret beside an endpoint only is not reported.  Parts are sorted by
 start, so the join is a sweep with binary search, not a loop over pairs.
 
 Edge cases: null and empty texts have no spans (empty strings, zero counts); repeated rows are
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,8 +40,8 @@ KINDS = BASE_KINDS + WEAK_KINDS
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-WEAK_IDENT = re.compile(r"""(?ai:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""", re.ASCII)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{20,}+={0,2}")
+WEAK_IDENT = re.compile(r"""(?ai:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.ASCII)
 WEAK_ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{4,}")
 REACH = 240
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
@@ -93,6 +94,18 @@ def _within(span: Span, scope: tuple[list[int], list[int]]) -> bool:
     return k >= 0 and scope[1][k] > span[0]
 
 
+def _beside(secrets: list[Span], parts: list[Span], walls: list[int], reach: int) -> list[Span]:
+    """Secrets within the scope of a part that does not overlap them; the nearest on each side decides."""
+    starts, ends = sorted(s for s, _, _ in parts), sorted(e for _, e, _ in parts)
+    found = []
+    for span in secrets:
+        before, after = bisect_right(ends, span[0]), bisect_left(starts, span[1])
+        near = [(e - 1, e, "ident") for e in ends[max(before - 1, 0) : before]] + [(s, s + 1, "ident") for s in starts[after : after + 1]]
+        if _within(span, _merged(near, walls, reach)):
+            found.append(span)
+    return found
+
+
 def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak candidates whose complementary part lies in the same scope."""
     weak = weak_candidates(text, any(k == "access" for _, _, k in base))
@@ -102,8 +115,8 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     # An assignment already names its value; other detectors' spans inside it add nothing.
     taken = _merged([x for x in base if x[2] != "access"], [], 0)
     weak = [x for x in weak if not (x[2] == "secret" and _within(x, taken))]
-    idents = _merged([x for x in base if x[2] == "access"] + [x for x in weak if x[2] == "ident"], walls, reach)
-    secrets = [x for x in weak if x[2] == "secret" and _within(x, idents)]
+    idents = [x for x in base if x[2] == "access"] + [x for x in weak if x[2] == "ident"]
+    secrets = _beside([x for x in weak if x[2] == "secret"], idents, walls, reach)
     scope = _merged([x for x in base if x[2] != "access"] + secrets, walls, reach)
     return secrets + [x for x in weak if x[2] != "secret" and _within(x, scope)]
 

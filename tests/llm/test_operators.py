@@ -184,6 +184,22 @@ def test_secret_scopes_end_at_blank_lines():
     assert op09_secrets.linked(far, op09_secrets.base_spans(far)) == []
 
 
+@pytest.mark.parametrize("key", ["Ab1" * 10 + "Zz", "Ab1Z" * 16, "Ab1Z" * 10 + "Ab==", "Ab_1-Z" * 7, "Ab1Z" * 5, "Ab1Z" * 10])
+def test_weak_secrets_of_other_lengths_and_letters(key):
+    text = f"client_id: app77 https://api.example.com/v1 {key} end"
+    spans = op09_secrets.linked(text, op09_secrets.base_spans(text))
+    assert [text[s:e] for s, e, k in spans if k == "secret"] == [key]
+    assert {k for _, _, k in spans} == {"secret", "ident", "endpoint"}
+
+
+def test_a_part_is_not_its_own_complement():
+    for text in (f"login: {'long-user-name-' * 6}", f"key AKIA{'Q' * 16}", "user: bob\n" + "-" * 40, "login: bob " + "Ab1" * 6):
+        assert op09_secrets.linked(text, op09_secrets.base_spans(text)) == []
+    name = "x" * 90
+    text = f"login: {name} " + "Ab1Z" * 8
+    assert [text[s:e] for s, e, k in op09_secrets.linked(text, op09_secrets.base_spans(text)) if k == "ident"] == [f"login: {name}"]
+
+
 def test_redaction(docs):
     out = {r.doc_id: r for r in op09_secrets.redact(docs).collect()}
     assert out[0].text is None and out[18].text.count("[REDACTED]") >= 3 and "hunter2" not in out[18].text
