@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -644,8 +645,10 @@ def split_assignment(spark, d):
 HASHES = "h AS (SELECT vec_id, list_sum(list_transform(range(0, 30), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS bits FROM embeddings)"
 
 
-def _hashes(spark: SparkSession, d: str) -> DataFrame:
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(29)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get(F.col("embedding"), i) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+def _hashes(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
+    """Sign bits of the first ``n`` entries; the 64th is the sign of the BIGINT."""
+    bit = lambda i: F.when(F.get(F.col("embedding"), F.lit(i)) > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    bits = functools.reduce(lambda a, b: a.bitwiseOR(b), (bit(i) for i in range(n)))
     return table(spark, d, "embeddings").select("vec_id", bits.alias("bits"))
 
 
@@ -653,7 +656,7 @@ def _hashes(spark: SparkSession, d: str) -> DataFrame:
 def hamming_pairs(spark, d):
     """Pairs within six bits.  Of seven groups of bits one at least is equal in such a pair, so pairs are
     found by equal groups instead of by comparing all with all."""
-    h = _hashes(spark, d)
+    h = _hashes(spark, d, 30)  # as its SQL, which reads 30 of the 64 entries
     cuts = [0, 5, 9, 13, 17, 21, 25, 30]
     part = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("bits", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("v")) for k in range(7)))
     g = h.select("vec_id", "bits", F.inline(part))

@@ -43,3 +43,17 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_leader_groups_read_all_64_signs(spark, duck):
+    vectors = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    leaders, want = {}, {}
+    for pos, e in vectors:
+        assert len(e) == 64
+        bits = sum(1 << i for i, x in enumerate(e) if x > 0)
+        own = leaders.setdefault(pos % 10, [])
+        want[pos] = next((p for p, b in own if (b ^ bits).bit_count() <= 6), None)
+        if want[pos] is None:
+            want[pos] = pos
+            own.append((pos, bits))
+    assert {r.pos: r.leader for r in catalog.queries()["leader_groups"](spark, FOLDER).collect()} == want
