@@ -52,7 +52,8 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():  # a letter and a sign never share a token
+        # An ASCII letter and a sign never share a token; other letters may lower-case to a letter and a mark.
+        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isascii() and chunk[-2].isalpha():
             ids = self[chunk[:-1]] + self[chunk[-1]]
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""

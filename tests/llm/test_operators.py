@@ -304,3 +304,19 @@ def test_awkward_table(name, awkward, rows, labels, items):
     out = OPERATORS[name](awkward, labels, items)
     assert out.select("doc_id").count() >= len(rows) + 3
     assert out.where("doc_id is null").count() == 2
+
+
+LETTERS = st.sampled_from([*"abzAZ.,;'-_<|># \n\t\x00é0", "İ", "ß", "ﬁ", "ſ", "̇", "Σ", "中", "🙂", "‍", " ", "ǅ", "क", "ि"])
+
+
+@given(st.lists(LETTERS, max_size=14).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_chunks_have_the_tokenisers_ids(text):
+    encoder = op06_packing.encoder_of(op06_packing.public_vocabulary("word_bpe_49k.json"))
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["İ.", "İ,", "aİ.", "ß.", "Σ,", "a.", "a..,", ".", "..."])
+def test_trailing_signs(text):
+    encoder = op06_packing.encoder_of(op06_packing.public_vocabulary("word_bpe_49k.json"))
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
