@@ -6,19 +6,21 @@ before the words.  Turns of the system role stay ``system`` and are nobody's per
 Only the assistant's own words carry loss: ``mask_start``/``mask_end`` bound them (code
 points, end exclusive) in the rendered ``segment``; they are null in all other turns.
 
-The result has one row for each perspective and turn, to be concatenated by ``turn``.  A
+The result has one row for each perspective and turn, to be concatenated in order of ``turn``, then
+``speaker``, then ``segment`` (turn numbers may repeat; rows equal in all three are alike).  A
 dialogue of any length thus never has to fit into one task: turns join their conversation's
 distinct participants, and a hot conversation's turns can be split by the skew join.
 
 Edge cases: a null or empty role speaks as ``unknown``; a null text is empty; null conversation
 or turn numbers are kept and form a conversation of their own; repeated rows are rendered as
 often as they occur; a conversation of system turns only has no participant and no rows;
-marker strings inside a text are defused by a space; other columns are ignored.
+marker strings inside a text or a speaker's written name are defused by a space; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -26,13 +28,17 @@ from .common import table
 SYSTEM = "system"
 
 
+def defused(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     speaker = F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown"))
-    said = turns.select("conv_id", "turn", speaker.alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("content"))
+    said = turns.select("conv_id", "turn", speaker.alias("speaker"), defused(F.coalesce("text", F.lit(""))).alias("content"))
     parts = said.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(own, "assistant").otherwise("user")
-    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.when(F.col("role") == "user", F.concat("speaker", F.lit(": "))).otherwise(""))
+    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.when(F.col("role") == "user", F.concat(defused(F.col("speaker")), F.lit(": "))).otherwise(""))
     start = F.when(F.col("train"), F.length("head")).cast("long")
     return (
         said.join(parts, F.col("conv_id").eqNullSafe(F.col("of")))
@@ -63,7 +69,7 @@ WITH said AS (
          CASE WHEN s.speaker = 'system' THEN 'system' WHEN s.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role
   FROM said s JOIN parts p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), headed AS (
-  SELECT *, '<|' || role || '|>' || chr(10) || CASE WHEN role = 'user' THEN speaker || ': ' ELSE '' END AS head FROM both_
+  SELECT *, '<|' || role || '|>' || chr(10) || CASE WHEN role = 'user' THEN replace(speaker, '<|', '< |') || ': ' ELSE '' END AS head FROM both_
 )
 SELECT conv_id, perspective, turn, speaker, role, train,
        head || content || '<|end|>' || chr(10) AS segment,

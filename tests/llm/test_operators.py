@@ -281,6 +281,20 @@ def test_rotation(spark):
     assert next(r for r in own if r.turn == 1).segment == "<|user|>\nann: hi < |end|><|end|>\n"
 
 
+def test_rotation_on_awkward_tables(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert op10_chat.rotate(spark.createDataFrame([], schema)).count() == 0
+    turns = [(1, 1, "<|system|>", "hello"), (1, 2, "bob", "x" * 200_000), (1, 2, "bob", "again"), (None, 1, "ann", None), (None, 1, "ann", None)]
+    names = ["of", "perspective", "speaker", "content", "head", "train", "segment", "mask_start"]
+    from pyspark.sql import functions as F
+
+    out = op10_chat.rotate(spark.createDataFrame(turns, schema).withColumns({n: F.lit("x") for n in names}))
+    rows = out.orderBy("conv_id", "perspective", "turn", "speaker", "segment").collect()
+    assert len(rows) == 8 and rows[0].segment == rows[1].segment == "<|assistant|>\n<|end|>\n" and rows[0].mask_start == rows[0].mask_end
+    assert [r.segment for r in rows if r.perspective == "bob" and r.role == "user"] == ["<|user|>\n< |system|>: hello<|end|>\n"]
+    assert all(r.segment.count("<|") == 2 for r in rows)
+
+
 OPERATORS = {
     "rules": lambda d, labels, items: op01_rules.judge(d, labels),
     "mixing": lambda d, labels, items: op02_mixing.score(d),
