@@ -10,10 +10,10 @@ A credential is often spread over several places: an identifier, its secret and
 they open.  Each of those parts alone is weak evidence (a user name, 20 or more letters of base64,
 url-safe or not, a URL), so weak parts are *candidates* only, and an interval join decides: every part is an
 interval of code points, widened by ``reach`` on both sides to its scope; scopes also end at
-blank lines.  A weak secret is reported if the scope of an identifier overlaps it that is not part of
-it (a long user name is not its own secret); a weak identifier or endpoint is reported if a
-secret's scope overlaps it.  A secret beside an endpoint only is not reported.  Parts are sorted by
-start, so the join is a sweep with binary search, not a loop over pairs.
+blank lines.  A weak secret is reported if the scope of an identifier or an endpoint overlaps it that is
+not part of it (a long user name or a path in a URL is not its own secret); beside an endpoint alone it must hold both letters and
+digits, as long words stand beside links everywhere.  A weak identifier or endpoint is reported if a
+secret's scope overlaps it.  Parts are sorted by start, so the join is a sweep with binary search, not a loop over pairs.
 
 Edge cases: null and empty texts have no spans (empty strings, zero counts); repeated rows are
 scanned one by one; an empty table gives an empty result; other columns are ignored by
@@ -43,6 +43,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{20,}+={0,2}")
 WEAK_IDENT = re.compile(r"""(?ai:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.ASCII)
 WEAK_ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{4,}")
+MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 REACH = 240
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
@@ -61,13 +62,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_candidates(text: str, identified: bool) -> list[Span]:
-    """Weak parts, reported only when linked; a bare secret needs some identifier in the text."""
+    """Weak parts, reported only when linked; a bare secret needs some identifier or endpoint in the text."""
     found: list[Span] = []
     if "=" in text or ":" in text:
         found += [(m.start(), m.end(), "ident") for m in WEAK_IDENT.finditer(text)]
     if "://" in text:
         found += [(m.start(), m.end(), "endpoint") for m in WEAK_ENDPOINT.finditer(text)]
-    if identified or any(k == "ident" for _, _, k in found):
+    if identified or found:
         found += [(m.start(), m.end(), "secret") for m in WEAK_SECRET.finditer(text)]
     return found
 
@@ -116,7 +117,10 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     taken = _merged([x for x in base if x[2] != "access"], [], 0)
     weak = [x for x in weak if not (x[2] == "secret" and _within(x, taken))]
     idents = [x for x in base if x[2] == "access"] + [x for x in weak if x[2] == "ident"]
-    secrets = _beside([x for x in weak if x[2] == "secret"], idents, walls, reach)
+    endpoints = [x for x in weak if x[2] == "endpoint"]
+    bare = [x for x in weak if x[2] == "secret"]
+    mixed = [x for x in bare if MIXED.match(text, x[0], x[1]) and not _within(x, _merged(endpoints, [], 0))] if endpoints else []
+    secrets = sorted({*_beside(bare, idents, walls, reach), *_beside(mixed, endpoints, walls, reach)})
     scope = _merged([x for x in base if x[2] != "access"] + secrets, walls, reach)
     return secrets + [x for x in weak if x[2] != "secret" and _within(x, scope)]
 

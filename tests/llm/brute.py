@@ -125,3 +125,62 @@ def rules_base(text):
         if n[tuple(w[i : i + 5])] > 1:
             rep.update(range(i, i + 5))
     return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in text), len(lines) - len(set(lines)), len(rep), len(w) < 10 or 100 * len(rep) > 20 * len(w)
+
+
+_VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+
+def _assigned(text, i):
+    """End of an assignment that begins at i, whatever its value's length, and where the value begins."""
+    low = "".join(c.lower() if c.isascii() else c for c in text[i : i + 8])
+    for name in _NAMES:
+        if low.startswith(name):
+            j = i + len(name)
+            j += text[j : j + 1] in ("'", '"') and j < len(text)
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "=") or j >= len(text):
+                continue
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"') and j < len(text)
+            k = j
+            while k < len(text) and text[k] in _VALUE:
+                k += 1
+            if k > j:
+                return j, k
+    return None
+
+
+def secrets(text):
+    """Base spans by walking over the characters; a match that is too short uses up its letters."""
+    out, i = [], 0
+    while i < len(text):
+        if found := _assigned(text, i):
+            if found[1] - found[0] >= 6:
+                out.append((i, found[1], "assign"))
+            i = found[1]
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        j = i + 4
+        while text[i : i + 4] == "AKIA" and j < len(text) and text[j] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+            j += 1
+        if j > i + 4:
+            if j - i >= 20:
+                out.append((i, j, "access"))
+            i = j
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in "0123456789abcdef":
+            j += 1
+        if j - i >= 24:
+            out.append((i, j, "hex"))
+        i = max(j, i + 1)
+    return out

@@ -161,18 +161,29 @@ def test_sketches_merge_and_estimate():
     assert abs(op08_setsketch.joint_estimate(ra, rb, len(a), len(both)) - 0.6) < 0.15
 
 
+SECRET_PARTS = st.sampled_from(["password", "passwd", "Secret", "TOKEN", "api_key", "apikey", "api__key", '"', "'", " ", "  ", "\n", ":", "=", "abcdef", "abc", "x+/=_.-", "AKIA", "AKIA" + "Q" * 16, "A1B2", "0123456789abcdef", "f" * 24, "f" * 23, "é", "ſ", "K", "-"])
+
+
+@given(st.lists(SECRET_PARTS, max_size=14).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_base_spans(text):
+    assert sorted(op09_secrets.base_spans(text)) == sorted(brute.secrets(text))
+
+
 def test_secrets(docs, rows):
     for r in op09_secrets.scan(docs).collect():
         text = dict(rows)[r.doc_id] or ""
-        base = op09_secrets.base_spans(text)
+        base = brute.secrets(text)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, _, k in base) for kind in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(op09_secrets.joined(base).encode()).hexdigest()
         assert set(op09_secrets.joined(base).split(",")) <= set(r.spans.split(",")) | {""}
     known = next(t for _, t in rows if t and "login: admin7" in t)
     kinds = {k for _, _, k in op09_secrets.base_spans(known) + op09_secrets.linked(known, op09_secrets.base_spans(known))}
     assert kinds == {"assign", "access", "secret", "ident", "endpoint"}
-    alone = "see https://vault.example.com/x and " + "Ab1" * 13 + "Z"
-    assert op09_secrets.linked(alone, op09_secrets.base_spans(alone)) == []
+    beside = "see https://vault.example.com/x and " + "Ab1" * 13 + "Z"
+    assert [k for _, _, k in op09_secrets.linked(beside, op09_secrets.base_spans(beside))] == ["secret", "endpoint"]
+    for alone in ("Ab1" * 13 + "Z", "see https://vault.example.com/x and " + "Abcd" * 10, "see https://vault.example.com/" + "Ab1" * 13, f"https://vault.example.com/x{' ' * 300}" + "Ab1" * 13):
+        assert op09_secrets.linked(alone, op09_secrets.base_spans(alone)) == []
     assert op09_secrets.base_spans("secret=token:abcdefg") == []
     assert op09_secrets.base_spans("ſecret=abcdefg") == []
 
