@@ -158,7 +158,18 @@ def test_sketches_merge_and_estimate():
     ra, rb = op08_setsketch.registers(a), op08_setsketch.registers(both)
     union = op08_setsketch.registers(np.union1d(a, both))
     assert (np.maximum(ra, rb) == union).all()
-    assert abs(op08_setsketch.joint_estimate(ra, rb, len(a), len(both)) - 0.6) < 0.15
+    (found,) = op08_setsketch.joint_estimates(ra[None], rb[None], np.array([800.0]), np.array([800.0]))
+    assert abs(found - 0.6) < 0.15
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Rows of one doc_id with several texts, and rows without an id, are linked by their own texts."""
+    a, b = ([f"{p}{k}" for k in range(60)] for p in "qr")
+    near = lambda w, k: " ".join(w[:k] + ["changed"] + w[k + 1 :])
+    rows = [(1, "aaa " + " ".join(a)), (1, " ".join(b)), (5, near(b, 30)), (7, near(a, 3)), (None, " ".join(f"s{k}" for k in range(60))), (None, near([f"s{k}" for k in range(60)], 9)), (None, near(b, 57)), (9, None), (None, "")]
+    out = op08_setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in out.collect()), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (5, 1, False), (7, 1, False), (None, None, True), (None, None, True), (None, 1, False), (9, 9, True), (None, None, True)], key=str)
 
 
 SECRET_PARTS = st.sampled_from(["password", "passwd", "Secret", "TOKEN", "api_key", "apikey", "api__key", '"', "'", " ", "  ", "\n", ":", "=", "abcdef", "abc", "x+/=_.-", "AKIA", "AKIA" + "Q" * 16, "A1B2", "0123456789abcdef", "f" * 24, "f" * 23, "é", "ſ", "K", "-"])
