@@ -249,34 +249,6 @@ def test_rules_learn_thresholds(spark):
     assert rules and wrong < 30
 
 
-def test_mixing(docs, rows):
-    want = brute.unigram(rows)
-    out = op02_mixing.score(docs, dictionary=50).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        held, n, known, total, base = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0 and math.isfinite(r.score)
-
-
-def test_mixing_is_a_distribution(spark):
-    """The first byte's probabilities add up to one."""
-    docs = spark.createDataFrame([(k, "the cat sat on the mat " * 3) for k in range(9)], "doc_id long, text string")
-    vocabulary = docs.selectExpr("false as held_out", "text").mapInArrow(op02_mixing._vocabulary, "word binary, c long, n long").groupBy("word").sum("c", "n").toDF("word", "c", "n").cache()
-    mixer = op02_mixing.train(vocabulary)()
-    total = 0.0
-    for byte in range(256):
-        data = np.array([byte], np.uint8)
-        context = op02_mixing.contexts(data, np.array([1]))
-        p = 1.0
-        for _, at, bit in mixer.code.steps(context, data):
-            x, gate = mixer.inputs(at)
-            one = float(mixer.probability(mixer.mixed(x, gate), gate)[0])
-            p *= one if bit[0] else 1 - one
-        total += p
-    assert math.isclose(total, 1.0, rel_tol=0.02)
-
-
 def test_toxicity(docs, labels, rows):
     out = op03_toxicity.classify(docs, labels).collect()
     texts = dict(rows)
