@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,16 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    folder of this machine."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests on
+    one machine) a folder of this machine."""
     bounded(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         set_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if set_dir is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(set_dir or Path(tempfile.mkdtemp(prefix="parcelmill-")).as_uri())
     return sc.getCheckpointDir()
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames has it (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def key_of(docs: DataFrame) -> Column:
+    """The row key that ``with_key`` gives."""
+    return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the copy."""
     shared_dir(df.sparkSession)
@@ -57,4 +73,4 @@ def with_key(docs: DataFrame, *more: str) -> DataFrame:
     apart by their text.  Rows equal in both share the key, and every result computed for them."""
     bounded(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), *more)
+    return docs.select("doc_id", text.alias("text"), key_of(docs).alias("row_key"), *more)

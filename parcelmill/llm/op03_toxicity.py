@@ -207,8 +207,8 @@ def _sets(rows: pa.Table) -> Sets:
     return Sets(np.frombuffer(b"".join(cells), np.int32), starts)
 
 
-def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``score`` for every row, beside the columns named."""
+def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The score, as column ``name``, for every row, beside the columns named."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +217,10 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -
                 doc, place = places(data, offsets)
                 n = len(offsets) - 1
                 values = sigmoid(shared.value.logits(doc, place, n))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in extra), pa.array(values)], [*extra, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in extra), pa.array(values)], [*extra, name])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*extra, *({"text"} - set(extra))).mapInArrow(K.task(run), ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", score double")
+    return docs.select(*extra, *({"text"} - set(extra))).mapInArrow(K.task(run), ", ".join(f"`{c}` {kinds[c]}" for c in extra) + f", `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

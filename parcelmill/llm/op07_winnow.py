@@ -85,6 +85,11 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: words, hit words, the items found and their digest."""
+    return judged(docs, items, width, gram, broadcast_rows).drop("row_key")
+
+
+def judged(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``find`` with the ``row_key`` that tells rows of one doc_id apart."""
     spread = width - gram + 1
     windows = cut(windows_of(items, width))
     sizes = [r.n for r in windows.select("n").distinct().orderBy("n").collect()]  # at most ``width`` numbers
@@ -114,7 +119,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM
         hits = found if hits is None else hits.unionByName(found)
     base = docs.select("doc_id", "row_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
-        none = base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"))
+        none = base.select("row_key", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"))
         return none.select("*", F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     hits = cut(hits.distinct())
     return _summed(base, hits, windows, broadcast_rows)
@@ -134,7 +139,7 @@ def _summed(base: DataFrame, hits: DataFrame, windows: DataFrame, broadcast_rows
     joined = base.join(a, (F.col("row_key") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("d1")), "left").join(b, (F.col("row_key") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return joined.select("row_key", "doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,49 @@ def test_stages(spark, docs, labels, items, rows, tmp_path):
         assert stage[name](spark, docs, str(tmp_path)).columns == docs.columns
 
 
+NAMES = ["id", "score", "key", "row_key", "chosen_id", "chosen_key", "kept", "contaminated", "n_words", "component_id", "first_key", "n_shingles", "run", "length", "place"]
+
+
+def tables(folder, labels, items):
+    labels.write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages_on_an_empty_table(spark, empty, labels, items, tmp_path):
+    import corpus_pipeline
+
+    folder = tables(tmp_path, labels, items)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_on_an_awkward_table(spark, labels, items, tmp_path):
+    """Clashing names, null and repeated ids, rows of one id with a clean and a bad text."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    folder = tables(tmp_path, labels, items)
+    bad = "the quick brown fox jumps over the lazy dog again and again until it rests at last"
+    own = lambda p: " ".join(f"{p}{k}" for k in range(40))
+    rows = [(None, bad), (None, own("a")), (None, None), (1, bad), (1, own("b")), (2, own("c")), (2, own("c")), (3, own("c") + " more"), (4, ""), (4, ""), (5, own("d") * 400)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit("x") for n in NAMES})
+    stage = dict(corpus_pipeline.STAGES)
+
+    def left(name):
+        out = stage[name](spark, docs, folder)
+        assert out.columns == docs.columns and out.where("score <> 'x' or id <> 'x'").isEmpty()
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    clean = sorted([r for r in rows if r[1] != bad], key=str)
+    assert left("toxicity") == sorted(rows, key=str) == left("secrets")
+    assert left("decontamination") == clean
+    # The two rows of the benchmark passage are copies, of which the one with an id stays; of 2, 2 and 3 one stays.
+    assert left("near_duplicates") == sorted([(None, own("a")), (None, None), (1, bad), (1, own("b")), (2, own("c")), (4, ""), (4, ""), (5, own("d") * 400)], key=str)
+    assert stage["packing"](spark, docs, folder).select("doc_id").distinct().count() == 6
+
+
 def test_run(spark, docs, labels, items, tmp_path):
     import corpus_pipeline
 
