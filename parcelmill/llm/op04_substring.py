@@ -5,7 +5,9 @@ over it occurs anywhere else in the corpus (another place of the same document i
 
 1. *Merged partition sketches.*  A window's count is at most that of any of its sub-grams, so
    the sketch counts sub-grams only, and of these only such as are least-hashed among
-   ``SPREAD`` neighbours (every window holds several, the same ones in each of its copies).
+   ``SPREAD`` neighbours (every window holds several, the same ones in each of its copies).  The sketch is broadcast; where the
+   corpus is too large for one (``sketch.OVERLOAD``), sub-grams (of wider neighbourhoods, ``WIDE``) are counted by a shuffle
+   and the levels of repeated ones come back to their documents.
 2. *Estimate.*  A window's estimate is the least of its sub-grams' cells, over sub-gram
    groups that lie wholly in the window.  It is never below the true count, so windows with
    an estimate of one are unique.
@@ -35,7 +37,7 @@ from . import sketch
 from .common import table, with_key
 
 WIDTH = 35
-SPREAD = 8
+SPREAD, WIDE = 8, 20
 BYTES_PER_CELL = 16
 
 
@@ -56,9 +58,8 @@ def _groups(words: K.Words, hashes: np.ndarray, k: int, spread: int):
     return grams, K.minimizers(grams, spread, room)
 
 
-def estimated(words: K.Words, hashes: np.ndarray, counts: sketch.Sketch, width: int, spread: int) -> np.ndarray:
+def estimated(words: K.Words, hashes: np.ndarray, counts: sketch.Sketch | sketch.Known, width: int, k: int, spread: int) -> np.ndarray:
     """Starts of the windows whose estimate is over one."""
-    k = _gram(width, spread)
     _, (least, fits, _) = _groups(words, hashes, k, spread)
     turn = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, np.int64)
     level = np.repeat(counts.level(least[turn]), np.diff(np.append(turn, len(least))))
@@ -80,16 +81,26 @@ def remove(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, max_cells:
     k = _gram(width, spread)
     spark = docs.sparkSession
     docs = with_key(docs)
-
-    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, data, offsets in K.blocks(batch):
-            words, hashes = _words(data, offsets)
-            grams, (_, _, chosen) = _groups(words, hashes, k, spread)
-            yield grams[chosen]
-
     texts = docs.select("text")
-    counts = sketch.build(texts, anchors, sketch.size_for(texts, BYTES_PER_CELL, max_cells))
-    shared = spark.sparkContext.broadcast(counts)
+    log_cells = sketch.size_for(texts, BYTES_PER_CELL, max_cells)
+    if log_cells is None:
+        spread = max(spread, min(WIDE, width - k))
+
+    def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, hashes = _words(data, offsets)
+        grams, (_, _, chosen) = _groups(words, hashes, k, spread)
+        at = np.flatnonzero(chosen)
+        return grams[at], np.searchsorted(words.first, at, "right") - 1
+
+    if log_cells is None:
+        shared = None
+        docs = sketch.returned(docs, anchors)
+    else:
+        shared = spark.sparkContext.broadcast(sketch.build(texts, lambda batch: (anchors(data, offsets)[0] for _, data, offsets in K.blocks(batch)), log_cells))
+        docs = docs.withColumn("found", F.lit(None).cast(sketch.RETURNED))
+
+    def counts_for(batch: pa.RecordBatch, row: int, n: int) -> sketch.Sketch | sketch.Known:
+        return sketch.Known(batch.column("found").slice(row, n)) if shared is None else shared.value
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +108,7 @@ def remove(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, max_cells:
             ids = batch.column("doc_id")
             for row, data, offsets in K.blocks(batch):
                 words, hashes = _words(data, offsets)
-                starts = estimated(words, hashes, shared.value, width, spread)
+                starts = estimated(words, hashes, counts_for(batch, row, len(offsets) - 1), width, k, spread)
                 if not len(starts):
                     continue
                 doc = np.searchsorted(words.first, starts, "right") - 1
@@ -119,7 +130,7 @@ def remove(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, max_cells:
             ids = batch.column("doc_id")
             for row, data, offsets in K.blocks(batch):
                 words, hashes = _words(data, offsets)
-                starts = estimated(words, hashes, shared.value, width, spread)
+                starts = estimated(words, hashes, counts_for(batch, row, len(offsets) - 1), width, k, spread)
                 part = single.slice(row, len(offsets) - 1)
                 lone = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(lone):
@@ -141,7 +152,7 @@ def remove(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, max_cells:
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([x[1] for x in out], pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
     joined = docs.join(once.hint("shuffle_hash"), (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return joined.select("doc_id", "text", "single").mapInArrow(K.task(settle), RESULT + ", kept_text string" * with_text)
+    return joined.select("doc_id", "text", "found", "single").mapInArrow(K.task(settle), RESULT + ", kept_text string" * with_text)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

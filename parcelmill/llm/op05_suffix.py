@@ -7,7 +7,9 @@ longest previous factor is ``length`` or more.
 One suffix array of a whole corpus fits no machine, so suffixes are dealt out by content:
 
 1. A merged count-min sketch holds how often short grams occur.  A string with a gram seen once
-   cannot repeat, which settles nearly all places of unrepeated text.
+   cannot repeat, which settles nearly all places of unrepeated text.  The sketch is broadcast; where the corpus is too
+   large for one (``sketch.OVERLOAD``), grams (of wider neighbourhoods, ``WIDE``) are counted by a shuffle and the
+   levels of repeated ones come back to their documents.
 2. Every other string is dealt by its *rarest* gram (least level in the sketch, then least hash), which
    equal strings share.  Strings in a row with the same rarest gram travel as one segment.  The
    rarest gram keeps a common phrase out of its neighbours' buckets: only strings that lie
@@ -43,16 +45,18 @@ from .common import table, with_key
 
 LENGTH = 100
 GRAM = 24
-SPREAD = 28
+SPREAD, WIDE = 28, 60
+HOT = 12  # levels are powers of two
+HASHED = 16  # bytes of a string's hash
 BYTES_PER_CELL = 4
 MAX_CELLS = 1 << 27  # one row, 64 MB: as good here as two of half the size, and half as much to merge
 CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
 
-def _shape(length: int) -> tuple[int, int]:
+def _shape(length: int, exact: bool = False) -> tuple[int, int]:
     gram = max(1, min(GRAM, length // 4))
-    return gram, max(1, min(SPREAD, length // 2 - gram + 1))
+    return gram, max(1, min(WIDE, length - gram) if exact else min(SPREAD, length // 2 - gram + 1))
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, gram: int, spread: int):
@@ -66,9 +70,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray, gram: int, spread: int):
     return hashes, room, K.minimizers(hashes, spread, room[: len(hashes)] - gram + 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, counts: sketch.Sketch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rarest gram, first string, last string) of the segments of strings that may repeat."""
-    gram, spread = _shape(length)
+def segments(data: np.ndarray, offsets: np.ndarray, counts: sketch.Sketch | sketch.Known, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rarest gram's level and hash, first string, last string) of the segments of strings that may repeat."""
+    gram, spread = _shape(length, isinstance(counts, sketch.Known))
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(K.U), none, none
@@ -185,6 +189,15 @@ def _earliest(doc: np.ndarray, key: np.ndarray, first: np.ndarray, bodies: pa.Ar
 def _unmatched(gram: np.ndarray, doc: np.ndarray, key: np.ndarray, first: np.ndarray, bodies: pa.Array, length: int) -> Iterator[pa.RecordBatch]:
     """Runs of strings with no earlier match, for whole buckets."""
     pick = _earliest(doc, key, first, bodies)
+    # Of strings that came as hashes the earliest is free, and all others are not.
+    at = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1 + bodies.offset)[bodies.offset :]
+    short = np.diff(at)[pick] == HASHED
+    if length > HASHED and short.any():
+        own = pick[short]
+        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(doc[own]), pa.array(first[own]), pa.array(first[own])], ["row_key", "doc_id", "first", "last"])
+        pick = pick[~short]
+    if not len(pick):
+        return
     # A bucket's only segment has no earlier match but in itself, for which its gram must come twice.
     data, at = _sizes(bodies.take(pa.array(pick)))
     seg = np.repeat(np.arange(len(pick)), np.diff(at))
@@ -231,23 +244,35 @@ def _unmatched(gram: np.ndarray, doc: np.ndarray, key: np.ndarray, first: np.nda
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS, with_bytes: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, digest of what is kept (and, on
     request, the kept bytes as ``kept``)."""
-    gram, spread = _shape(length)
     spark = docs.sparkSession
     # 32 bits tell rows of one doc_id apart.
-    docs = with_key(docs).select("doc_id", "text", F.hash("row_key").alias("short_key"))
-
-    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, data, offsets in K.blocks(batch):
-            if len(data) >= gram + spread:
-                hashes, _, (_, _, chosen) = _grams(data, offsets, gram, spread)
-                yield hashes[chosen]
+    docs = with_key(docs).select("doc_id", "text", "row_key", F.hash("row_key").alias("short_key"))
 
     texts = docs.select("text")
-    counts = sketch.build(texts, anchors, sketch.size_for(texts, BYTES_PER_CELL, max_cells), rows=1)
-    shared = spark.sparkContext.broadcast(counts)
+    log_cells = sketch.size_for(texts, BYTES_PER_CELL, max_cells)
+    exact = log_cells is None
+    gram, spread = _shape(length, exact)
+
+    def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(data) < gram + spread:
+            return np.zeros(0, K.U), np.zeros(0, np.int64)
+        hashes, _, (_, _, chosen) = _grams(data, offsets, gram, spread)
+        at = np.flatnonzero(chosen)
+        return hashes[at], np.searchsorted(offsets, at, "right") - 1
+
+    if exact:
+        shared = None
+        docs = sketch.returned(docs, anchors)
+    else:
+        shared = spark.sparkContext.broadcast(sketch.build(texts, lambda batch: (anchors(data, offsets)[0] for _, data, offsets in K.blocks(batch)), log_cells, rows=1))
+        docs = docs.withColumn("found", F.lit(None).cast(sketch.RETURNED))
+    docs = docs.drop("row_key")
+
+    def counts_for(batch: pa.RecordBatch, row: int, n: int) -> sketch.Sketch | sketch.Known:
+        return sketch.Known(batch.column("found").slice(row, n)) if exact else shared.value
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of a task, equal ones merged as far as they are held together."""
@@ -266,7 +291,21 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS, wi
             keys = batch.column("short_key").to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for row, data, offsets in K.blocks(batch):
-                rarest, first, last = segments(data, offsets, shared.value, length)
+                rarest, first, last = segments(data, offsets, counts_for(batch, row, len(offsets) - 1), length)
+                if not len(first):
+                    continue
+                often = rarest >> K.U(60) >= hot
+                if length > HASHED and often.any():
+                    sizes = (last - first + 1)[often]
+                    at = np.repeat(first[often] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    pair = [K._ROLL[7 + seed].spans(K._ROLL[7 + seed].prefix(K._BYTES[seed][data]), at, at + length) for seed in (0, 1)]
+                    doc = np.searchsorted(offsets, at, "right") - 1
+                    body = np.stack(pair, axis=1).reshape(-1).view(np.uint8)
+                    place = np.arange(0, len(body) + 1, HASHED, dtype=np.int32)
+                    bodies = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(place.tobytes()), pa.py_buffer(body.tobytes())])
+                    held.append(([_bucket(pair[0], 8), ids[row + doc], keys[row + doc], (at - offsets[doc]).astype(np.int32)], bodies))
+                    size += 2 * len(body)
+                    rarest, first, last = rarest[~often], first[~often], last[~often]
                 if not len(first):
                     continue
                 doc = np.searchsorted(offsets, first, "right") - 1
@@ -314,8 +353,8 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS, wi
         for batch in batches:
             ids, free = batch.column("doc_id"), batch.column("free")
             for row, data, offsets in K.blocks(batch):
-                _, first, last = segments(data, offsets, shared.value, length)
                 n = len(offsets) - 1
+                _, first, last = segments(data, offsets, counts_for(batch, row, n), length)
                 gone = np.zeros(len(data) + 1, np.int32)
                 np.add.at(gone, first, 1)
                 np.add.at(gone, last + 1, -1)
@@ -340,7 +379,7 @@ def remove(docs: DataFrame, length: int = LENGTH, max_cells: int = MAX_CELLS, wi
 
     same = (F.col("short_key") == F.col("key")) & (F.coalesce(F.col("doc_id"), F.lit(NO_ID).cast("long")) == F.col("id"))
     joined = docs.join(kept.hint("shuffle_hash"), same, "left")
-    return joined.select("doc_id", "text", "free").mapInArrow(K.task(settle), RESULT + ", kept binary" * with_bytes)
+    return joined.select("doc_id", "text", "found", "free").mapInArrow(K.task(settle), RESULT + ", kept binary" * with_bytes)
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

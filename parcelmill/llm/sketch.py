@@ -7,8 +7,9 @@ four bits, rounded down, so every power from two up still proves "may repeat" an
 A stored cell is never below the true level of a hash in it.
 
 The table that reaches the driver and is broadcast has at most ``rows * max_cells / 2`` bytes
-(64 MB by default), whatever the input.  Beyond the size where the cells fill up, estimates
-only grow, so more windows go to the exact pass; none is lost.
+(64 MB by default).  A text of more than ``OVERLOAD`` times what those cells are meant for would fill them, so
+that everything seems to repeat; there counts are tables instead, which grow with the input and never leave the
+cluster: hashes are counted by a shuffle, and those that occur more than once come back to their documents (``returned``).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from . import kernel
 BITS = 16
 ROWS = 2
 MAX_CELLS = 1 << 26
+OVERLOAD = 2
 FLUSH = 1 << 22
 U = np.uint64
 MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)]
@@ -88,10 +90,57 @@ class Sketch:
         return least
 
 
-def size_for(docs: DataFrame, bytes_per_cell: int, max_cells: int = MAX_CELLS) -> int:
-    """log2 of the cells of a row, from the bytes of all texts."""
+def size_for(docs: DataFrame, bytes_per_cell: int, max_cells: int = MAX_CELLS) -> int | None:
+    """log2 of the cells of a row, from the bytes of all texts; None where a sketch would be overloaded."""
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max(n // bytes_per_cell, 1 << BITS), max_cells).bit_length() - 1
+    if n > OVERLOAD * bytes_per_cell * max_cells:
+        return None
+    return min(max(n // bytes_per_cell, 1 << BITS), max(max_cells, 1 << BITS)).bit_length() - 1
+
+
+class Known:
+    """Exact levels of the hashes that occur more than once, as they came back to some documents."""
+
+    def __init__(self, found: pa.ListArray):
+        each = found.flatten()
+        hashes, levels = (each.field(k).to_numpy(zero_copy_only=False) for k in ("h", "level"))
+        self.hashes, at = np.unique(hashes.view(U), return_index=True)
+        self.levels = levels.astype(np.uint8)[at]
+
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), np.uint8)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.levels[at], 1).astype(np.uint8)
+
+
+RETURNED = "array<struct<h:bigint,level:int>>"
+
+
+def returned(docs: DataFrame, hashes_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``docs`` with ``found``, the hashes of each row that occur more than once in all rows, and their levels.
+
+    ``hashes_of`` gives the hashes of a block and the document of each.  A hash in a third of all documents is counted in
+    each task first; on the way back its rows are an ordinary join's, which the skew join splits."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("row_key").to_numpy(zero_copy_only=False)
+            for row, data, offsets in kernel.blocks(batch):
+                hashes, doc = hashes_of(data, offsets)
+                order = np.lexsort((hashes, doc))
+                hashes, doc = hashes[order], doc[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row + doc[at]]), pa.array(hashes[at].view(np.int64)), pa.array(times.astype(np.int32))], ["of", "h", "times"])
+
+    rows = docs.select("row_key", "text").mapInArrow(kernel.task(each), "of long, h long, times int")
+    counts = rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1")
+    level = F.least(F.floor(F.log2("n")) + 1, F.lit(15)).cast("int")
+    back = rows.select("of", "h").join(counts.select("h", level.alias("level")), "h").groupBy("of").agg(F.collect_set(F.struct("h", "level")).alias("found"))
+    return docs.join(back, F.col("row_key") == F.col("of"), "left").drop("of").withColumn("found", F.coalesce("found", F.array().cast(RETURNED)))
 
 
 def build(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log_cells: int, rows: int = ROWS) -> Sketch:

@@ -25,6 +25,11 @@ def test_substring_with_a_full_sketch_loses_nothing(docs, rows):
     assert got(op04_substring.remove(docs, max_cells=1 << 16)) == sorted(brute.substring(rows))
 
 
+def test_substring_counted_by_a_shuffle(docs, rows):
+    assert got(op04_substring.remove(docs, max_cells=0)) == sorted(brute.substring(rows))
+    assert got(op04_substring.remove(docs, width=5, max_cells=0)) == sorted(brute.substring(rows, 5))
+
+
 def test_substring_repeated_rows(awkward, rows):
     out = op04_substring.remove(awkward)
     assert out.count() == len(rows) + 3
@@ -37,6 +42,23 @@ def test_suffix(docs, rows):
     assert got(op05_suffix.remove(docs, length=40)) == sorted(brute.suffix(rows, 40))
 
 
+@pytest.mark.parametrize("more", [{"max_cells": 0}, {"hot": 2}, {"hot": 3, "max_cells": 0}])
+def test_suffix_by_a_shuffle_and_by_hashed_strings(docs, rows, more):
+    assert got(op05_suffix.remove(docs, **more)) == sorted(brute.suffix(rows))
+    assert got(op05_suffix.remove(docs, length=40, **more)) == sorted(brute.suffix(rows, 40))
+
+
+def test_suffix_of_few_lines_in_many_orders(spark):
+    import random
+
+    rng = random.Random(4)
+    lines = [" ".join(f"l{rng.randrange(30)}x{k}" for _ in range(7)) + "\n" for k in range(6)]
+    rows = [(d, "".join(rng.choices(lines, k=8)) + f"end {d}") for d in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(brute.suffix(rows))
+    assert got(op05_suffix.remove(docs)) == want == got(op05_suffix.remove(docs, hot=4))
+
+
 def test_suffix_repeated_rows(awkward, rows):
     out = op05_suffix.remove(awkward)
     assert out.count() == len(rows) + 3
