@@ -54,10 +54,11 @@ def key_of(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the copy.  ``narrow``: rows are few and
+    short for each core, so a few parts a core will do, whatever the number of shuffle partitions."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).checkpoint(eager=True)
 
 
 BROADCAST_BYTES = 16 << 20

@@ -9,8 +9,8 @@ of its own length).  A document's word is hit if it lies in any occurrence of a
   for by grams of their own length, all of which are kept.
 * *Join.*  The distinct fingerprints of the benchmark are joined to those of the documents by a semi
   join, which can't multiply rows.  They are broadcast only if their count is at most
-  ``broadcast_rows``; otherwise both sides are shuffled, and as hot fingerprints are spread by
-  the document's id before the join, no fingerprint needs one task.
+  ``broadcast_rows``; otherwise both sides are shuffled by fingerprint and salt: a document's salt comes
+  from its key and the benchmark's few rows stand under every salt, so a hot fingerprint is spread over ``SALTS`` tasks.
 * *Extension.*  All windows of each hit's run are spelled out and joined, as text, with the
   benchmark's distinct windows.
 * A window leads to the sorted set of its items; equal sets are one row, so a passage shared by
@@ -32,6 +32,7 @@ from .common import cut, table, with_key
 WIDTH = 10
 GRAM = 5
 BROADCAST_ROWS = 100_000
+SALTS = 32
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,6 +76,14 @@ def spelled(w: Column, start: Column, n: int) -> Column:
     return F.array_join(F.slice(w, start, n), " ")
 
 
+def among(rows: DataFrame, known: DataFrame, column: str, few: bool) -> DataFrame:
+    """Rows whose ``column`` is in ``known``: by broadcast, or by column and salt."""
+    if few:
+        return rows.join(F.broadcast(known), column, "left_semi")
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salted, [column, "salt"], "left_semi").drop("salt")
+
+
 def windows_of(items: DataFrame, width: int) -> DataFrame:
     """Distinct windows with the sorted set of their items' ids (as text)."""
     w = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -102,7 +111,7 @@ def judged(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GR
         few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
         marks = docs.select("row_key", "doc_id", F.explode(fingerprints(words(F.col("text")), k, s)).alias("f"))
         marks = marks.select("row_key", "doc_id", F.col("f.hash").alias("hash"), F.struct("f.place", "f.last").alias("run"))
-        at = marks.join(F.broadcast(known) if few else known, "hash", "left_semi")
+        at = among(marks, known, "hash", few)
         at = cut(at.groupBy(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).agg(F.collect_set("run").alias("runs")))
         # Words of the documents with a hit only; their places are bounded by their length.
         near = at.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -114,7 +123,7 @@ def judged(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GR
         spread_out = hit_docs.select("row_key", "doc_id", F.inline(texts))
         target = own.select("window", "items")
         small = few and target.limit(broadcast_rows + 1).count() <= broadcast_rows
-        found = spread_out.join(F.broadcast(target.select("window")) if small else target.select("window"), "window", "left_semi")
+        found = among(spread_out, target.select("window"), "window", small)
         found = found.select("row_key", "doc_id", F.lit(n).alias("n"), "start", "window")
         hits = found if hits is None else hits.unionByName(found)
     base = docs.select("doc_id", "row_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))

@@ -190,12 +190,12 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
     registers rule a link out, so that only the others' texts are moved."""
     a = sketches.select(F.col("node").alias("x"), F.col("registers").alias("rx"), F.col("n_shingles").alias("nx"))
     b = sketches.select(F.col("node").alias("y"), F.col("registers").alias("ry"), F.col("n_shingles").alias("ny"))
-    judged = cut(pairs.join(a, "x").join(b, "y").mapInArrow(K.task(_estimate), "x long, y long, near boolean"))
+    judged = cut(pairs.join(a, "x").join(b, "y").mapInArrow(K.task(_estimate), "x long, y long, near boolean"), narrow=True)
     a = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
     b = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
     full = judged.where("near").select("x", "y").join(a, "x").join(b, "y").mapInArrow(K.task(_verify), VERIFIED)
     none = F.lit(None).cast("long")
-    return cut(full.unionByName(judged.where("not near").select("x", "y", none.alias("inter"), none.alias("total"))))
+    return cut(full.unionByName(judged.where("not near").select("x", "y", none.alias("inter"), none.alias("total"))), narrow=True)
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -226,8 +226,8 @@ def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
     (|x| + |y|) (1 - t) / (1 + t).  So b_x + a_y and a_x + b_y must both not be positive, where
     b = m - size * share and a = b - 2 r: each side is first cut by the other's least b.
     """
-    open_heads = small(cut(members.where("g <> g_head").select("head").distinct()), BROADCAST_ROWS)
-    members = cut(members.join(open_heads, "head", "left_semi"))
+    open_heads = small(cut(members.where("g <> g_head").select("head").distinct(), narrow=True), BROADCAST_ROWS)
+    members = cut(members.join(open_heads, "head", "left_semi"), narrow=True)
     pairs = members.select("head", "node")
     pairs = pairs.join(texts.select("node", F.col("text").alias("tx")), "node").join(texts.select(F.col("node").alias("head"), F.col("text").alias("th")), "head")
     deltas = cut(pairs.mapInArrow(K.task(_deltas), DELTAS))
@@ -237,12 +237,12 @@ def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
     m = F.size("tokens")
     info = deltas.select("head", "node", m.alias("m"), (m - F.col("size") * share).alias("b")).join(lone, ["head", "node"], "left")
     info = info.select("head", "node", "b", (F.col("b") - 2 * (F.col("m") - F.coalesce("own", F.lit(0)))).alias("a"))
-    info = cut(info.join(members, ["head", "node"]))
+    info = cut(info.join(members, ["head", "node"]), narrow=True)
     x, close = info.where("g <> g_head"), F.lit(1e-6)
 
     def reached(rows: DataFrame, others: DataFrame) -> DataFrame:
         """Rows that some other one of their head may reach; a number for each head is enough for that."""
-        least = small(cut(others.groupBy("head").agg(F.min("b").alias("least"))), BROADCAST_ROWS)
+        least = small(cut(others.groupBy("head").agg(F.min("b").alias("least")), narrow=True), BROADCAST_ROWS)
         return rows.join(least, "head").where(F.col("a") + F.col("least") <= close).drop("least")
 
     y = reached(info, x)
@@ -257,7 +257,7 @@ def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``links`` but the components' own: the smallest node reachable.  Alternates large-star and
     small-star steps, which leave each node pointing at its component's least in O(log^2 n) rounds."""
-    edges = cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), narrow=True)
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -265,7 +265,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("a"), "m", "u")
-        edges = cut(small.select(F.col("a").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = cut(small.select(F.col("a").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), narrow=True)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == state or not now[0]:
             break
@@ -284,7 +284,7 @@ def classified(docs: DataFrame) -> DataFrame:
     own = full.groupBy("s1", "s2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     # A class is called by its smallest doc_id; by its first row's key where that is null or has several texts.
     mixed = full.groupBy(F.col("doc_id").alias("shared")).agg(*(f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for n, f in (("a", F.min), ("b", F.max))))
-    mixed = small(cut(mixed.where("shared is not null and (a_s1 <> b_s1 or a_s2 <> b_s2)").select("shared")), BROADCAST_ROWS)
+    mixed = small(cut(mixed.where("shared is not null and (a_s1 <> b_s1 or a_s2 <> b_s2)").select("shared"), narrow=True), BROADCAST_ROWS)
     own = own.join(mixed, F.col("first.doc_id") == F.col("shared"), "left")
     node = F.when(F.col("shared").isNull(), F.col("first.doc_id"))
     own = cut(own.select("s1", "s2", "first", F.coalesce(node, F.col("first.row_key")).alias("node"), "n_shingles", "registers"))
@@ -292,7 +292,7 @@ def classified(docs: DataFrame) -> DataFrame:
     heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
     met = cut(keyed.join(heads, "band").select("node", "head").distinct())
     pairs = met.where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    busy = small(cut(met.select("node").distinct()), BROADCAST_ROWS)  # 8 bytes each
+    busy = small(cut(met.select("node").distinct(), narrow=True), BROADCAST_ROWS)  # 8 bytes each
     sketches = cut(own.join(busy, "node", "left_semi").select("node", F.col("first.row_key").alias("key"), F.col("first.doc_id").alias("id"), "n_shingles", "registers"))
     named = small(sketches.select("node", "key", "id"), BROADCAST_ROWS)
     texts = docs.join(named, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
@@ -314,7 +314,7 @@ def classified(docs: DataFrame) -> DataFrame:
         p = p.where(F.coalesce("g_x", "x") != F.coalesce("g_y", "y")).select("x", "y")
         return p.join(known.select("x", "y"), ["x", "y"], "left_anti")
 
-    known = cut(known.unionByName(verified(apart(pairs), sketches, texts)))
+    known = cut(known.unionByName(verified(apart(pairs), sketches, texts)), narrow=True)
     group = components(linked(known))
     left = within_reach(met.join(of("node"), "node", "left").join(of("head"), "head", "left").select("head", "node", F.coalesce("g_node", "node").alias("g"), F.coalesce("g_head", "head").alias("g_head")), texts)
     last = verified(apart(left), sketches, texts)
@@ -323,8 +323,8 @@ def classified(docs: DataFrame) -> DataFrame:
     group = group.select(F.col("node").alias("member"), "component")
     group = group.unionByName(group.select(F.col("component").alias("member"), "component")).distinct()
     joined = own.select("node", "first").join(group, F.col("node") == F.col("member"))
-    least = cut(joined.groupBy("component").agg(F.min("first").alias("least")))
-    to_least = small(cut(group.join(least, "component").select("member", "least")), BROADCAST_ROWS)
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    to_least = small(cut(group.join(least, "component").select("member", "least"), narrow=True), BROADCAST_ROWS)
     named = own.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "node", "first").join(to_least, F.col("node") == F.col("member"), "left")
     named = named.select("t1", "t2", F.coalesce("least", "first").alias("found"))
     out = forms.join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") > 0), "left")
