@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives P, any text is the unlabelled sample U, and the
-share ``prior`` of toxic text is known or measured.  A linear classifier on hashed words and
+Confirmed toxic documents are the positives P; the texts of labelled rows, whatever their label, are the unlabelled
+sample U, and the share ``prior`` of toxic text is known or measured.  A linear classifier on hashed words and
 word beginnings minimises, by mini-batches in numpy,
 
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
@@ -14,7 +14,7 @@ Only places that ``MIN_SUPPORT`` positives (and ``MIN_SHARE`` of them) share, an
 in P as in U, get a weight; a document's logit is the sum of
 its places' weights and a bias.  Nothing but the text enters a score.
 
-The fit uses at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents, chosen by hash of the
+The fit uses at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents of the rows in ``labels``, chosen by hash of the
 doc_id; hashing and choosing run in the cluster, and only hashed places come to the driver.
 Scoring reads every whole text.
 
@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     pick = F.xxhash64("doc_id", F.lit(17))
     # Ids are chosen first, so that only chosen texts are read on.
     positive = texts.select("doc_id").join(toxic, "doc_id", "left_semi").orderBy(pick).limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
-    unlabelled = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(23))).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    listed = labels.select("doc_id").distinct()
+    unlabelled = texts.select("doc_id").join(listed, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(23))).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # At most max_positive + max_unlabelled ids, so texts stay where they are.
     chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "text")
     rows = chosen.mapInArrow(K.task(_features), "positive boolean, places binary").toArrow().combine_chunks()
