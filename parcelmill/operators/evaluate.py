@@ -23,11 +23,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def unique(df: DataFrame, key: str) -> DataFrame:
-    """``df``; a repeated key raises when the plan runs, as a one-to-one join must."""
-    counts = df.groupBy(key).count().agg(F.max("count").alias("most"))
-    seen = F.assert_true(F.coalesce(F.col("most"), F.lit(1)) <= 1, f"{key} is not unique")
-    guard = counts.select(seen.alias("checked"))
-    return df.join(F.broadcast(guard), F.col("checked").isNull(), "left").drop("checked")
+    """``df``; a repeated key raises when the plan runs, as a one-to-one join must.  Rows are dealt by the key, as the
+    join needs them anyway."""
+    rest = [c for c in df.columns if c != key]
+    once = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("r"), F.count(F.lit(1)).alias("times"))
+    checked = F.assert_true(F.col("times") == 1, f"{key} is not unique")
+    return once.where(checked.isNull()).select(key, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
 def labelled(truth: DataFrame, predictions: DataFrame, split: str | None = None) -> DataFrame:
@@ -78,6 +79,30 @@ def metrics(m: DataFrame) -> DataFrame:
     )
 
 
+def all_metrics(m: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Every scalar of an evaluation in one aggregation: counts, ratios, coverage over ``fields``, durations."""
+    c, n = F.col, F.count_if
+    known = {k: (filled(c(a)), filled(c(b))) for k, (a, b) in fields.items()}
+    total = lambda marks: reduce(lambda a, b: a + b, (n(x) for x in marks))
+    s = m.agg(
+        F.count(F.lit(1)).alias("labelled_images"), n(c("has")).alias("awb_labelled_images"), n(c("found")).alias("awb_extracted_images"), n(c("right")).alias("awb_exact_matches"),
+        n(c("clean") & c("found")).alias("clean_awb_records"), n(c("clean") & c("found") & c("right")).alias("clean_right"), n(c("clean") & c("found") & ~c("right")).alias("false_clean_awb_count"),
+        n(c("clean") & c("has") & ~c("found")).alias("clean_missing_awb_count"), n(filled(c("expected_review"))).alias("review_labelled_images"), n(c("must_review")).alias("review_positive_images"),
+        n(c("must_review") & ~c("clean")).alias("review_hit"), n(c("parcel_known")).alias("parcel_condition_labelled_images"), n(c("parcel_known") & c("parcel_right")).alias("parcel_hit"),
+        n(c("clean")).alias("clean_records"), n(c("failed")).alias("failed_records"), total(w for w, _ in known.values()).alias("want"), total(w & g for w, g in known.values()).alias("got"),
+        F.median("processing_duration_ms").alias("median_processing_ms"), F.percentile("processing_duration_ms", 0.95).alias("p95_processing_ms"),
+    )
+    recall = ratio(c("awb_exact_matches"), c("awb_labelled_images"))
+    share = lambda x: F.coalesce(ratio(x, c("labelled_images")), F.lit(0.0))
+    return s.select(
+        "labelled_images", "awb_labelled_images", "awb_extracted_images", "awb_exact_matches", ratio(c("awb_exact_matches"), c("awb_extracted_images")).alias("awb_exact_match_precision"), recall.alias("awb_exact_match_recall"),
+        "clean_awb_records", ratio(c("clean_right"), c("clean_awb_records")).alias("clean_awb_precision"), "false_clean_awb_count", "clean_missing_awb_count", "review_labelled_images", "review_positive_images",
+        ratio(c("review_hit"), c("review_positive_images")).alias("review_recall"), (c("review_positive_images") - c("review_hit")).alias("review_false_negatives"), "parcel_condition_labelled_images",
+        ratio(c("parcel_hit"), c("parcel_condition_labelled_images")).alias("parcel_condition_accuracy"), ratio(c("got"), c("want")).alias("overall_field_coverage"), "clean_records", recall.alias("awb_extraction_recall"),
+        share(c("labelled_images") - c("clean_records")).alias("review_rate"), share(c("failed_records")).alias("failed_rate"), c("false_clean_awb_count").alias("wrong_clean_awbs"), "median_processing_ms", "p95_processing_ms",
+    )
+
+
 def acceptance(m: DataFrame) -> DataFrame:
     x = metrics(m)
     return x.select(
@@ -94,8 +119,8 @@ def coverage(joined: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def confusion(joined: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    each = [joined.where(filled(F.col(a))).select(F.lit(k).alias("pair"), F.col(a).alias("expected"), F.coalesce(F.col(b).cast("string"), F.lit("MISSING")).alias("predicted")) for k, (a, b) in pairs.items()]
-    return reduce(DataFrame.unionByName, each).groupBy("pair", "expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*(F.struct(F.lit(k).alias("pair"), filled(F.col(a)).alias("known"), F.col(a).cast("string").alias("expected"), F.coalesce(F.col(b).cast("string"), F.lit("MISSING")).alias("predicted")) for k, (a, b) in pairs.items()))
+    return joined.select(F.inline(each)).where("known").groupBy("pair", "expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
 def macro_f1(counts: DataFrame) -> DataFrame:
@@ -126,8 +151,10 @@ def sweep(m: DataFrame) -> DataFrame:
 
 
 def calibrate(table: DataFrame, least: float) -> DataFrame:
-    """The threshold of least review among those precise enough."""
-    return table.where((F.col("accepted") > 0) & (F.col("precision") >= least)).orderBy("review_rate", "threshold").limit(1)
+    """The threshold of least review among those precise enough; if there is none, the plan raises when it runs."""
+    best = table.where((F.col("accepted") > 0) & (F.col("precision") >= least)).agg(F.min_by(F.struct(*table.columns), F.struct("review_rate", "threshold")).alias("best"))
+    found = F.assert_true(F.col("best").isNotNull(), f"no threshold reaches a precision of {least}")
+    return best.where(found.isNull()).select("best.*")
 
 
 def nearest_rank(values: Column, share: float) -> Column:

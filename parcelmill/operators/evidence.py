@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 
 
 def barcode_evidence(observed: DataFrame) -> DataFrame:
@@ -27,18 +32,47 @@ def barcode_candidates(evidence: DataFrame, known: DataFrame) -> DataFrame:
     return full.select("image_id", "awb", "source_crop", "agrees", F.round(conf, 6).alias("confidence"))
 
 
-# Carrier rules, as (name, whole pattern, words one of which the context must have).
+@dataclass(frozen=True)
+class CarrierRule:
+    """A whole pattern; prefixes one of which the value must have, if any; terms one of which the context must have, if
+    there are terms and a context."""
+
+    name: str
+    pattern: str
+    prefixes: tuple[str, ...] = ()
+    context_terms: tuple[str, ...] = ()
+
+
+# Carrier rules.
 CARRIER_RULES = [
-    ("numeric_14", "[0-9]{14}", ["awb", "waybill", "tracking", "consignment"]),
-    ("generic_alphanumeric", "[A-Z0-9]{8,30}", ["awb", "waybill", "tracking", "shipment", "consignment"]),
+    CarrierRule("numeric_14", "^[0-9]{14}$", (), ("awb", "waybill", "tracking", "consignment")),
+    CarrierRule("generic_alphanumeric", "^[A-Z0-9]{8,30}$", (), ("awb", "waybill", "tracking", "shipment", "consignment")),
 ]
+UNMATCHED = "Barcode does not match a configured courier rule or independent OCR"
+
+
+def parsed_rules(text: str) -> list[CarrierRule]:
+    """Rules from a rule file's JSON."""
+    return [CarrierRule(r["name"], r["pattern"], tuple(r.get("prefixes") or ()), tuple(r.get("context_terms") or ())) for r in json.loads(text).get("rules", [])]
 
 
-def matching_rules(value: Column, context: Column, rules=CARRIER_RULES) -> Column:
-    """Names of the rules that hold, in order; an empty context is not tested.  Rules are few and
-    literal, so each pattern is compiled once and no join is needed."""
-    lower = F.lower(context)
-    return F.array_compact(F.array(*(F.when(value.rlike(rf"\A(?:{p})\z") & ((context == "") | lower.rlike("|".join(terms))), F.lit(n)) for n, p, terms in rules)))
+def matching_rules(value: Column, context: Column, rules: list[CarrierRule] = CARRIER_RULES) -> Column:
+    """Names of the rules that hold for the upper-cased value, in order; an empty context is not tested.
+    Rules are few and literal, so each pattern is compiled once and no join is needed."""
+    upper, lower, yes = F.upper(value), F.lower(F.coalesce(context, F.lit(""))), F.lit(True)
+
+    def holds(r: CarrierRule) -> Column:
+        prefix = reduce(lambda a, b: a | b, (F.startswith(upper, F.lit(p.upper())) for p in r.prefixes)) if r.prefixes else yes
+        term = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(t.lower())) for t in r.context_terms), lower == "") if r.context_terms else yes
+        return prefix & upper.rlike(rf"\A(?:{r.pattern})\z") & term
+
+    return F.array_compact(F.array(*(F.when(holds(r), F.lit(r.name)) for r in rules))) if rules else F.array().cast("array<string>")
+
+
+def rule_penalty(source: Column, rules: Column, agrees: Column, confidence: Column) -> tuple[Column, Column]:
+    """Confidence and warning of an identifier: a barcode that no rule and no text bears out is worth less."""
+    alone = (source == "BARCODE") & (F.size(rules) == 0) & ~agrees
+    return F.when(alone, F.least(confidence, F.lit(0.69))).otherwise(confidence), F.when(alone, UNMATCHED)
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -97,3 +131,87 @@ def leaders(hashes: DataFrame, reach: int = 6) -> DataFrame:
     each = per.select("set_id", F.explode("all").alias("h"), lead.alias("lead"))
     return each.select("set_id", F.col("h.pos").alias("pos"), F.get(F.filter("lead", lambda k: near(k, F.col("h"))), F.lit(0))["pos"].alias("leader"))
 
+
+
+GATE = 0.055
+
+
+def merged_boxes(boxes: DataFrame, width: int, height: int, most: int = 6, kept: int = 4) -> DataFrame:
+    """An image's ``most`` largest boxes above the area gate, related ones merged until none are: the first related pair in
+    order of place becomes its hull at the earlier place.  The ``kept`` largest stay, numbered by falling area.
+
+    A fold over at most ``most`` boxes a row, so ``most - 1`` steps reach the fix-point."""
+    area = F.col("w") * F.col("h") / F.lit(float(width * height))
+    gated = boxes.withColumn("area", area).where(F.col("area") >= GATE)
+    first = F.struct((-F.col("area")).alias("key"), "box_id", "x", "y", "w", "h", "area")
+    top = F.slice(F.sort_array(F.collect_list(first)), 1, most)
+    per = gated.groupBy("image_id").agg(F.transform(top, lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"), b["area"].alias("area"))).alias("all"))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(most) for j in range(i + 1, most)))
+
+    def related(a: Column, b: Column) -> Column:
+        low, high = lambda k, s: F.least(a[k] + a[s], b[k] + b[s]), lambda k: F.greatest(a[k], b[k])
+        both = {k: F.greatest(F.lit(0), low(k, s) - high(k)) for k, s in ("xw", "yh")}
+        gap = {k: F.greatest(F.lit(0), high(k) - low(k, s)) for k, s in ("xw", "yh")}
+        beside = (both["y"] / F.greatest(F.lit(1), F.least(a["h"], b["h"])) >= 0.28) & (gap["x"] <= width * 0.045)
+        above = (both["x"] / F.greatest(F.lit(1), F.least(a["w"], b["w"])) >= 0.28) & (gap["y"] <= height * 0.045)
+        return beside | above
+
+    def hull(a: Column, b: Column) -> Column:
+        x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+        w, h = F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y
+        return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), (w * h / F.lit(float(width * height))).alias("area"))
+
+    def step(all_: Column, _: Column) -> Column:
+        found = F.filter(pairs, lambda p: F.when(p["j"] < F.size(all_), related(F.get(all_, p["i"]), F.get(all_, p["j"]))).otherwise(F.lit(False)))
+        return let(F.get(found, F.lit(0)), lambda p: F.when(p.isNull(), all_).otherwise(F.filter(F.transform(all_, lambda b, i: F.when(i == p["i"], hull(b, F.get(all_, p["j"]))).when(i != p["j"], b)), lambda b: b.isNotNull())))
+
+    merged = F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), F.col("all"), step)
+    order = F.array_sort(F.transform(merged, lambda b, i: F.struct((-b["area"]).alias("key"), i.alias("i"), b.alias("b"))))
+    return per.select("image_id", F.posexplode(F.slice(order, 1, kept)).alias("rank", "r")).select("image_id", "rank", "r.b.*")
+
+
+def parcels(merged: DataFrame, images: DataFrame, width: int, height: int) -> DataFrame:
+    """Count, confidence and visibility of each image of ``images`` (``occupancy``, ``evidence``) from its merged boxes; an
+    empty picture without other evidence shows none."""
+    c = F.col
+    per = merged.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", "w", "h", "area"))).alias("t"))
+    p, q = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    two = F.coalesce(q["area"] >= F.greatest(F.lit(0.07), p["area"] * 0.38), F.lit(False))
+    margin = max(3, int(min(width, height) * 0.008))
+    touches = (p["x"] <= margin) | (p["y"] <= margin) | (p["x"] + p["w"] >= width - margin) | (p["y"] + p["h"] >= height - margin)
+    sure = F.least(F.lit(0.92), 0.55 + F.least(p["area"], F.lit(0.35)))
+    none, empty = c("t").isNull(), (c("occupancy") < 0.015) & ~c("evidence")
+    count = F.when(none, F.when(empty, 0)).otherwise(F.when(two, 2).otherwise(1))
+    confidence = F.when(none, F.when(empty, 0.88).otherwise(0.28)).otherwise(F.round(F.when(two, F.least(sure, F.lit(0.78))).otherwise(sure), 3))
+    seen = F.when(none, F.when(empty, "NONE").otherwise("UNCERTAIN")).otherwise(F.when(touches, "PARTIAL").otherwise("FULL"))
+    return images.join(per, "image_id", "left").select("image_id", count.alias("parcel_count"), confidence.alias("confidence"), seen.alias("visibility"))
+
+
+def detector_evidence(boxes: DataFrame) -> DataFrame:
+    """The detector's answer for an image: best score, parcels (none: null), visibility, and label status; a label that a
+    hand covers by more than 8 % counts as blocked."""
+    c = F.col
+    parcel, label = c("class_name").startswith("parcel_"), c("class_name").startswith("shipping_label_")
+    labels, hands = boxes.where(label).alias("a"), boxes.where("class_name = 'hand_or_obstruction'").alias("b")
+    covered = labels.join(hands, c("a.image_id") == c("b.image_id")).where(iou(box("a"), box("b")) > 0.08).select(c("a.image_id").alias("image_id")).distinct().withColumn("covered", F.lit(True))
+    per = boxes.groupBy("image_id").agg(F.round(F.max("score"), 4).alias("confidence"), F.nullif(F.count_if(parcel), F.lit(0)).alias("parcel_count"), F.bool_or(c("class_name") == "parcel_partial").alias("partial"), F.bool_or(label).alias("label"), F.bool_or(c("class_name") == "shipping_label_blocked").alias("blocked"))
+    seen = F.when(c("parcel_count").isNull(), "UNCERTAIN").when(c("partial"), "PARTIAL").otherwise("FULL")
+    status = F.when(c("blocked") | F.coalesce("covered", F.lit(False)), "LABEL_BLOCKED_OR_OCCLUDED").when(c("label"), "LABEL_VISIBLE_LOW_CONFIDENCE").otherwise("LABEL_STATUS_UNCERTAIN")
+    return per.join(covered, "image_id", "left").select("image_id", "confidence", "parcel_count", seen.alias("parcel_visibility"), status.alias("label_status"))
+
+
+def near_hashes(hashes: DataFrame, key: str, reach: int = 6) -> DataFrame:
+    """Pairs of 64-bit hashes within ``reach`` bits.  Of ``reach + 1`` groups of bits one at least is equal in such a
+    pair; equal hashes are one row first, so a picture stored again and again doesn't meet itself.  All pairs of keys follow."""
+    n = reach + 1
+    cuts = [64 * k // n for k in range(n + 1)]
+    one = hashes.groupBy("bits").agg(F.count(F.lit(1)).alias("copies")).select("bits")
+    mask = lambda k: F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)
+    part = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bits", cuts[k]).bitwiseAND(mask(k)).alias("v")) for k in range(n)))
+    g = one.select("bits", F.inline(part))
+    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    met = g.select("k", "v", F.col("bits").alias("x")).join(g.select("k", "v", F.col("bits").alias("y")), ["k", "v"])
+    met = met.where((F.col("x") < F.col("y")) & (far <= reach)).select("x", "y").distinct()
+    met = met.unionByName(met.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(one.select(F.col("bits").alias("x"), F.col("bits").alias("y")))
+    a, b = hashes.select(F.col("bits").alias("x"), F.col(key).alias("a")), hashes.select(F.col("bits").alias("y"), F.col(key).alias("b"))
+    return met.join(a, "x").join(b, "y").where("a < b").select("a", "b", far.cast("int").alias("distance"))

@@ -82,3 +82,45 @@ def split_of(group: Column) -> Column:
     """train below 70 of a hundred, val below 85, then test; by the group's digest."""
     k = F.conv(F.substring(F.sha2(group, 256), 1, 8), 16, 10).cast("long") % 100
     return F.when(k < 70, "train").when(k < 85, "val").otherwise("test")
+
+
+def with_clones(items: DataFrame, made: DataFrame, digest: str, pos: str, name: str, new_id: Column) -> DataFrame:
+    """A result for each item: the first of a content has ``made``'s (image_id, flags, warnings), each further copy a clone of it
+    with an id of its own, a flag and a warning that names the original."""
+    first = items.groupBy(digest).agg(F.min_by(F.struct(F.col(pos).alias("pos"), F.col(name).alias("name")), pos).alias("o"))
+    full = items.join(first, digest).join(made, digest)
+    copy = F.col(pos) > F.col("o.pos")
+    return full.select(
+        *(F.col(c) for c in items.columns),
+        F.when(copy, new_id).otherwise(F.col("image_id")).alias("image_id"),
+        F.when(copy, F.col("image_id")).alias("duplicate_of_image_id"),
+        F.when(copy, F.array_union("flags", F.array(F.lit("DUPLICATE_IMAGE")))).otherwise(F.col("flags")).alias("flags"),
+        F.when(copy, F.array_append("warnings", F.concat(F.lit("Duplicate content reused from "), "o.name"))).otherwise(F.col("warnings")).alias("warnings"),
+    )
+
+
+def stored_inputs(uploads: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Uploads (path, name, sha256) with what results have recorded of them (path, original_filename, known_sha256)."""
+    return uploads.join(recorded, "path", "left").select("path", F.coalesce("original_filename", "name").alias("original_filename"), F.coalesce(F.nullif("known_sha256", F.lit("")), "sha256").alias("sha256"))
+
+
+def decoded(rows: DataFrame, payload: str, schema: str) -> DataFrame:
+    """``rows`` with the JSON of ``payload`` as columns."""
+    return rows.withColumn("decoded", F.from_json(payload, schema)).select(*(c for c in rows.columns if c != payload), "decoded.*")
+
+
+def looked_up(rows: DataFrame, **keys) -> DataFrame:
+    """Rows with these key values (pushed to the scan)."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def cache_key(model: Column, prompt: Column, schema: Column, mode: Column, content: Column, crop: Column) -> Column:
+    return F.sha2(F.concat_ws("|", model, prompt, schema, mode, content, crop), 256)
+
+
+def put(cache: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """``cache`` with ``answers``, which replace what is there."""
+    both = cache.withColumn("at", F.lit(0)).unionByName(answers.withColumn("at", F.lit(1)))
+    return upsert(both, [key], F.col("at")).drop("at")

@@ -76,3 +76,31 @@ def observations(images: DataFrame) -> DataFrame:
     """Measures of each image as report columns; the overlay's box as one text."""
     box = F.concat_ws(",", *(F.col(f"overlay.{k}").cast("string") for k in ("x", "y", "width", "height")))
     return images.select("filename", "width", "height", "orientation", "blur_score", "brightness", "contrast", "underexposure_pct", "overexposure_pct", "edge_density", F.col("overlay").isNotNull().alias("overlay_detected"), box.alias("overlay_bbox"), "overlay_ocr_confidence", "parsed_field_count")
+
+
+def to_recognise(ranked: DataFrame, n: int = 1) -> DataFrame:
+    """The candidates that text recognition is asked to read."""
+    return ranked.where(F.col("rank") < n)
+
+
+def limited(passes: DataFrame, overlay_awb: Column, most: int = 6, with_overlay: int = 2) -> DataFrame:
+    """Recognition passes up to the limit, which is lower where the overlay gave an identifier."""
+    return passes.where(F.col("pass_no") <= F.when(overlay_awb, with_overlay).otherwise(most))
+
+
+# Provenance that tells emissions of the same value apart.
+PROVENANCE = ["ocr_engine", "variant", "rotation", "psm"]
+
+
+def first_emissions(candidates: DataFrame) -> DataFrame:
+    """Of the same value by the same engine, variant, rotation and page mode the first."""
+    keys = ["image_id", "field_name", "normalised_value", *PROVENANCE]
+    rest = [c for c in candidates.columns if c not in (*keys, "pos")]
+    best = [F.min_by(c, "pos").alias(c) for c in rest]
+    return candidates.groupBy(*keys).agg(F.min("pos").alias("pos"), *best)
+
+
+def low_quality(c=F.col) -> Column:
+    """Blurred, flat, too dark or too bright; a measure that is not known condemns nothing."""
+    marks = (c("blur") < 60, c("contrast") < 18, c("under_pct") > 82, c("over_pct") > 35)
+    return F.coalesce(F.array_max(F.array(*(F.coalesce(m, F.lit(False)) for m in marks))), F.lit(False))

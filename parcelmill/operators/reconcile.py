@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -39,6 +41,14 @@ def groups(candidates: DataFrame) -> DataFrame:
     )
 
 
+def appended(parts: list[DataFrame]) -> DataFrame:
+    """Candidates of several sources, one source after the other; ``pos`` orders them within an image, equal places by
+    field, value and confidence."""
+    both = reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)))
+    order = Window.partitionBy("image_id").orderBy("part", "pos", "field_name", "normalised_value", "confidence")  # an image has some dozens of candidates
+    return both.withColumn("pos", F.row_number().over(order)).drop("part")
+
+
 def reconcile(candidates: DataFrame, low_quality: DataFrame | None = None) -> DataFrame:
     """The best-supported value of each image and field.
 
@@ -163,3 +173,13 @@ def error_boundary(records: DataFrame) -> DataFrame:
             "requires_review": F.when(refused, False).when(broke, True).otherwise(F.col("requires_review")),
         }
     )
+
+
+def label_count(readable: Column, proposals: Column) -> Column:
+    """Labels that were read; failing that one, if any was proposed."""
+    return F.when(readable > 0, readable).when(proposals > 0, 1).otherwise(0)
+
+
+def label_status(own: Column, detector_used: Column, detector_status: Column) -> Column:
+    """The detector's word counts only where it saw the label blocked."""
+    return F.when(detector_used & (detector_status == "LABEL_BLOCKED_OR_OCCLUDED"), detector_status).otherwise(own)

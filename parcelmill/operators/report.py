@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from .jobs import split_of
 
 # Columns of the detailed report, in order.
-DETAILED = """image_id filename sha256 processing_status primary_status status_flags requires_review review_reasons parcel_count parcel_count_confidence parcel_visibility
-label_count label_status awb_number awb_number_excel awb_source awb_confidence weight_original weight_value weight_unit weight_grams weight_source weight_confidence
-length_cm width_cm height_cm dimensions_text dimensions_source dimensions_confidence recorded_volume recorded_volume_unit recorded_volume_source recorded_volume_confidence
-location location_source location_confidence capture_timestamp capture_timestamp_raw capture_timestamp_source capture_timestamp_confidence overlay_detected barcode_values
-overall_confidence detector_version detector_confidence detector_used ocr_engines_used vision_attempted vision_succeeded vision_cache_hit vision_error_category vision_request_id
-vision_attempt_count vision_duration_ms calibration_version warnings processing_duration_ms error_code error_message""".split()
+DETAILED = [
+    "image_id", "filename", "sha256", "processing_status", "primary_status", "status_flags", "requires_review", "review_reasons", "parcel_count",
+    "parcel_count_confidence", "parcel_visibility", "label_count", "label_status", "awb_number", "awb_number_excel", "awb_source", "awb_confidence",
+    "weight_original", "weight_value", "weight_unit", "weight_grams", "weight_source", "weight_confidence", "length_cm", "width_cm", "height_cm",
+    "dimensions_text", "dimensions_source", "dimensions_confidence", "recorded_volume", "recorded_volume_unit", "recorded_volume_source",
+    "recorded_volume_confidence", "location", "location_source", "location_confidence", "capture_timestamp", "capture_timestamp_raw",
+    "capture_timestamp_source", "capture_timestamp_confidence", "overlay_detected", "barcode_values", "overall_confidence", "detector_version",
+    "detector_confidence", "detector_used", "ocr_engines_used", "vision_attempted", "vision_succeeded", "vision_cache_hit", "vision_error_category",
+    "vision_request_id", "vision_attempt_count", "vision_duration_ms", "calibration_version", "warnings", "processing_duration_ms", "error_code",
+    "error_message",
+]
 # Columns of the simple report, in order.
 SIMPLE = ["File", "Tracking number", "Weight", "Length (cm)", "Width (cm)", "Height (cm)", "Location", "Result", "Needs review", "Notes"]
 # Outcomes.
@@ -60,6 +66,17 @@ def plain_reasons(reasons: Column, flags: Column) -> Column:
 def simple(records: DataFrame) -> DataFrame:
     c, none = F.col, F.lit("Not found")
     cm = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
-    weight = F.coalesce(F.concat(T.short_number(c("weight_grams")), F.lit(" g")), none)
+    grams = F.concat(T.short_number(c("weight_grams")), F.lit(" g"))
+    stated = F.concat(T.short_number(c("weight_value")), F.lit(" "), F.nullif(c("weight_unit"), F.lit(""))) if {"weight_value", "weight_unit"} <= set(records.columns) else F.lit(None)
+    weight = F.coalesce(stated, grams, none)
     made = [c("filename"), F.coalesce("awb_number", none), weight, cm("length_cm"), cm("width_cm"), cm("height_cm"), F.coalesce("location", none), outcome(), c("requires_review"), F.array_join(plain_reasons(c("review_reasons"), c("flags")), "; ")]
     return records.select(*(x.alias(n) for x, n in zip(made, SIMPLE)))
+
+
+# Columns of the labelling template that a person fills in.
+TO_LABEL = ["expected_awb", "expected_weight_grams", "expected_length_cm", "expected_width_cm", "expected_height_cm", "expected_parcel_count", "expected_parcel_visibility", "expected_label_status", "expected_review"]
+
+
+def template(groups: DataFrame) -> DataFrame:
+    """``groups`` (filename, sha256, group_id) as a labelling template; a group is never split."""
+    return groups.select("filename", "sha256", "group_id", split_of(F.col("group_id")).alias("split"), *(F.lit("").alias(n) for n in TO_LABEL), F.lit("false").alias("annotated"))

@@ -153,15 +153,17 @@ def batch_summary(spark, d):
 
 @query(f"WITH {STATUS} SELECT count(*) AS processed, count(*) FILTER (NOT requires_review) AS clean, count(*) FILTER (requires_review) AS review, count(*) FILTER (has_awb) AS awb_extracted, round(count(*) FILTER (requires_review) / count(*), 6) AS review_rate, median(duration_ms)::DOUBLE AS median_ms, (list_sort(list(duration_ms)))[(least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1)::INT] AS p95_ms FROM res")
 def baseline_summary(spark, d):
-    """Nearest-rank p95 as an exact percentile over counts by value: no list of all durations is built."""
-    r = _records(spark, d).select("requires_review", "awb_number", "duration_ms")
-    s = r.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~F.col("requires_review")).alias("clean"), F.count_if("requires_review").alias("review"), F.count("awb_number").alias("awb_extracted"), F.median("duration_ms").alias("median_ms"))
-    by = r.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("n"))
-    ranked = by.agg(F.array_sort(F.collect_list(F.struct("duration_ms", "n"))).alias("v"))  # one entry per distinct millisecond
-    at = F.least(F.col("processed") - 1, F.floor(F.col("processed") * 0.95))
-    step = F.aggregate("v", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("hit")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["hit"].isNull() & (a["seen"] + x["n"] > at), x["duration_ms"]).otherwise(a["hit"]).alias("hit")), lambda a: a["hit"])
-    both = s.join(F.broadcast(ranked), F.lit(True))  # one row each
-    return both.select("processed", "clean", "review", "awb_extracted", E.ratio(F.col("review"), F.col("processed")).alias("review_rate"), "median_ms", step.alias("p95_ms"))
+    """One aggregation by duration, from which the totals and the exact nearest-rank p95 follow: one row a millisecond, no
+    list of all durations."""
+    r = _records(spark, d)
+    by = r.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("n"), F.count_if("requires_review").alias("review"), F.count("awb_number").alias("awb"))
+    s = by.agg(F.sum("n").alias("processed"), F.sum("review").alias("review"), F.sum("awb").alias("awb_extracted"), F.array_sort(F.collect_list(F.struct("duration_ms", "n"))).alias("v"))
+    running = F.aggregate("v", F.array().cast("array<struct<ms:bigint,upto:bigint>>"), lambda a, x: F.array_append(a, F.struct(x["duration_ms"].alias("ms"), (F.coalesce(F.get(a, F.size(a) - 1)["upto"], F.lit(0)) + x["n"]).alias("upto"))))
+    s = s.withColumn("run", running)
+    place = lambda k: F.get(F.filter("run", lambda x: x["upto"] > k), F.lit(0))["ms"]  # noqa: E731  the k-th duration, from 0
+    n = F.col("processed")
+    middle = (place(F.floor((n - 1) / 2)) + place(F.floor(n / 2))) / 2
+    return s.select("processed", (n - F.col("review")).alias("clean"), "review", "awb_extracted", E.ratio(F.col("review"), n).alias("review_rate"), middle.cast("double").alias("median_ms"), place(F.least(n - 1, F.floor(n * 0.95))).alias("p95_ms"))
 
 
 @query(f"WITH {STATUS} SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM res) WHERE flag <> '' GROUP BY 1")
@@ -642,30 +644,34 @@ def split_assignment(spark, d):
     return view(spark, d, "v_files").select("file_id", J.split_of(F.col("file_id").cast("string")).alias("split"))
 
 
-HASHES = "h AS (SELECT vec_id, list_sum(list_transform(range(0, 30), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS bits FROM embeddings)"
+HASHES = "h AS (SELECT vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i) ELSE 0::HUGEINT END))::UBIGINT AS bits FROM embeddings)"
 
 
-def _hashes(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
-    """Sign bits of the first ``n`` entries; the 64th is the sign of the BIGINT."""
+def _hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Sign bits of all 64 entries; the 64th is the sign of the BIGINT."""
     bit = lambda i: F.when(F.get(F.col("embedding"), F.lit(i)) > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
-    bits = functools.reduce(lambda a, b: a.bitwiseOR(b), (bit(i) for i in range(n)))
+    bits = functools.reduce(lambda a, b: a.bitwiseOR(b), (bit(i) for i in range(64)))
     return table(spark, d, "embeddings").select("vec_id", bits.alias("bits"))
 
 
-@query(f"WITH {HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 6")
-def hamming_pairs(spark, d):
-    """Pairs within six bits.  Of seven groups of bits one at least is equal in such a pair, so pairs are
-    found by equal groups instead of by comparing all with all."""
-    h = _hashes(spark, d, 30)  # as its SQL, which reads 30 of the 64 entries
-    cuts = [0, 5, 9, 13, 17, 21, 25, 30]
-    part = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("bits", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("v")) for k in range(7)))
-    g = h.select("vec_id", "bits", F.inline(part))
-    a, b = g.select("k", "v", F.col("vec_id").alias("a"), F.col("bits").alias("x")), g.select("k", "v", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
-    n = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return a.join(b, ["k", "v"]).where((F.col("a") < F.col("b")) & (n <= 6)).select("a", "b", n.cast("int").alias("distance")).distinct()
+COPIED = HASHES + """, hc AS (SELECT vec_id, bits FROM h UNION ALL SELECT vec_id + 1000000000, xor(bits, (1::UBIGINT << (vec_id % 61)) | (1::UBIGINT << (vec_id * 7 % 61)) | (1::UBIGINT << (vec_id * 11 % 64))) FROM h WHERE vec_id % 4 = 0)"""
 
 
-@query()
+@query(f"WITH {COPIED} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM hc a JOIN hc b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 6")
+def hamming_pairs(spark, d):
+    """Pairs within six of 64 bits among hashes and re-encoded copies of some of them (up to three bits off)."""
+    h = _hashes(spark, d)
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
+    v = F.col("vec_id")
+    off = one(v % 61).bitwiseOR(one(v * 7 % 61)).bitwiseOR(one(v * 11 % 64))
+    copies = h.where("vec_id % 4 = 0").select((v + 1000000000).alias("vec_id"), F.col("bits").bitwiseXOR(off).alias("bits"))
+    return V.near_hashes(h.unionByName(copies), "vec_id", 6)
+
+
+@query(f"""WITH RECURSIVE {HASHES}, o AS (SELECT vec_id % 10 AS set_id, vec_id AS pos, bits, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS rk FROM h),
+f AS (SELECT set_id, rk, pos, pos AS leader, [struct_pack(pos := pos, bits := bits)] AS lead FROM o WHERE rk = 1
+UNION ALL SELECT f.set_id, o.rk, o.pos, coalesce(list_filter(f.lead, lambda k: bit_count(xor(k.bits, o.bits)) <= 6)[1].pos, o.pos), CASE WHEN len(list_filter(f.lead, lambda k: bit_count(xor(k.bits, o.bits)) <= 6)) > 0 THEN f.lead ELSE list_append(f.lead, struct_pack(pos := o.pos, bits := o.bits)) END FROM f JOIN o ON o.set_id = f.set_id AND o.rk = f.rk + 1)
+SELECT set_id, pos, leader FROM f""")
 def leader_groups(spark, d):
     return V.leaders(_hashes(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"))
 
@@ -842,3 +848,6 @@ def overlay_union(spark, d):
 @query("SELECT image_id, (rk - 1)::INT AS rank, box_id FROM (SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY class_name <> 'label_region', score DESC, box_id) AS rk FROM v_boxes) WHERE rk <= 5")
 def label_topk(spark, d):
     return perception.short_list(view(spark, d, "v_boxes").withColumn("by_detector", F.col("class_name") == "label_region"))
+
+
+from . import extended  # noqa: E402,F401  registers its queries here

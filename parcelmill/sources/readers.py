@@ -50,6 +50,28 @@ def rule_errors(spark: SparkSession, path: str) -> DataFrame:
     return twice.unionByName(spark.createDataFrame(bad, "error string"))
 
 
+def rule_text_errors(text: str) -> list[str]:
+    """What is wrong with a rule file's text; a file that can't be read as rules is one error."""
+    import re
+
+    from ..operators.evidence import parsed_rules
+
+    try:
+        rules = parsed_rules(text)
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return ["Invalid courier rule file"]
+    errors, names = [], set()
+    for r in rules:
+        if r.name in names:
+            errors.append(f"Duplicate rule name: {r.name}")
+        names.add(r.name)
+        try:
+            re.compile(r.pattern)
+        except re.error:
+            errors.append(f"Invalid regex for {r.name}")
+    return errors
+
+
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of all label files below a folder, by the file's stem."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
