@@ -23,6 +23,15 @@ def quality(bgr: np.ndarray) -> dict[str, float]:
     return {"blur": float(laplace.var()), "brightness": float(g.mean()), "contrast": float(g.std()), "under": float((g < 25).mean() * 100), "over": float((g > 230).mean() * 100)}
 
 
+def edge_share(bgr: np.ndarray, threshold: float = 100.0) -> float:
+    """Share of pixels whose Sobel gradient is over a threshold: an approximation of an edge detector's density."""
+    p = np.pad(grey(bgr), 1, mode="edge")
+    row = p[:, 2:] - p[:, :-2]
+    col = p[2:, :] - p[:-2, :]
+    gx, gy = row[:-2] + 2 * row[1:-1] + row[2:], col[:, :-2] + 2 * col[:, 1:-1] + col[:, 2:]
+    return float((np.abs(gx) + np.abs(gy) > threshold).mean())
+
+
 def low_quality(m: dict[str, float]) -> bool:
     return m["blur"] < 60 or m["contrast"] < 18 or m["under"] > 82 or m["over"] > 35
 
@@ -48,6 +57,14 @@ def yellow(bgr: np.ndarray, low=(18, 70, 90), high=(42, 255, 255)) -> np.ndarray
     return (hue >= low[0]) & (hue <= high[0]) & (saturation >= low[1]) & (saturation <= high[1]) & (top >= low[2]) & (top <= high[2])
 
 
+def opened(mask: np.ndarray) -> np.ndarray:
+    """Opening by a 2 x 2 square: single pixels and thin lines go."""
+    p = np.pad(mask, ((1, 0), (1, 0)), constant_values=True)
+    kept = p[1:, 1:] & p[:-1, 1:] & p[1:, :-1] & p[:-1, :-1]
+    p = np.pad(kept, ((0, 1), (0, 1)), constant_values=False)
+    return p[:-1, :-1] | p[1:, :-1] | p[:-1, 1:] | p[1:, 1:]
+
+
 def suppressed(bgr: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
     out = bgr.copy()
     out[max(0, y) : y + h, max(0, x) : x + w] = 0
@@ -58,15 +75,90 @@ def rotated(bgr: np.ndarray, degrees: int) -> np.ndarray:
     return np.ascontiguousarray(np.rot90(bgr, -degrees // 90))
 
 
+def _taps(size: int, to: int) -> list[tuple[int, np.ndarray]]:
+    """First pixel and fixed-point weights (22 bits) of a Lanczos filter of three lobes for each target pixel."""
+    scale = size / to
+    wide = max(scale, 1.0)
+    out = []
+    for k in range(to):
+        center = (k + 0.5) * scale
+        low, high = max(int(center - 3 * wide + 0.5), 0), min(int(center + 3 * wide + 0.5), size)
+        x = (np.arange(low, high) - center + 0.5) / wide
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        w /= w.sum()
+        out.append((low, np.where(w < 0, np.ceil(w * (1 << 22) - 0.5), np.floor(w * (1 << 22) + 0.5)).astype(np.int64)))
+    return out
+
+
+def resized(channel: np.ndarray, width: int, height: int) -> np.ndarray:
+    """One channel of bytes at another size by the Lanczos filter, columns first, rounded to bytes after each pass."""
+    for axis, to in ((1, width), (0, height)):
+        x = channel.astype(np.int64) if axis else channel.astype(np.int64).T
+        if x.shape[1] != to:
+            x = np.stack([(x[:, low : low + len(w)] @ w + (1 << 21)) >> 22 for low, w in _taps(x.shape[1], to)], axis=1)
+        x = np.clip(x, 0, 255).astype(np.uint8)
+        channel = x if axis else x.T
+    return channel
+
+
+def downscaled(bgr: np.ndarray, longest: int = 4096) -> np.ndarray:
+    """With its longest side brought down to ``longest``."""
+    width, height = fitted(bgr.shape[1], bgr.shape[0], longest)
+    return bgr if (width, height) == bgr.shape[1::-1] else np.stack([resized(bgr[..., k], width, height) for k in range(3)], axis=2)
+
+
+def luma(bgr: np.ndarray) -> np.ndarray:
+    """Grey bytes in 16-bit fixed point."""
+    b, g, r = (bgr[..., k].astype(np.int64) for k in range(3))
+    return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
+
+
 def difference_hash(bgr: np.ndarray) -> int:
-    """64 bits: whether each of 9 x 8 cell means rises to its right, as a signed number."""
-    g = grey(bgr)
-    rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in ((g.shape[0], 8), (g.shape[1], 9)))
-    cells = np.array([[g[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(cols, cols[1:])] for a, b in zip(rows, rows[1:])])
-    bits = (cells[:, 1:] > cells[:, :-1]).reshape(-1)
+    """64 bits: whether each pixel of the picture at 9 x 8 is brighter to its right, as a signed number."""
+    small = resized(luma(bgr), 9, 8).astype(np.int64)
+    bits = (small[:, 1:] > small[:, :-1]).reshape(-1)
     return int(np.packbits(bits).view(">i8")[0])
 
 
+# What to do for an orientation tag, as (mirror left-right, quarter turns anticlockwise).
+ORIENTATIONS = {1: (False, 0), 2: (True, 0), 3: (False, 2), 4: (True, 2), 5: (True, 1), 6: (False, 3), 7: (True, 3), 8: (False, 1)}
+
+
+def exif_orientation(data: bytes) -> int:
+    """The orientation tag of a JPEG's EXIF block; 1 where there is none that can be read."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        block = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and block[:6] == b"Exif\0\0":
+            tiff = block[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            first = int.from_bytes(tiff[4:8], order)
+            for k in range(int.from_bytes(tiff[first : first + 2], order)):
+                entry = tiff[first + 2 + 12 * k : first + 14 + 12 * k]
+                if int.from_bytes(entry[:2], order) == 0x0112:
+                    value = int.from_bytes(entry[8:10], order)
+                    return value if value in ORIENTATIONS else 1
+        at += 2 + max(size, 2)
+    return 1
+
+
+def upright(bgr: np.ndarray, orientation: int) -> np.ndarray:
+    mirror, turns = ORIENTATIONS.get(orientation, (False, 0))
+    return np.ascontiguousarray(np.rot90(bgr[:, ::-1] if mirror else bgr, turns))
+
+
+def png(bgr: np.ndarray) -> bytes:
+    """The picture as a PNG file."""
+    import struct
+    import zlib
+
+    h, w = bgr.shape[:2]
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(bgr[..., ::-1]).reshape(h, 3 * w)], axis=1).tobytes()
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
 def merged_boxes(boxes: list[tuple[int, int, int, int]], width: int, height: int, overlap: float = 0.28, gap: float = 0.045) -> list[tuple[int, int, int, int]]:
     """Boxes joined, again and again, while two of them overlap along one side by ``overlap`` of the shorter
     and are at most ``gap`` of the image apart along the other."""
@@ -159,9 +251,16 @@ def adverse(bgr: np.ndarray) -> dict[str, np.ndarray]:
         "cut": bgr[: h // 2, : w // 2],
         "covered": covered,
         "empty": np.full_like(bgr, 235),
+        "combined": (covered * 0.25).astype(np.uint8),
+        "over": np.clip(bgr * 0.2 + 210.0, 0, 255).astype(np.uint8),
     }
 
 
+def adverse_files(png_bytes: bytes, other: bytes) -> dict[str, list[bytes]]:
+    """Adverse sets of whole files: a copy, two pictures of one name that conflict, a file that is cut off."""
+    return {"duplicate": [png_bytes, png_bytes], "conflict": [png_bytes, other], "corrupt": [png_bytes[: len(png_bytes) // 3]]}
+
+
 def blob_parts(mask: np.ndarray, cell: int = 8) -> list[tuple[int, int, int, int, int]]:
     """(pixels, x, y, w, h) of connected groups of cells that hold marked pixels (a dilated component search)."""
     h, w = mask.shape

@@ -14,20 +14,24 @@ from ..functions.text import let
 
 
 def barcode_evidence(observed: DataFrame) -> DataFrame:
-    """Repeats raise evidence; of each value and crop the strongest observation stays."""
-    n = observed.groupBy("image_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Repeats raise evidence; of each value and crop the strongest observation stays.  One reading: counts by crop add up
+    to those by value."""
+    by = observed.groupBy("image_id", "value", "source_crop").agg(F.count(F.lit(1)).alias("own"), F.max("evidence_level").alias("seen"))
+    per = by.groupBy("image_id", "value").agg(F.sum("own").alias("n"), F.collect_list(F.struct("source_crop", "seen")).alias("crops"))  # an image has a few crops
     bonus = F.least(F.lit(0.12), F.greatest(F.lit(0), F.col("n") - 1) * 0.04)
-    best = observed.groupBy("image_id", "value", "source_crop").agg(F.max("evidence_level").alias("seen"))
-    return best.join(n, ["image_id", "value"]).select("image_id", "value", "source_crop", "n", F.round(F.least(F.lit(0.95), F.col("seen") + bonus), 6).alias("evidence_level"))
+    each = per.select("image_id", "value", "n", F.explode("crops").alias("c"))
+    return each.select("image_id", "value", F.col("c.source_crop").alias("source_crop"), "n", F.round(F.least(F.lit(0.95), F.col("c.seen") + bonus), 6).alias("evidence_level"))
 
 
 def barcode_candidates(evidence: DataFrame, known: DataFrame) -> DataFrame:
     """Identifiers from barcodes; ``known`` has the image's identifiers from text."""
-    several = evidence.groupBy("image_id").agg((F.count_distinct("value") > 1).alias("several"))
+    several = F.count_distinct("value") > 1
     agrees = known.select("image_id", F.col("awb").alias("awb"), F.lit(True).alias("agrees")).distinct()
     e = F.col("evidence_level")
     conf = F.when(~F.col("agrees") & F.col("several"), F.least(F.lit(0.73), e)).when(F.col("agrees"), F.least(F.lit(0.97), e + 0.08)).otherwise(F.least(F.lit(0.84), e))
-    full = evidence.withColumn("awb", T.normalise_awb(F.col("value"))).where("awb is not null").join(several, "image_id").join(agrees, ["image_id", "awb"], "left")
+    per = evidence.groupBy("image_id").agg(several.alias("several"), F.collect_list(F.struct("value", "source_crop", "evidence_level")).alias("all"))  # an image has some dozens of observations
+    each = per.select("image_id", "several", F.inline("all"))
+    full = each.withColumn("awb", T.normalise_awb(F.col("value"))).where("awb is not null").join(agrees, ["image_id", "awb"], "left")
     full = full.withColumn("agrees", F.coalesce("agrees", F.lit(False)))
     return full.select("image_id", "awb", "source_crop", "agrees", F.round(conf, 6).alias("confidence"))
 

@@ -616,7 +616,7 @@ JOB = "jb AS (SELECT user_id AS job_id, max(ts) AS last_at, CASE user_id % 4 WHE
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id") % 4
     stage = F.when(k == 0, "PROCESSING").when(k == 1, "COMPLETED").when(k == 2, "QUEUED").otherwise("CANCELLED")
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("ts").alias("last_at")).join(table(spark, d, "events").select(F.col("user_id").alias("job_id"), stage.alias("stage")).distinct(), "job_id")
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("job_id"), stage.alias("stage")).agg(F.max("ts").alias("last_at")).select("job_id", "last_at", "stage")
 
 
 @query(f"WITH {JOB} SELECT job_id, CASE WHEN stage IN ('COMPLETED', 'COMPLETED_WITH_WARNINGS', 'FAILED', 'CANCELLED') THEN stage ELSE 'FAILED' END AS stage FROM jb")
@@ -704,10 +704,12 @@ def annotation_key_diff(spark, d):
     return a.unionByName(labels.join(images.where("k % 50 <> 0"), "k", "left_anti").select("k", F.lit("label_without_image").alias("error")))
 
 
-@query("SELECT sha256(content) AS sha, string_agg(file_id::VARCHAR, ',' ORDER BY file_id::VARCHAR) AS names FROM v_files GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(content) AS sha, file_id FROM v_files WHERE sha256(content) IN (SELECT sha256(content) FROM v_files GROUP BY 1 HAVING count(*) > 1)")
 def duplicate_digests(spark, d):
-    g = view(spark, d, "v_files").groupBy(F.sha2("content", 256).alias("sha")).agg(F.sort_array(F.collect_list(F.col("file_id").cast("string"))).alias("n"))
-    return g.where(F.size("n") > 1).select("sha", F.array_join("n", ",").alias("names"))
+    """Files whose content is there more than once, a row each, so a hot content is no single row."""
+    f = view(spark, d, "v_files").select(F.sha2("content", 256).alias("sha"), "file_id")
+    twice = f.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha")
+    return f.join(twice, "sha", "left_semi")
 
 
 @query("SELECT sha, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM (SELECT sha256(content) AS sha, CASE file_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM v_files) GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -834,7 +836,11 @@ def class_aliases(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), perception.internal_class(F.get(names, (F.col("p_partkey") % 5).cast("int"))).alias("class_name"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT image_id AS page, y + h / 2 AS center, x::DOUBLE AS lft, h::DOUBLE AS height, 't' || box_id AS token, row_number() OVER (PARTITION BY image_id ORDER BY y + h / 2, x, h, 't' || box_id) AS rk FROM v_boxes),
+f AS (SELECT page, rk, lft, token, 1 AS line, center AS s, 1 AS n, height AS tall FROM t WHERE rk = 1
+UNION ALL SELECT t.page, t.rk, t.lft, t.token, CASE WHEN abs(t.center - f.s / f.n) <= greatest(t.height, f.tall) * 0.62 THEN f.line ELSE f.line + 1 END, CASE WHEN abs(t.center - f.s / f.n) <= greatest(t.height, f.tall) * 0.62 THEN f.s + t.center ELSE t.center END,
+ CASE WHEN abs(t.center - f.s / f.n) <= greatest(t.height, f.tall) * 0.62 THEN f.n + 1 ELSE 1 END, CASE WHEN abs(t.center - f.s / f.n) <= greatest(t.height, f.tall) * 0.62 THEN greatest(t.height, f.tall) ELSE t.height END FROM f JOIN t ON t.page = f.page AND t.rk = f.rk + 1),
+l AS (SELECT page, line, string_agg(token, ' ' ORDER BY lft, token) AS text FROM f GROUP BY 1, 2) SELECT page, string_agg(text, chr(10) ORDER BY line) AS text FROM l GROUP BY 1""")
 def line_clusters(spark, d):
     b = view(spark, d, "v_boxes").select(F.col("image_id").alias("page"), (F.col("y") + F.col("h") / 2).alias("center"), F.col("x").cast("double").alias("left"), F.col("h").cast("double").alias("height"), F.concat(F.lit("t"), F.col("box_id").cast("string")).alias("token"))
     return perception.line_clusters(b)

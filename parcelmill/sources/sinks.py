@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOM = "﻿"
@@ -40,15 +41,70 @@ def audit(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def audit_text(df: DataFrame, order: list[str], rename: dict[str, str] | None = None) -> str:
+    """A job's records as one indented JSON text, nulls and letters of any script kept; ``rename`` gives columns whose paths become
+    ``<folder>/<file name>``.  For a batch (at most some hundreds of rows)."""
+    for column, folder in (rename or {}).items():
+        df = df.withColumn(column, F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{folder}/"), F.regexp_extract(column, r"([^/]*)\z", 1))))
+    rows = [json.loads(r.value) for r in audit(df.orderBy(*order)).collect()]
+    return json.dumps(rows, indent=2, ensure_ascii=False)
+
+
+def _file_context(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf)
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename, through the file system of the path; readers see the old or
-    the new report and nothing between."""
+    """Write a new version below ``path`` and then replace the pointer to the current one, in one rename of a file.
+    Readers (``published``) see the old or the new report and nothing between; the version before the old one is removed."""
     spark = df.sparkSession
-    staged = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    jvm = spark.sparkContext._jvm
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, fs, context = _file_context(spark, path)
     hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(staged), hadoop(path)):
-        raise OSError(f"could not publish {path}")
+    before = _current(spark, path)
+    staged = hadoop(f"{path}/_next-{version}")
+    out = fs.create(staged, True)
+    out.write(bytearray(f"{version} {before}".strip().encode()))
+    out.close()
+    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = overwrite
+    old = _versions(spark, path)[1:2]
+    context.rename(context.makeQualified(staged), context.makeQualified(hadoop(f"{path}/_current")), options)
+    for name in old:
+        fs.delete(hadoop(f"{path}/{name}"), True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The current version and the one before, as far as there are any."""
+    jvm, fs, _ = _file_context(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    if not fs.exists(pointer):
+        return []
+    stream = fs.open(pointer)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    return next(iter(_versions(spark, path)), "")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published report."""
+    if not (version := _current(spark, path)):
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def write_evaluation(metrics: DataFrame, failures: DataFrame, sweep: DataFrame, confusion: DataFrame, path: str) -> None:
+    """The four parts of an evaluation: scalars as JSON, failures and sweep as CSV, a CSV of counts for each confusion pair."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/metrics")
+    write_csv(failures, f"{path}/failures")
+    write_csv(sweep, f"{path}/threshold_sweep")
+    flat(confusion).write.mode("overwrite").partitionBy("pair").option("header", True).option("quoteAll", True).csv(f"{path}/confusion")

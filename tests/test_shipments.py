@@ -184,6 +184,111 @@ def test_job_lifecycle(spark, tmp_path):
         jobs.submit(spark.range(5).selectExpr("id as pos", "'x' as filename", "string(id) as sha256"))
 
 
+def test_job_is_cancelled_between_batches_and_resumed(spark, tmp_path):
+    box = {}
+
+    def process(df):
+        box["n"] = box.get("n", 0) + 1
+        if box["n"] == 1:
+            box["job"] = next(p.name for p in tmp_path.iterdir())
+            assert box["jobs"].is_running(box["job"]) and box["jobs"].cancel(box["job"])
+        return df.withColumn("status", F.lit("ok"))
+
+    jobs = box["jobs"] = Jobs(spark, str(tmp_path), process, batch=2)
+    items = spark.createDataFrame([(k, f"{k}.png", f"s{k}") for k in range(8)], "pos long, filename string, sha256 string")
+    job = jobs.submit(items)
+    state = jobs.get_job(job)
+    assert state["stage"] == "CANCELLED" and 0 < jobs.results(job).count() < 8 and not jobs.cancel(job)
+    jobs.resume(job)
+    assert jobs.get_job(job)["stage"] == "COMPLETED" and not jobs.is_running(job)
+    out = jobs.results(job).collect()
+    assert [r.pos for r in out] == list(range(8)) and all(r.stored_name.endswith(".png") and len(r.stored_name) == 36 for r in out)
+
+
+def test_failed_job_keeps_what_it_has(spark, tmp_path):
+    def process(df):
+        raise RuntimeError("broke")
+
+    jobs = Jobs(spark, str(tmp_path), process)
+    with pytest.raises(RuntimeError):
+        jobs.submit(spark.createDataFrame([(0, "a", "s")], "pos long, filename string, sha256 string"))
+    job = next(p.name for p in tmp_path.iterdir())
+    assert jobs.get_job(job)["stage"] == "FAILED" and jobs.get_job(job)["error"] == "RuntimeError" and jobs.results(job).count() == 0
+
+
+def test_imaging(spark):
+    from parcelmill.operators import imaging, perception
+
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 255, (40, 60, 3)).astype(np.uint8)
+    patch = np.zeros((40, 60, 3), np.uint8)
+    patch[8:16, 8:24] = (0, 220, 250)
+    patch[30, 50] = (0, 220, 250)
+    rows = [("noise", 60, 40, bytearray(noise.tobytes())), ("patch", 60, 40, bytearray(patch.tobytes())), ("bad", None, None, None)]
+    images = spark.createDataFrame(rows, "origin string, width int, height int, pixels binary")
+    m = {r.origin: r for r in imaging.measured(images).collect()}
+    assert m["noise"].blur > 1000 and not m["noise"].low_quality and m["patch"].low_quality and m["bad"].blur is None and not m["bad"].low_quality
+    assert 0 < m["patch"].edge_density < m["noise"].edge_density
+    bits = {r.origin: r.bits for r in imaging.hashed(images).collect()}
+    assert bits["noise"] == pixels.difference_hash(noise) and bits["bad"] is None
+    parts = imaging.overlay_parts(images.where("origin = 'patch'"))
+    assert [(r.pixels, r.x, r.y, r.w, r.h) for r in parts.collect()] == [(128, 8, 8, 16, 8)]
+    assert perception.union_box(parts).first().x2 == 24
+    gone = imaging.without_region(images.withColumn("region", F.expr("if(origin = 'patch', struct(8 as x, 8 as y, 16 as w, 8 as h), null)")))
+    assert {r.origin: sum(r.pixels) for r in gone.where("origin = 'patch'").collect()} == {"patch": 470}
+    exif = b"\xff\xd8\xff\xe1" + (34).to_bytes(2, "big") + b"Exif\0\0" + b"II*\0" + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + (0x0112).to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + (6).to_bytes(4, "little") + bytes(4)
+    assert pixels.exif_orientation(exif) == 6 and pixels.exif_orientation(b"") == 1 and pixels.exif_orientation(b"\xff\xd8\xff") == 1
+    turned = {r.origin: r for r in imaging.upright(images.withColumn("content", F.lit(exif)), 30).collect()}
+    assert (turned["noise"].width, turned["noise"].height, len(turned["noise"].pixels)) == (20, 30, 1800) and turned["bad"].pixels is None
+    boxes = images.withColumn("boxes", F.expr("array(struct(2 as x, 2 as y, 9 as w, 9 as h))")).withColumn("requires_review", F.lit(True))
+    seen = {r.origin: r for r in imaging.previews(boxes).collect()}
+    assert seen["noise"].preview[:4] == b"\x89PNG" and seen["bad"].preview is None
+    assert pixels.opened(np.pad(np.eye(4, dtype=bool), 2)).sum() == 0 and pixels.opened(np.ones((3, 3), bool)).all()
+
+
+def test_lanczos():
+    flat = np.full((30, 50), 77, np.uint8)
+    assert (pixels.resized(flat, 9, 8) == 77).all() and pixels.resized(flat, 50, 30) is not None
+    ramp = np.tile(np.arange(0, 250, 5, dtype=np.uint8), (30, 1))
+    small = pixels.resized(ramp, 9, 8).astype(int)
+    assert (np.diff(small, axis=1) > 0).all() and pixels.difference_hash(np.dstack([ramp] * 3)) == -1
+
+
+def test_near_hashes(spark):
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
+    rows = list(enumerate(base + base[:3] + [b ^ (1 << k) ^ (1 << (2 * k + 1)) for k, b in enumerate(base[:20])]))
+    rows = [(k, b - (1 << 64) if b >= 1 << 63 else b) for k, b in rows]
+    got = {tuple(r) for r in V.near_hashes(spark.createDataFrame(rows, "k long, bits long"), "k").collect()}
+    far = lambda x, y: ((x ^ y) & ((1 << 64) - 1)).bit_count()
+    assert got == {(a, b, far(x, y)) for a, x in rows for b, y in rows if a < b and far(x, y) <= 6} and len(got) > 20
+
+
+def test_carrier_rules_of_a_file(spark):
+    rules = V.parsed_rules('{"rules": [{"name": "p", "pattern": "[A-Z]{2}[0-9]+", "prefixes": ["nh"]}, {"name": "c", "pattern": ".*", "context_terms": ["AWB"]}]}')
+    ask = lambda v, ctx: value(spark, F.array_join(V.matching_rules(F.col("x"), F.lit(ctx), rules), ";"), x=v)
+    assert ask("nh12", "") == "p;c" and ask("xx12", "the awb no") == "c" and ask("NH1", "other") == "p" and ask("zz", "other") == ""
+    assert V.parsed_rules("{}") == [] and value(spark, F.size(V.matching_rules(F.col("x"), F.lit(""), [])), x="a") == 0
+    assert readers.rule_text_errors("[") and readers.rule_text_errors('{"rules": [{"pattern": "x"}]}') == ["Invalid courier rule file"]
+
+
+def test_calibration_without_a_threshold_raises(spark):
+    from parcelmill.operators import evaluate
+
+    table = spark.createDataFrame([(0.8, 5, 0.5, 0.1)], "threshold double, accepted long, precision double, review_rate double")
+    assert evaluate.calibrate(table, 0.4).first().threshold == 0.8
+    with pytest.raises(Exception, match="no threshold"):
+        evaluate.calibrate(table, 0.9).collect()
+
+
+def test_evaluation_files(spark, tmp_path):
+    one = spark.createDataFrame([(1, None)], "n int, missing double")
+    pairs = spark.createDataFrame([("a", "x", "y", 2)], "pair string, expected string, predicted string, n long")
+    sinks.write_evaluation(one, one, one, pairs, str(tmp_path))
+    assert '"missing":null' in next((tmp_path / "metrics").glob("part-*")).read_text()
+    assert (tmp_path / "confusion" / "pair=a").is_dir() and (tmp_path / "failures").is_dir()
+
+
 def test_patch_can_set_null(spark):
     jobs = spark.createDataFrame([(1, "RUN", 5), (2, "RUN", 6)], "job int, stage string, n int")
     patch = spark.createDataFrame([(1, None, True, 9, False)], "job int, stage string, set_stage boolean, n int, set_n boolean")
@@ -250,7 +355,15 @@ def test_reports(spark, tmp_path):
     assert json.loads(sinks.audit(df).first().value)["w"] is None
     sinks.publish(df, str(tmp_path / "r"))
     sinks.publish(df.union(df), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+    assert sinks.published(spark, str(tmp_path / "r")).count() == 2
+    sinks.publish(df, str(tmp_path / "r"))
+    assert sinks.published(spark, str(tmp_path / "r")).count() == 1
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "r").iterdir()) == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, str(tmp_path / "none"))
+    paths = df.select("id", F.lit("/a/b/é.png").alias("annotated"), F.lit(None).cast("string").alias("nothing"))
+    assert json.loads(sinks.audit_text(paths, ["id"], {"annotated": "annotations"})) == [{"id": 1, "annotated": "annotations/é.png", "nothing": None}]
+    assert "é" in sinks.audit_text(paths, ["id"]) and "\n  " in sinks.audit_text(paths, ["id"])
     sinks.write_csv(df, str(tmp_path / "c"))
     back = readers.csv_strings(spark, str(tmp_path / "c"), ["id", "awb", "flags", "w", "t"]).first()
     assert back.awb.startswith("0012") and back.w == ""
