@@ -50,6 +50,26 @@ def rule_errors(spark: SparkSession, path: str) -> DataFrame:
     return twice.unionByName(spark.createDataFrame(bad, "error string"))
 
 
+def rule_file(spark: SparkSession, path: str) -> list:
+    """Carrier rules of a rule file, in order; none where the file is missing."""
+    from ..operators.evidence import parsed_rules
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
+        return []
+    return parsed_rules(spark.read.option("wholetext", True).text(path).first().value)  # a settings file
+
+
+def dataset_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Stems of ``root``/images without a file in ``root``/labels, and the other way round."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^.]*\z", 1)
+    below = lambda name, glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(f"{root}/{name}").select(stem.alias("stem")).distinct()
+    images, labels = below("images", "*.{jpg,jpeg,png,JPG,JPEG,PNG}"), below("labels", "*.txt")
+    alone = images.join(labels, "stem", "left_anti").withColumn("error", F.lit("image_without_label"))
+    return alone.unionByName(labels.join(images, "stem", "left_anti").withColumn("error", F.lit("label_without_image")))
+
+
 def rule_text_errors(text: str) -> list[str]:
     """What is wrong with a rule file's text; a file that can't be read as rules is one error."""
     import re

@@ -50,3 +50,11 @@ def circuit(attempts: DataFrame, limit: int = 3) -> DataFrame:
     failed = F.coalesce(F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(before), F.lit(0))
     worked = F.coalesce(F.max(F.col("ok").cast("int")).over(before), F.lit(0))
     return attempts.select("job_id", "seq", ((worked == 1) | (failed < limit)).alias("allowed"))
+
+
+def capped(requests: DataFrame, most: int) -> DataFrame:
+    """Per job, in order: the calls that its cap admits (``allowed``); those that the circuit refuses do not count."""
+    from pyspark.sql import Window as W
+
+    upto = W.partitionBy("job_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)  # a batch's calls
+    return requests.withColumn("allowed", F.col("allowed") & (F.sum(F.col("allowed").cast("int")).over(upto) <= most))

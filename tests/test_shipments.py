@@ -246,6 +246,47 @@ def test_imaging(spark):
     assert pixels.opened(np.pad(np.eye(4, dtype=bool), 2)).sum() == 0 and pixels.opened(np.ones((3, 3), bool)).all()
 
 
+def png_of(w, h):
+    return pixels.png(np.random.default_rng(w).integers(0, 255, (h, w, 3)).astype(np.uint8))
+
+
+def test_inputs_of_any_kind(spark, tmp_path):
+    good, jpeg = png_of(9, 7), b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x06\x03" + bytes(12)
+    assert files.image_size(good) == (9, 7) and files.image_size(jpeg) == (6, 5) and files.image_size(b"\xff\xd8\xff") is None
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.png").write_bytes(good)
+    (folder / "a.jpg").write_bytes(jpeg)
+    (folder / "notes.txt").write_text("x")
+    found = files.inputs(spark, str(folder)).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in found] == ["a.jpg", "b.png"] and found[1].width == 9
+    assert files.inputs(spark, str(folder / "b.png")).count() == 1
+    with pytest.raises(files.InvalidInput, match="BATCH_TOO_LARGE"):
+        files.inputs(spark, str(folder), max_batch=1)
+    (folder / "c.png").write_bytes(good[:20])
+    with pytest.raises(files.InvalidInput, match="CORRUPT_IMAGE.*c.png"):
+        files.inputs(spark, str(folder))
+    (tmp_path / "x.zip").write_bytes(archive(**{"one.png": good, "bad.png": b"nothing", "sub/inner.zip": b"PK", "read.me": b"x"}))
+    rows = {r.name: r for r in files.inputs(spark, str(tmp_path / "x.zip")).collect()}
+    assert rows["one.png"].warning is None and bytes(rows["one.png"].content) == good
+    assert "BAD_SIGNATURE" in rows["bad.png"].warning and rows["sub/inner.zip"].warning and rows["read.me"].content is None
+    (tmp_path / "y.zip").write_bytes(archive(**{"bad.png": b"nothing"}))
+    with pytest.raises(files.InvalidInput, match="EMPTY_ZIP"):
+        files.inputs(spark, str(tmp_path / "y.zip"))
+    (tmp_path / "z.zip").write_bytes(archive(**{"../up.png": good}))
+    with pytest.raises(files.InvalidInput, match="ZIP_PATH_TRAVERSAL"):
+        files.inputs(spark, str(tmp_path / "z.zip"))
+
+
+def test_rule_file_and_dataset(spark, tmp_path):
+    (tmp_path / "rules.json").write_text('{"rules": [{"name": "a", "pattern": "x", "prefixes": ["p"]}]}')
+    assert readers.rule_file(spark, str(tmp_path / "rules.json")) == [V.CarrierRule("a", "x", ("p",))] and readers.rule_file(spark, str(tmp_path / "none")) == []
+    for name in ("images/a/one.png", "images/two.JPG", "labels/a/one.txt", "labels/three.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("0 0.5 0.5 0.1 0.1")
+    assert {tuple(r) for r in readers.dataset_errors(spark, str(tmp_path)).collect()} == {("two", "image_without_label"), ("three", "label_without_image")}
+
+
 def test_lanczos():
     flat = np.full((30, 50), 77, np.uint8)
     assert (pixels.resized(flat, 9, 8) == 77).all() and pixels.resized(flat, 50, 30) is not None
@@ -348,6 +389,12 @@ def test_circuit_opens(spark):
     assert [out[1, k] for k in range(6)] == [True, True, True, False, False, False] and all(out[2, k] for k in range(6))
 
 
+def test_calls_are_capped(spark):
+    rows = [(1, k, k != 1) for k in range(6)]
+    out = ingest.capped(spark.createDataFrame(rows, "job_id int, seq int, allowed boolean"), 3).orderBy("seq").collect()
+    assert [r.allowed for r in out] == [True, False, True, True, False, False]
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([(1, '0012"3', ["a", "b"], None, dt.datetime(2025, 1, 2, 3, 4, 5))], "id int, awb string, flags array<string>, w double, t timestamp_ntz")
     text = sinks.csv_text(df, ["id"])
