@@ -104,3 +104,20 @@ def low_quality(c=F.col) -> Column:
     """Blurred, flat, too dark or too bright; a measure that is not known condemns nothing."""
     marks = (c("blur") < 60, c("contrast") < 18, c("under_pct") > 82, c("over_pct") > 35)
     return F.coalesce(F.array_max(F.array(*(F.coalesce(m, F.lit(False)) for m in marks))), F.lit(False))
+
+
+def line_errors(line: Column, width: int = 640, height: int = 480, least: int = 4) -> Column:
+    """What is wrong with an annotation line (class and box as shares of the picture), as a list."""
+    f = F.split(F.trim(line), r"\s+")
+    cls = F.get(f, F.lit(0)).try_cast("int")
+    v = F.transform(F.slice(f, 2, 10), lambda x: x.try_cast("double"))
+    number = cls.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    five = F.size(f) == 5
+    whole = five & number
+    tiny = (F.get(v, F.lit(2)) * width < least) | (F.get(v, F.lit(3)) * height < least)
+    return F.array_compact(
+        F.array(
+            F.when(~five, "invalid_columns"), F.when(five & ~number, "invalid_number"), F.when(whole & ~cls.between(0, len(CLASSES) - 1), F.concat(F.lit("invalid_class:"), cls.cast("string"))),
+            F.when(whole & F.exists(v, lambda x: (x < 0) | (x > 1)), "out_of_range"), F.when(whole & tiny, "tiny_box"),
+        )
+    )

@@ -685,16 +685,7 @@ UNION ALL SELECT event_id, 'out_of_range' FROM q WHERE n = 5 AND c IS NOT NULL A
 def annotation_line_errors(spark, d):
     k = F.col("event_id") % 5
     line = F.when(k == 0, "1 0.5 0.5 0.5").when(k == 1, "99 0.5 0.5 0.5 0.5").when(k == 2, "x 0.5 0.5 0.5 0.5").when(k == 3, "2 1.5 0.5 0.5 0.001").otherwise("0 0.5 0.5 0.25 0.25")
-    f = F.split(F.trim(line), r"\s+")
-    q = table(spark, d, "events").select("event_id", F.size(f).alias("n"), F.get(f, F.lit(0)).try_cast("int").alias("c"), F.transform(F.slice(f, 2, 10), lambda x: x.try_cast("double")).alias("v"))
-    c, v = F.col("c"), F.col("v")
-    number = c.isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    whole = (F.col("n") == 5) & number
-    bad = F.array_compact(F.array(
-        F.when(F.col("n") != 5, "invalid_columns"), F.when((F.col("n") == 5) & ~number, "invalid_number"), F.when(whole & ~c.between(0, 4), F.concat(F.lit("invalid_class:"), c.cast("string"))),
-        F.when(whole & F.exists("v", lambda x: (x < 0) | (x > 1)), "out_of_range"), F.when(whole & ((F.get(v, F.lit(2)) * 640 < 4) | (F.get(v, F.lit(3)) * 480 < 4)), "tiny_box"),
-    ))
-    return q.select("event_id", F.explode(bad).alias("error"))
+    return table(spark, d, "events").select("event_id", F.explode(perception.line_errors(line)).alias("error"))
 
 
 @query("SELECT o_orderkey AS k, 'image_without_label' AS error FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION SELECT l_orderkey, 'label_without_image' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)")

@@ -460,3 +460,41 @@ def rule_file_errors(spark, d):
 
     files = {"good": RULES_JSON, "bad": '{"rules": [{"name": "a", "pattern": "x"}, {"name": "a", "pattern": "y"}, {"name": "b", "pattern": "("}]}', "broken": "{"}
     return reduce(DataFrame.unionByName, (spark.range(1).select(F.lit(n).alias("name"), F.lit(";".join(readers.rule_text_errors(t))).alias("errors")) for n, t in files.items()))
+
+
+# --- inputs of many values -------------------------------------------------------------------------
+
+_STAMPS = """CASE o_orderkey % 4 WHEN 0 THEN lpad((1 + o_orderkey % 12)::VARCHAR, 2, '0') || '/' || lpad((1 + o_orderkey % 28)::VARCHAR, 2, '0') || '/2024 ' || lpad((1 + o_orderkey % 12)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':07 ' || CASE WHEN o_orderkey % 3 = 0 THEN 'am' ELSE 'PM' END
+ WHEN 1 THEN '2023-' || lpad((1 + o_orderkey % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + o_orderkey % 28)::VARCHAR, 2, '0') || '  ' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':09' WHEN 2 THEN '2023-13-40 99:00:00' ELSE 'soon' END"""
+
+
+@query(f"SELECT image_id, coalesce(try_strptime(upper(raw), '%m/%d/%Y %I:%M:%S %p'), try_strptime(regexp_replace(raw, '\\s+', ' ', 'g'), '%Y-%m-%d %H:%M:%S')) AS taken FROM (SELECT o_orderkey AS image_id, {_STAMPS} AS raw FROM orders)")
+def parse_timestamps(spark, d):
+    """Times of day, month first or ISO, with spare blanks, small letters and impossible ones."""
+    k = F.col("o_orderkey")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    american = F.concat(two(1 + k % 12), F.lit("/"), two(1 + k % 28), F.lit("/2024 "), two(1 + k % 12), F.lit(":"), two(k % 60), F.lit(":07 "), F.when(k % 3 == 0, "am").otherwise("PM"))
+    iso = F.concat(F.lit("2023-"), two(1 + k % 12), F.lit("-"), two(1 + k % 28), F.lit("  "), two(k % 24), F.lit(":"), two(k % 60), F.lit(":09"))
+    raw = F.when(k % 4 == 0, american).when(k % 4 == 1, iso).when(k % 4 == 2, "2023-13-40 99:00:00").otherwise("soon")
+    return table(spark, d, "orders").select(k.alias("image_id"), T.timestamp(raw).alias("taken"))
+
+
+_CLASS, _BOX = "(l_orderkey % 7)", "(l_partkey % 21) / 16.0, (l_suppkey % 11) / 10.0, (l_quantity::INT % 9) / 10.0, (l_linenumber % 4) / 100.0"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, {_CLASS} AS c, [{_BOX}] AS v, l_partkey, l_suppkey, l_quantity FROM lineitem)
+SELECT k, n, v[1] AS x, v[2] AS y, v[3] AS w, v[4] AS h, 'invalid_class:' || c AS error FROM b WHERE c NOT BETWEEN 0 AND 4 UNION SELECT k, n, v[1], v[2], v[3], v[4], 'out_of_range' FROM b WHERE v[1] > 1 OR v[2] > 1 OR v[3] > 1 OR v[4] > 1 UNION SELECT k, n, v[1], v[2], v[3], v[4], 'tiny_box' FROM b WHERE v[3] * 640 < 4 OR v[4] * 480 < 4""")
+def annotation_boxes(spark, d):
+    """Errors of annotation lines whose class and box come from the rows."""
+    c = F.col
+    box = [(c("l_partkey") % 21) / 16.0, (c("l_suppkey") % 11) / 10.0, (c("l_quantity").cast("int") % 9) / 10.0, (c("l_linenumber") % 4) / 100.0]
+    b = table(spark, d, "lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").alias("n"), (c("l_orderkey") % 7).alias("cls"), *(v.cast("double").alias(a) for v, a in zip(box, "xywh")))
+    line = F.concat_ws(" ", c("cls").cast("string"), *(c(a).cast("string") for a in "xywh"))
+    return b.select("k", "n", "x", "y", "w", "h", F.explode(perception.line_errors(line)).alias("error")).distinct()
+
+
+@query("SELECT k, lower(trim(raw)) IN ('1', 'true', 'yes', 'on') AS flag, coalesce(try_cast(trim(raw) AS INT), 7) AS n FROM (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN ' ' || p_size || ' ' WHEN 1 THEN upper(left(p_brand, 3)) WHEN 2 THEN 'Yes' WHEN 3 THEN (p_partkey % 3)::VARCHAR WHEN 4 THEN ' ON' ELSE '' END AS raw FROM part)")
+def setting_values(spark, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 6 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).when(k % 6 == 1, F.upper(F.left("p_brand", F.lit(3)))).when(k % 6 == 2, "Yes").when(k % 6 == 3, (k % 3).cast("string")).when(k % 6 == 4, " ON").otherwise("")
+    return table(spark, d, "part").select(k.alias("k"), T.truthy(raw).alias("flag"), F.coalesce(F.trim(raw).try_cast("int"), F.lit(7)).alias("n"))
