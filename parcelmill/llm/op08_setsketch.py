@@ -185,17 +185,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *(pa.array(c, pa.int64()) for c in zip(*sizes))], ["x", "y", "inter", "total"])
 
 
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (x, y) with the sizes of intersection and union of their full sets."""
+    a = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
+    b = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
+    return cut(pairs.join(a, "x").join(b, "y").mapInArrow(K.task(_verify), VERIFIED), narrow=True)
+
+
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (x, y) with the sizes of intersection and union of their full sets; null where the
-    registers rule a link out, so that only the others' texts are moved."""
+    """``compared``, but null where the registers rule a link out, so that only the others' texts are moved."""
     a = sketches.select(F.col("node").alias("x"), F.col("registers").alias("rx"), F.col("n_shingles").alias("nx"))
     b = sketches.select(F.col("node").alias("y"), F.col("registers").alias("ry"), F.col("n_shingles").alias("ny"))
     judged = cut(pairs.join(a, "x").join(b, "y").mapInArrow(K.task(_estimate), "x long, y long, near boolean"), narrow=True)
-    a = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
-    b = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
-    full = judged.where("near").select("x", "y").join(a, "x").join(b, "y").mapInArrow(K.task(_verify), VERIFIED)
     none = F.lit(None).cast("long")
-    return cut(full.unionByName(judged.where("not near").select("x", "y", none.alias("inter"), none.alias("total"))), narrow=True)
+    return compared(judged.where("near").select("x", "y"), texts).unionByName(judged.where("not near").select("x", "y", none.alias("inter"), none.alias("total")))
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -317,7 +320,7 @@ def classified(docs: DataFrame) -> DataFrame:
     known = cut(known.unionByName(verified(apart(pairs), sketches, texts)), narrow=True)
     group = components(linked(known))
     left = within_reach(met.join(of("node"), "node", "left").join(of("head"), "head", "left").select("head", "node", F.coalesce("g_node", "node").alias("g"), F.coalesce("g_head", "head").alias("g_head")), texts)
-    last = verified(apart(left), sketches, texts)
+    last = compared(apart(left), texts)  # the exact bound on full sets has gone further than registers could
     group = components(linked(known.unionByName(last)))
     # A component is called by the smallest doc_id of its classes; most classes are alone.
     group = group.select(F.col("node").alias("member"), "component")

@@ -350,3 +350,28 @@ def test_chunks_have_the_tokenisers_ids(text):
 def test_trailing_signs(text):
     encoder = op06_packing.encoder_of(op06_packing.public_vocabulary("word_bpe_49k.json"))
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+ROW_LOCAL = {
+    "rules": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
+    "winnowing": ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
+    "secrets": ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"),
+    "toxicity": ("doc_id", "held_out"),
+}
+
+
+@pytest.mark.parametrize("name", ROW_LOCAL)
+def test_awkward_rows_have_their_own_values(name, docs, awkward, rows, labels, items):
+    """Repeats, null ids and clashing columns change nothing for the other rows, and repeats are alike."""
+    columns = ROW_LOCAL[name]
+    plain = got(OPERATORS[name](docs, labels, items), *columns)
+    out = got(OPERATORS[name](awkward, labels, items), *columns)
+    assert sorted({r for r in out if r[0] is not None}) == sorted(set(plain))
+    assert sum(r[0] == 7 for r in out) == 2 and len([r for r in out if r[0] is None]) == 2
+
+
+def test_near_duplicates_of_an_awkward_table(awkward, rows):
+    out = {(r.doc_id, r.component_id) for r in op08_setsketch.near_duplicates(awkward).collect()}
+    want = {(d, c) for d, _, c, _ in brute.near([*rows, (7, dict(rows)[7])])}
+    assert {x for x in out if x[0] is not None} == want
+    assert {c for d, c in out if d is None} == {None, 200}  # a copy of 200's text, and one without text
