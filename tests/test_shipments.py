@@ -532,7 +532,9 @@ def test_previews_and_fixtures():
     marked = pixels.boxed(image, [(5, 5, 20, 20)])
     assert (marked[5, 10] == (0, 200, 0)).all() and (marked[15, 15] == 120).all() and (image == 120).all()
     worse = pixels.adverse(image)
-    assert set(worse) == {"blur", "dark", "bright", "turned", "cut", "covered", "empty"} and worse["turned"].shape == (60, 40, 3)
+    assert set(worse) == {"blur", "dark", "bright", "turned", "cut", "covered", "empty", "combined", "over"} and worse["turned"].shape == (60, 40, 3)
+    kinds = pixels.adverse_files(b"0123456789", b"other")
+    assert kinds["duplicate"][0] == kinds["duplicate"][1] and kinds["conflict"][0] != kinds["conflict"][1] and len(kinds["corrupt"][0]) == 3
     mask = np.zeros((40, 60), bool)
     mask[2:6, 2:6] = mask[30:36, 40:50] = True
     parts = pixels.blob_parts(mask)
