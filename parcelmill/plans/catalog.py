@@ -449,10 +449,10 @@ def parcel_evidence(spark, d):
     return top.select("image_id", F.when(two, 2).otherwise(1).alias("parcel_count"), F.round(F.when(two, F.least(conf, F.lit(0.78))).otherwise(conf), 3).alias("confidence"), F.when(touches, "PARTIAL").otherwise("FULL").alias("visibility"))
 
 
-@query("SELECT image_id, weight_grams / 10 < 60 OR width_cm < 18 OR height_cm * 5 > 82 OR coalesce(length_cm, 0) > 35 AS low_quality FROM v_images WHERE weight_grams IS NOT NULL")
+@query("SELECT image_id, coalesce(weight_grams / 10 < 60, false) OR width_cm < 18 OR height_cm * 5 > 82 OR coalesce(length_cm, 0) > 35 AS low_quality FROM v_images")
 def quality_flags(spark, d):
     c = F.col
-    return view(spark, d, "v_images").where("weight_grams is not null").select("image_id", ((c("weight_grams") / 10 < 60) | (c("width_cm") < 18) | (c("height_cm") * 5 > 82) | (F.coalesce("length_cm", F.lit(0.0)) > 35)).alias("low_quality"))
+    return view(spark, d, "v_images").select("image_id", (F.coalesce(c("weight_grams") / 10 < 60, F.lit(False)) | (c("width_cm") < 18) | (c("height_cm") * 5 > 82) | (F.coalesce("length_cm", F.lit(0.0)) > 35)).alias("low_quality"))
 
 
 @query("""WITH d AS (SELECT image_id, box_id, class_name, greatest(0, round_even((x * 8 - w * 4 - 10) / 0.8, 0)::INT) AS px, greatest(0, round_even((y * 8 - h * 4 - 6) / 0.8, 0)::INT) AS py, round_even(w * 8 / 0.8, 0)::INT AS pw, round_even(h * 8 / 0.8, 0)::INT AS ph FROM v_boxes),
@@ -660,12 +660,16 @@ COPIED = HASHES + """, hc AS (SELECT vec_id, bits FROM h UNION ALL SELECT vec_id
 @query(f"WITH {COPIED} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM hc a JOIN hc b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 6")
 def hamming_pairs(spark, d):
     """Pairs within six of 64 bits among hashes and re-encoded copies of some of them (up to three bits off)."""
+    return V.near_hashes(with_copies(spark, d), "vec_id", 6)
+
+
+def with_copies(spark: SparkSession, d: str) -> DataFrame:
     h = _hashes(spark, d)
     one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
     v = F.col("vec_id")
     off = one(v % 61).bitwiseOR(one(v * 7 % 61)).bitwiseOR(one(v * 11 % 64))
     copies = h.where("vec_id % 4 = 0").select((v + 1000000000).alias("vec_id"), F.col("bits").bitwiseXOR(off).alias("bits"))
-    return V.near_hashes(h.unionByName(copies), "vec_id", 6)
+    return h.unionByName(copies)
 
 
 @query(f"""WITH RECURSIVE {HASHES}, o AS (SELECT vec_id % 10 AS set_id, vec_id AS pos, bits, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS rk FROM h),

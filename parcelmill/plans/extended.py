@@ -17,7 +17,7 @@ from ..operators import perception
 from ..operators import reconcile as R
 from ..operators import report
 from .adapters import view
-from .catalog import IOU, query, table
+from .catalog import COPIED, IOU, query, table, with_copies
 
 # --- evaluation, all fields ------------------------------------------------------------------------
 
@@ -350,18 +350,13 @@ def label_evidence_dedup(spark, d):
 
 # --- ordered folds ---------------------------------------------------------------------------------
 
-_BITS = "list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i) ELSE 0::HUGEINT END))::UBIGINT"
-
-
-@query(f"""WITH RECURSIVE h AS (SELECT vec_id % 10 AS set_id, vec_id AS pos, {_BITS} AS bits, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS rk FROM embeddings),
-f AS (SELECT set_id, rk, pos, pos AS leader, [struct_pack(pos := pos, bits := bits)] AS lead FROM h WHERE rk = 1
-UNION ALL SELECT f.set_id, h.rk, h.pos, coalesce(list_filter(f.lead, lambda k: bit_count(xor(k.bits, h.bits)) <= 24)[1].pos, h.pos), CASE WHEN len(list_filter(f.lead, lambda k: bit_count(xor(k.bits, h.bits)) <= 24)) > 0 THEN f.lead ELSE list_append(f.lead, struct_pack(pos := h.pos, bits := h.bits)) END FROM f JOIN h ON h.set_id = f.set_id AND h.rk = f.rk + 1)
+@query(f"""WITH RECURSIVE {COPIED}, o AS (SELECT vec_id % 10 AS set_id, vec_id AS pos, bits, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS rk FROM hc),
+f AS (SELECT set_id, rk, pos, pos AS leader, [struct_pack(pos := pos, bits := bits)] AS lead FROM o WHERE rk = 1
+UNION ALL SELECT f.set_id, o.rk, o.pos, coalesce(list_filter(f.lead, lambda k: bit_count(xor(k.bits, o.bits)) <= 6)[1].pos, o.pos), CASE WHEN len(list_filter(f.lead, lambda k: bit_count(xor(k.bits, o.bits)) <= 6)) > 0 THEN f.lead ELSE list_append(f.lead, struct_pack(pos := o.pos, bits := o.bits)) END FROM f JOIN o ON o.set_id = f.set_id AND o.rk = f.rk + 1)
 SELECT set_id, pos, leader FROM f""")
-def leader_groups_near(spark, d):
-    """Leader clustering over all 64 signs within 24 bits, so that groups form on these vectors."""
-    from .catalog import _hashes
-
-    return V.leaders(_hashes(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"), 24)
+def leader_groups_of_copies(spark, d):
+    """Leader clustering where re-encoded copies join their originals."""
+    return V.leaders(with_copies(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"))
 
 
 # --- jobs ------------------------------------------------------------------------------------------

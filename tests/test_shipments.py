@@ -295,6 +295,25 @@ def test_lanczos():
     assert (np.diff(small, axis=1) > 0).all() and pixels.difference_hash(np.dstack([ramp] * 3)) == -1
 
 
+def test_leaders_in_chains(spark):
+    """Chains in which whether one leads depends on many before it; copies; two sets."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for s in (0, 1):
+        x = 0
+        for pos in range(60):
+            x ^= sum(1 << int(k) for k in rng.integers(0, 63, 3))
+            rows += [(s, 3 * pos, x), (s, 3 * pos + 1, x if pos % 5 == 0 else int(rng.integers(0, 2**62)))]
+    want, lead = {}, {0: [], 1: []}
+    for s, pos, bits in sorted(rows):
+        want[s, pos] = next((p for p, b in lead[s] if (b ^ bits).bit_count() <= 6), pos)
+        if want[s, pos] == pos:
+            lead[s].append((pos, bits))
+    out = V.leaders(spark.createDataFrame(rows, "set_id int, pos long, bits long"))
+    assert {(r.set_id, r.pos): r.leader for r in out.collect()} == want
+    assert 0 < sum(p != l for (_, p), l in want.items()) < len(want)
+
+
 def test_near_hashes(spark):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
