@@ -23,17 +23,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-# What an operator keeps in a Python worker from task to task.  Workers outlive their tasks, so the next
-# operator's tasks let go of it: a worker's memory is for the operator at work.
+# What an operator keeps in a Python worker from task to task.  Workers outlive their tasks, so other
+# functions' tasks let go of it: a worker's memory is for the operator at work.
 worker_caches: dict[str, object] = {}
 
 
-def task(f: Callable) -> Callable:
-    """For a function over Arrow batches: when its task ends, memory that the worker has freed goes back to
-    the system.  Workers are used again, and allocators keep what one operator once needed."""
+def task(f: Callable, keep: str = "") -> Callable:
+    """For a function over Arrow batches: when its task begins, caches other than ``keep`` are let go, and when it ends, memory that
+    the worker has freed goes back to the system.  Workers are used again, and allocators keep what one operator once needed."""
 
     @functools.wraps(f)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [k for k in worker_caches if k != keep]:
+            del worker_caches[name]
         try:
             yield from f(batches)
         finally:
@@ -96,7 +98,6 @@ _ROLL = {s: Rolling(s) for s in range(1, 9)}
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about ``limit`` bytes; nulls are empty."""
-    worker_caches.clear()
     limit = limit or BLOCK_BYTES
     col = batch.column(column)
     if pa.types.is_large_string(col.type):

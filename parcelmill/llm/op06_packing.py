@@ -36,7 +36,8 @@ from .common import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-MEMO = 600_000
+MEMO_BYTES = 120 << 20  # for a worker's chunks and their ids, with what Python needs for an entry
+ENTRY_BYTES = 190
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED = PIECES + ", part int, place long"
 RESULT = PIECES + ", sequence_id long, offset long"
@@ -50,6 +51,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = 0
 
     def __missing__(self, chunk: str) -> bytes:
         # An ASCII letter and a sign never share a token; other letters may lower-case to a letter and a mark.
@@ -57,11 +59,13 @@ class Encoder(dict):
             ids = self[chunk[:-1]] + self[chunk[-1]]
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
-        if len(self) >= MEMO:
-            for old in list(self)[MEMO // 2 :]:  # the first chunks met are mostly frequent ones
-                del self[old]
         if len(chunk) <= 64:
+            if self.size >= MEMO_BYTES:
+                for old in list(self)[len(self) // 2 :]:  # the first chunks met are mostly frequent ones
+                    del self[old]
+                self.size = sum(ENTRY_BYTES + len(k) + len(v) for k, v in self.items())
             self[chunk] = ids
+            self.size += ENTRY_BYTES + len(chunk) + len(ids)
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -102,7 +106,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_i
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(kernel.task(pieces), PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(kernel.task(pieces, vocabulary), PIECES + ", ids binary" * with_ids)
 
 
 def match(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

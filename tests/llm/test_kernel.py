@@ -81,5 +81,21 @@ def test_sketch_never_underestimates(spark):
 
 def test_counts_in_a_byte():
     x = np.array([0, 1, 31, 32, 33, 1000, 1e6, 1e9])
-    back = M.DECODE[M.encoded(x)]
+    back = M.DECODE[M._narrow(x)]
     assert (back[:4] == x[:4]).all() and (np.abs(back - x) <= 0.05 * x).all()
+
+
+def test_tasks_let_go_of_other_caches():
+    K.worker_caches.update(own=1, other=2)
+    assert list(K.task(lambda it: iter(it), "own")([3])) == [3] and K.worker_caches == {"own": 1}
+    assert list(K.task(lambda it: iter(it))([])) == [] and not K.worker_caches
+
+
+def test_memo_is_bounded(monkeypatch):
+    from parcelmill.llm import op06_packing
+
+    monkeypatch.setattr(op06_packing, "MEMO_BYTES", 40_000)
+    encoder = op06_packing.Encoder(op06_packing.public_vocabulary("word_bpe_49k.json"))
+    text = " ".join(f"chunk{k}" for k in range(2000))
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.size < 41_000 and len(encoder) < 220
