@@ -17,7 +17,8 @@ similarity of their full sets is 75 % or more.
 
 Within a bucket of a band nothing is paired with all: first each class meets only the smallest class (the
 head) of its buckets, a star, and links make components.  What a bucket then still holds outside
-its head's component is compared by its *delta* to the head, the shingles not shared with it.  Two sets
+its head's component is compared by its *delta* to the head, the shingles not shared with it, which also settles each link to a
+head exactly.  Two sets
 differ by at least both deltas less what the deltas can share, and tokens that no other delta of the head has can't
 be shared.  This exact bound leaves the pairs that may still be linked, which are verified on their texts.
 No partner is capped.
@@ -205,7 +206,7 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(100 * F.col("inter") >= PERCENT * F.col("total")).select("x", "y")
 
 
-DELTAS = "head long, node long, size long, tokens array<long>"
+DELTAS = "head long, node long, size long, head_size long, tokens array<long>"
 
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +214,30 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, found = [], []
         for own, head in _sets(batch, ("node", "tx"), ("head", "th")):
-            sizes.append(len(own))
+            sizes.append((len(own), len(head)))
             found.append(np.setxor1d(own, head, assume_unique=True).view(np.int64))
         if sizes:
             at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("node"), pa.array(sizes, pa.int64()), lists], ["head", "node", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("node"), *(pa.array(c, pa.int64()) for c in zip(*sizes)), lists], ["head", "node", "size", "head_size", "tokens"])
 
 
-def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
+def open_members(met: DataFrame, group: DataFrame) -> DataFrame:
+    """(head, node, g, g_head) of the heads that have a member outside their component."""
+    of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    members = met.join(of("node"), "node", "left").join(of("head"), "head", "left").select("head", "node", F.coalesce("c_node", "node").alias("g"), F.coalesce("c_head", "head").alias("g_head"))
+    open_heads = small(cut(members.where("g <> g_head").select("head").distinct(), narrow=True), BROADCAST_ROWS)
+    return cut(members.join(open_heads, "head", "left_semi"), narrow=True)
+
+
+def deltas_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """What the set of each (head, node) and its head's set do not share, and both sizes."""
+    pairs = members.select("head", "node")
+    pairs = pairs.join(texts.select("node", F.col("text").alias("tx")), "node").join(texts.select(F.col("node").alias("head"), F.col("text").alias("th")), "head")
+    return cut(pairs.mapInArrow(K.task(_deltas), DELTAS))
+
+
+def within_reach(members: DataFrame, deltas: DataFrame) -> DataFrame:
     """Pairs (x, y) that meet in a bucket and may still be linked, x being outside its head's component.
 
     With m = |x - head| + |head - x| (the delta) and r its tokens that some other delta of the head
@@ -229,11 +245,7 @@ def within_reach(members: DataFrame, texts: DataFrame) -> DataFrame:
     (|x| + |y|) (1 - t) / (1 + t).  So b_x + a_y and a_x + b_y must both not be positive, where
     b = m - size * share and a = b - 2 r: each side is first cut by the other's least b.
     """
-    open_heads = small(cut(members.where("g <> g_head").select("head").distinct(), narrow=True), BROADCAST_ROWS)
-    members = cut(members.join(open_heads, "head", "left_semi"), narrow=True)
-    pairs = members.select("head", "node")
-    pairs = pairs.join(texts.select("node", F.col("text").alias("tx")), "node").join(texts.select(F.col("node").alias("head"), F.col("text").alias("th")), "head")
-    deltas = cut(pairs.mapInArrow(K.task(_deltas), DELTAS))
+    deltas = deltas.join(small(cut(members.select("head").distinct(), narrow=True), BROADCAST_ROWS), "head", "left_semi")
     lone = deltas.select("head", "node", F.explode("tokens").alias("token")).groupBy("head", "token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
     lone = lone.where("n = 1").groupBy("head", "node").agg(F.count(F.lit(1)).alias("own"))
     share = (100 - PERCENT) / (100 + PERCENT)
@@ -306,21 +318,16 @@ def classified(docs: DataFrame) -> DataFrame:
     # A star first: each class and the smallest head among its buckets.
     star = verified(pairs.groupBy("x").agg(F.min("y").alias("y")), sketches, texts)
     group = components(linked(star))
-    known = star
-
-    def of(c: str) -> DataFrame:
-        return group.select(F.col("node").alias(c), F.col("component").alias(f"g_{c}"))
-
-    def apart(p: DataFrame) -> DataFrame:
-        """Pairs in different components so far that have not been compared."""
-        p = p.join(of("x"), "x", "left").join(of("y"), "y", "left")
-        p = p.where(F.coalesce("g_x", "x") != F.coalesce("g_y", "y")).select("x", "y")
-        return p.join(known.select("x", "y"), ["x", "y"], "left_anti")
-
-    known = cut(known.unionByName(verified(apart(pairs), sketches, texts)), narrow=True)
+    # Then every class and each head of its buckets that is in another component, by their exact deltas.
+    members = open_members(met, group)
+    deltas = deltas_of(members, texts)
+    both, m = F.col("size") + F.col("head_size"), F.size("tokens")
+    to_head = deltas.where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"), ((both - m) / 2).cast("long").alias("inter"), ((both + m) / 2).cast("long").alias("total"))
+    known = star.unionByName(to_head)
     group = components(linked(known))
-    left = within_reach(met.join(of("node"), "node", "left").join(of("head"), "head", "left").select("head", "node", F.coalesce("g_node", "node").alias("g"), F.coalesce("g_head", "head").alias("g_head")), texts)
-    last = compared(apart(left), texts)  # the exact bound on full sets has gone further than registers could
+    # Last the pairs within a bucket that the bound leaves.
+    left = within_reach(open_members(met, group), deltas)  # of heads that were open before
+    last = compared(left.join(known.select("x", "y"), ["x", "y"], "left_anti"), texts)
     group = components(linked(known.unionByName(last)))
     # A component is called by the smallest doc_id of its classes; most classes are alone.
     group = group.select(F.col("node").alias("member"), "component")
