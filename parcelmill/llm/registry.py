@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op01_rules, op02_mixing, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat, op13_merkle
+from . import op01_rules, op02_mixing, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat, op11_subspace, op13_merkle
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op8_setsketch": op08_setsketch.op8_setsketch,
         "op9_secrets": op09_secrets.op9_secrets,
         "op10_chat": op10_chat.op10_chat,
+        "op11_subspace": op11_subspace.op11_subspace,
         "op13_merkle": op13_merkle.op13_merkle,
     }
 

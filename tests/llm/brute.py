@@ -222,3 +222,35 @@ def manifest(rows, fanout=16):
                 now = H(before, now, after)
             out.append((r[0], leaf(r), sub, root, H(*(b + a for b, a in way + top)), now, now == root))
     return out
+
+
+def vectors(rows, cosine=0.98):
+    """(vec_id, links, component, kept) of (vec_id, vector, label) rows: every pair is compared."""
+    import numpy as np
+
+    def unit(v):
+        if v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            return None
+        x = np.array(v, float)
+        x = x / np.abs(x).max()
+        return x / np.sqrt((x * x).sum())
+
+    made = [unit(v) if label is not None else None for _, v, label in rows]
+    links, component = [[] for _ in rows], list(range(len(rows)))
+    for i, x in enumerate(made):
+        for j, y in enumerate(made):
+            if i != j and x is not None and y is not None and rows[i][2] == rows[j][2] and len(x) == len(y) and (x * y).sum() >= cosine:
+                links[i].append(j)
+    for start in range(len(rows)):
+        if component[start] == start:
+            todo = [start]
+            while todo:
+                for j in links[todo.pop()]:
+                    if component[j] != start and component[j] == j and j > start:
+                        component[j] = start
+                        todo.append(j)
+    least = {}
+    for i, c in enumerate(component):
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return [(r[0], len(links[i]), least.get(component[i]), r[0] == least.get(component[i])) for i, r in enumerate(rows)]
