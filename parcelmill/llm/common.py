@@ -61,6 +61,12 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).checkpoint(eager=True)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written for a step and is read no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 BROADCAST_BYTES = 16 << 20
 
 

@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators."""
 
-from . import op01_rules, op02_mixing, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat, op11_subspace, op13_merkle
+from . import op01_rules, op02_mixing, op03_toxicity, op04_substring, op05_suffix, op06_packing, op07_winnow, op08_setsketch, op09_secrets, op10_chat, op11_subspace, op12_tiers, op13_merkle
 
 
 def queries():
@@ -16,9 +16,10 @@ def queries():
         "op9_secrets": op09_secrets.op9_secrets,
         "op10_chat": op10_chat.op10_chat,
         "op11_subspace": op11_subspace.op11_subspace,
+        "op12_tiers": op12_tiers.op12_tiers,
         "op13_merkle": op13_merkle.op13_merkle,
     }
 
 
 def oracle_sql():
-    return {"op7_winnow": op07_winnow.SQL, "op10_chat": op10_chat.SQL, "op13_merkle": op13_merkle.SQL}
+    return {"op7_winnow": op07_winnow.SQL, "op10_chat": op10_chat.SQL, "op12_tiers": op12_tiers.SQL, "op13_merkle": op13_merkle.SQL}

@@ -254,3 +254,34 @@ def vectors(rows, cosine=0.98):
         if rows[i][0] is not None:
             least[c] = min(least.get(c, rows[i][0]), rows[i][0])
     return [(r[0], len(links[i]), least.get(component[i]), r[0] == least.get(component[i])) for i, r in enumerate(rows)]
+
+
+def ranked(docs, items, best=20):
+    """(item_id, rank, doc_id, score) of (doc_id, text) rows for distinct (item_id, text) rows."""
+    import math
+
+    def terms(text):
+        out, word = Counter(), []
+        for c in (text or "") + " ":
+            if c.isascii() and not c.isalnum():
+                if word:
+                    out["".join(word)] += 1
+                word = []
+            else:
+                word.append(c.lower() if c.isascii() else c)
+        return out
+
+    counts = [(d, terms(t)) for d, t in docs]
+    n = sum(1 for _, c in counts if c)
+    length = sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in set(items):
+        scores = []
+        for place, (doc, c) in enumerate(counts):
+            m = 75 + (25 * sum(c.values()) * n) // length if length else 0
+            score = sum(q * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t, q in terms(text).items() if c[t])
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, place, doc))
+        out += [(item, k + 1, s[4], -s[0]) for k, s in enumerate(sorted(scores)[:best])]
+    return out
