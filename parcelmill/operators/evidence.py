@@ -125,51 +125,6 @@ def detector_rollup(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.max("score").alias("confidence"), F.nullif(F.count_if(parcel), F.lit(0)).alias("parcel_count"), F.bool_or(F.col("class_name") == "parcel_partial").alias("partial"), F.bool_or(F.col("class_name") == "label_region").alias("label_seen"))
 
 
-def leaders(hashes: DataFrame, reach: int = 6) -> DataFrame:
-    """Each hash (set_id, pos, bits) joins the first earlier leader of its set within ``reach`` bits, or leads.
-
-    Equal hashes have one leader, so they are one row.  Whether a hash leads depends on its earlier neighbours only: in each
-    round those lead that have no undecided earlier neighbour and no leader near them, and what is near a new leader follows.
-    Only pairs within reach are ever held, and no set has to fit into one row."""
-    one = hashes.groupBy("set_id", "bits").agg(F.min("pos").alias("pos"))
-    near = near_bits(one.select("set_id", "bits"), reach, "set_id")
-    at = lambda c: one.select("set_id", F.col("bits").alias(c), F.col("pos").alias(f"p_{c}"))
-    edges = near.where("x <> y").join(at("x"), ["set_id", "x"]).join(at("y"), ["set_id", "y"]).where("p_x < p_y").select("set_id", F.col("p_x").alias("a"), F.col("p_y").alias("b"))
-    edges = _cut(edges)
-    lead = None  # leaders that have neighbours
-    left = edges
-    while not left.isEmpty():
-        later = left.select("set_id", F.col("b").alias("a")).distinct()
-        new = _cut(left.select("set_id", "a").distinct().join(later, ["set_id", "a"], "left_anti"))
-        lead = new if lead is None else lead.unionByName(new)
-        follow = left.join(new, ["set_id", "a"], "left_semi").select("set_id", "b").distinct()
-        # Edges of followers are settled; an undecided hash whose edges are gone has lost all its earlier neighbours.
-        rest = left.join(new, ["set_id", "a"], "left_anti").join(follow, ["set_id", "b"], "left_anti")
-        rest = rest.join(follow.select("set_id", F.col("b").alias("a")), ["set_id", "a"], "left_anti")
-        freed = left.select("set_id", "b").distinct().join(follow, ["set_id", "b"], "left_anti").join(rest.select("set_id", "b").distinct(), ["set_id", "b"], "left_anti").select("set_id", F.col("b").alias("a"))
-        lead = lead.unionByName(_cut(freed.join(rest.select("set_id", "a").distinct(), ["set_id", "a"], "left_anti")))
-        left = _cut(rest)
-    if lead is None:
-        first = one.select("set_id", "pos", F.col("pos").alias("leader"))
-    else:
-        lead = _cut(lead.distinct())
-        found = edges.join(lead, ["set_id", "a"], "left_semi").join(lead.select("set_id", F.col("a").alias("b")), ["set_id", "b"], "left_anti").groupBy("set_id", F.col("b").alias("pos")).agg(F.min("a").alias("leader"))
-        first = one.select("set_id", "pos").join(found, ["set_id", "pos"], "left").select("set_id", "pos", F.coalesce("leader", "pos").alias("leader"))
-    by = one.join(first, ["set_id", "pos"]).select("set_id", "bits", "leader")
-    return hashes.join(by, ["set_id", "bits"]).select("set_id", "pos", "leader")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; where that is unset, its lineage stays."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df.cache()
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 GATE = 0.055
 
 
@@ -235,27 +190,3 @@ def detector_evidence(boxes: DataFrame) -> DataFrame:
     seen = F.when(c("parcel_count").isNull(), "UNCERTAIN").when(c("partial"), "PARTIAL").otherwise("FULL")
     status = F.when(c("blocked") | F.coalesce("covered", F.lit(False)), "LABEL_BLOCKED_OR_OCCLUDED").when(c("label"), "LABEL_VISIBLE_LOW_CONFIDENCE").otherwise("LABEL_STATUS_UNCERTAIN")
     return per.join(covered, "image_id", "left").select("image_id", "confidence", "parcel_count", seen.alias("parcel_visibility"), status.alias("label_status"))
-
-
-def near_bits(hashes: DataFrame, reach: int, *within: str) -> DataFrame:
-    """Ordered pairs (x, y) of distinct 64-bit hashes within ``reach`` bits (each with itself too), of rows equal in
-    ``within``.  Of ``reach + 1`` groups of bits one at least is equal in such a pair, so pairs meet by equal groups."""
-    n = reach + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    mask = lambda k: F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)
-    part = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bits", cuts[k]).bitwiseAND(mask(k)).alias("v")) for k in range(n)))
-    one = hashes.select(*within, "bits").distinct()
-    g = one.select(*within, "bits", F.inline(part))
-    met = g.select(*within, "k", "v", F.col("bits").alias("x")).join(g.select(*within, "k", "v", F.col("bits").alias("y")), [*within, "k", "v"])
-    met = met.where((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= reach)).select(*within, "x", "y").distinct()
-    turned = met.select(*within, F.col("y").alias("x"), F.col("x").alias("y"))
-    return met.unionByName(turned).unionByName(one.select(*within, F.col("bits").alias("x"), F.col("bits").alias("y")))
-
-
-def near_hashes(hashes: DataFrame, key: str, reach: int = 6) -> DataFrame:
-    """All pairs of keys whose 64-bit hashes are within ``reach`` bits.  Equal hashes are compared once, so a picture that is
-    stored again and again doesn't meet itself in every group of bits."""
-    met = near_bits(hashes, reach)
-    a, b = hashes.select(F.col("bits").alias("x"), F.col(key).alias("a")), hashes.select(F.col("bits").alias("y"), F.col(key).alias("b"))
-    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")
-    return met.join(a, "x").join(b, "y").where("a < b").select("a", "b", far.alias("distance"))

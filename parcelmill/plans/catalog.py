@@ -12,6 +12,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import evidence as V
+from ..operators import hamming as H
 from ..operators import jobs as J
 from ..operators import perception
 from ..operators import reconcile as R
@@ -657,10 +658,19 @@ def _hashes(spark: SparkSession, d: str) -> DataFrame:
 COPIED = HASHES + """, hc AS (SELECT vec_id, bits FROM h UNION ALL SELECT vec_id + 1000000000, xor(bits, (1::UBIGINT << (vec_id % 61)) | (1::UBIGINT << (vec_id * 7 % 61)) | (1::UBIGINT << (vec_id * 11 % 64))) FROM h WHERE vec_id % 4 = 0)"""
 
 
-@query(f"WITH {COPIED} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM hc a JOIN hc b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 6")
+CLASSED = COPIED + ", cl AS (SELECT bits, min(vec_id) AS class_id, count(*) AS n FROM hc GROUP BY 1)"
+
+
+@query(f"WITH {CLASSED} SELECT least(x.class_id, y.class_id) AS a, greatest(x.class_id, y.class_id) AS b, bit_count(xor(x.bits, y.bits))::INT AS distance, CASE WHEN x.class_id < y.class_id THEN x.n ELSE y.n END AS n_a, CASE WHEN x.class_id < y.class_id THEN y.n ELSE x.n END AS n_b FROM cl x JOIN cl y ON x.bits < y.bits AND bit_count(xor(x.bits, y.bits)) <= 6")
 def hamming_pairs(spark, d):
-    """Pairs within six of 64 bits among hashes and re-encoded copies of some of them (up to three bits off)."""
-    return V.near_hashes(with_copies(spark, d), "vec_id", 6)
+    """Pairs within six of 64 bits among hashes and re-encoded copies of some of them (up to three bits off): a row for each
+    two different hashes; ``hash_classes`` has the rows of each hash."""
+    return H.near_classes(with_copies(spark, d), "vec_id", 6)
+
+
+@query(f"WITH {CLASSED} SELECT vec_id, class_id, n FROM hc JOIN cl USING (bits)")
+def hash_classes(spark, d):
+    return H.membership(with_copies(spark, d), "vec_id")
 
 
 def with_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -677,7 +687,7 @@ f AS (SELECT set_id, rk, pos, pos AS leader, [struct_pack(pos := pos, bits := bi
 UNION ALL SELECT f.set_id, o.rk, o.pos, coalesce(list_filter(f.lead, lambda k: bit_count(xor(k.bits, o.bits)) <= 6)[1].pos, o.pos), CASE WHEN len(list_filter(f.lead, lambda k: bit_count(xor(k.bits, o.bits)) <= 6)) > 0 THEN f.lead ELSE list_append(f.lead, struct_pack(pos := o.pos, bits := o.bits)) END FROM f JOIN o ON o.set_id = f.set_id AND o.rk = f.rk + 1)
 SELECT set_id, pos, leader FROM f""")
 def leader_groups(spark, d):
-    return V.leaders(_hashes(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"))
+    return H.leaders(_hashes(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"))
 
 
 ANNOTATED = "an AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1 0.5 0.5 0.5' WHEN 1 THEN '99 0.5 0.5 0.5 0.5' WHEN 2 THEN 'x 0.5 0.5 0.5 0.5' WHEN 3 THEN '2 1.5 0.5 0.5 0.001' ELSE '0 0.5 0.5 0.25 0.25' END AS line FROM events)"

@@ -12,6 +12,7 @@ from ..functions import errors
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import evidence as V
+from ..operators import hamming as H
 from ..operators import jobs as J
 from ..operators import perception
 from ..operators import reconcile as R
@@ -356,7 +357,7 @@ UNION ALL SELECT f.set_id, o.rk, o.pos, coalesce(list_filter(f.lead, lambda k: b
 SELECT set_id, pos, leader FROM f""")
 def leader_groups_of_copies(spark, d):
     """Leader clustering where re-encoded copies join their originals."""
-    return V.leaders(with_copies(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"))
+    return H.leaders(with_copies(spark, d).select((F.col("vec_id") % 10).alias("set_id"), F.col("vec_id").alias("pos"), "bits"))
 
 
 # --- jobs ------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from parcelmill.functions import errors, pixels
 from parcelmill.functions import text as T
 from parcelmill.operators import evaluate as E
 from parcelmill.operators import evidence as V
+from parcelmill.operators import hamming as H
 from parcelmill.operators import jobs as J
 from parcelmill.operators import reconcile as R
 from parcelmill.operators.lifecycle import BatchTooLarge, Jobs
@@ -309,21 +310,11 @@ def test_leaders_in_chains(spark):
         want[s, pos] = next((p for p, b in lead[s] if (b ^ bits).bit_count() <= 6), pos)
         if want[s, pos] == pos:
             lead[s].append((pos, bits))
-    out = V.leaders(spark.createDataFrame(rows, "set_id int, pos long, bits long"))
+    out = H.leaders(spark.createDataFrame(rows, "set_id int, pos long, bits long"))
     assert {(r.set_id, r.pos): r.leader for r in out.collect()} == want
     assert 0 < sum(p != l for (_, p), l in want.items()) < len(want)
 
 
-def test_near_hashes(spark):
-    rng = np.random.default_rng(1)
-    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
-    rows = list(enumerate(base + base[:3] + [b ^ (1 << k) ^ (1 << (2 * k + 1)) for k, b in enumerate(base[:20])]))
-    rows = [(k, b - (1 << 64) if b >= 1 << 63 else b) for k, b in rows]
-    got = {tuple(r) for r in V.near_hashes(spark.createDataFrame(rows, "k long, bits long"), "k").collect()}
-    far = lambda x, y: ((x ^ y) & ((1 << 64) - 1)).bit_count()
-    assert got == {(a, b, far(x, y)) for a, x in rows for b, y in rows if a < b and far(x, y) <= 6} and len(got) > 20
-
-
 def test_carrier_rules_of_a_file(spark):
     rules = V.parsed_rules('{"rules": [{"name": "p", "pattern": "[A-Z]{2}[0-9]+", "prefixes": ["nh"]}, {"name": "c", "pattern": ".*", "context_terms": ["AWB"]}]}')
     ask = lambda v, ctx: value(spark, F.array_join(V.matching_rules(F.col("x"), F.lit(ctx), rules), ";"), x=v)
@@ -481,7 +472,7 @@ def test_nms_and_leaders(spark):
     b = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 0.9), (1, 2, 1, 1, 10, 10, 0.8), (1, 3, 50, 50, 10, 10, 0.7)], "image_id int, box_id long, x int, y int, w int, h int, score double")
     assert sorted(r.box_id for r in V.nms(b).collect()) == [1, 3]
     h = spark.createDataFrame([(1, 0, 0), (1, 1, 0b111), (1, 2, (1 << 40) - 1), (1, 3, (1 << 40) - 2)], "set_id int, pos long, bits long")
-    assert {r.pos: r.leader for r in V.leaders(h).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert {r.pos: r.leader for r in H.leaders(h).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
 @given(st.integers(0, 2**62))
