@@ -37,7 +37,7 @@ from .op08_setsketch import components
 
 COSINE = 0.98
 #: Classes on each side of a tile.
-CELL = 2048
+CELL = 8192
 #: Coordinates of a block, and blocks at most.
 LOW, BLOCKS = 8, 16
 #: Cuts of a coordinate, at most 2^DEPTH cells.
