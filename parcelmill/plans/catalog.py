@@ -17,6 +17,8 @@ from ..operators import jobs as J
 from ..operators import perception
 from ..operators import reconcile as R
 from ..operators import report
+from ..operators.quantiles import quantiles
+from ..operators.steps import cut
 from .adapters import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,17 +156,13 @@ def batch_summary(spark, d):
 
 @query(f"WITH {STATUS} SELECT count(*) AS processed, count(*) FILTER (NOT requires_review) AS clean, count(*) FILTER (requires_review) AS review, count(*) FILTER (has_awb) AS awb_extracted, round(count(*) FILTER (requires_review) / count(*), 6) AS review_rate, median(duration_ms)::DOUBLE AS median_ms, (list_sort(list(duration_ms)))[(least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1)::INT] AS p95_ms FROM res")
 def baseline_summary(spark, d):
-    """One aggregation by duration, from which the totals and the exact nearest-rank p95 follow: one row a millisecond, no
-    list of all durations."""
-    r = _records(spark, d)
-    by = r.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("n"), F.count_if("requires_review").alias("review"), F.count("awb_number").alias("awb"))
-    s = by.agg(F.sum("n").alias("processed"), F.sum("review").alias("review"), F.sum("awb").alias("awb_extracted"), F.array_sort(F.collect_list(F.struct("duration_ms", "n"))).alias("v"))
-    running = F.aggregate("v", F.array().cast("array<struct<ms:bigint,upto:bigint>>"), lambda a, x: F.array_append(a, F.struct(x["duration_ms"].alias("ms"), (F.coalesce(F.get(a, F.size(a) - 1)["upto"], F.lit(0)) + x["n"]).alias("upto"))))
-    s = s.withColumn("run", running)
-    place = lambda k: F.get(F.filter("run", lambda x: x["upto"] > k), F.lit(0))["ms"]  # noqa: E731  the k-th duration, from 0
+    """Totals, the exact median and the duration at the nearest rank of 95 %; places are found in narrowing histograms."""
+    r = cut(_records(spark, d).select(F.col("duration_ms"), F.col("requires_review").alias("review"), F.col("awb_number").isNotNull().alias("awb")))
+    s = r.agg(F.count(F.lit(1)).alias("processed"), F.count_if("review").alias("review"), F.count_if("awb").alias("awb_extracted")).withColumn("one", F.lit(0))
+    took = quantiles(r, "duration_ms", {"median_ms": 0.5}, {"p95_ms": 0.95}).select(F.lit(0).alias("one"), "median_ms", F.col("p95_ms").cast(r.schema["duration_ms"].dataType).alias("p95_ms"))
     n = F.col("processed")
-    middle = (place(F.floor((n - 1) / 2)) + place(F.floor(n / 2))) / 2
-    return s.select("processed", (n - F.col("review")).alias("clean"), "review", "awb_extracted", E.ratio(F.col("review"), n).alias("review_rate"), middle.cast("double").alias("median_ms"), place(F.least(n - 1, F.floor(n * 0.95))).alias("p95_ms"))
+    s = s.join(F.broadcast(took), "one", "left")  # one row each
+    return s.select("processed", (n - F.col("review")).alias("clean"), "review", "awb_extracted", E.ratio(F.col("review"), n).alias("review_rate"), "median_ms", "p95_ms")
 
 
 @query(f"WITH {STATUS} SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM res) WHERE flag <> '' GROUP BY 1")
@@ -563,7 +561,7 @@ def eval_failures(spark, d):
 
 @query(f"WITH {JOINED} SELECT median(processing_duration_ms)::DOUBLE AS median_ms, quantile_cont(processing_duration_ms::DOUBLE, 0.95) AS p95_ms FROM j")
 def eval_latency(spark, d):
-    return _joined(spark, d).agg(F.median("processing_duration_ms").alias("median_ms"), F.percentile("processing_duration_ms", 0.95).alias("p95_ms"))
+    return E.latency(_joined(spark, d), "processing_duration_ms")
 
 
 @query("""WITH s AS (SELECT p_brand AS c, avg(p_size) / 50 AS p, avg(p_retailprice) / 3000 AS r FROM part GROUP BY 1), f AS (SELECT c, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s) SELECT count(*) AS classes, round(avg(f1), 6) AS macro_f1 FROM f""")
