@@ -19,7 +19,8 @@ doc_id; hashing and choosing run in the cluster, and only hashed places come to
 Scoring reads every whole text.
 
 Edge cases: null and empty texts have no features and get the bias alone; null labels and
-labels of unknown documents are left out; repeated rows get equal scores; with no positives
+labels of unknown documents are left out; repeated rows get equal scores, and an id counts once in the fit
+however many rows it has; with no positives
 every score is the prior; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -73,7 +74,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, place = places(data, offsets)
             ends = np.searchsorted(doc, np.arange(len(offsets)))
             cells = [place[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("positive").slice(row, len(cells)), pa.array(cells, pa.binary())], ["positive", "places"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(cells)) for c in ("positive", "doc_id")), pa.array(cells, pa.binary())], ["positive", "doc_id", "places"])
 
 
 class Model:
@@ -185,18 +186,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "toxic")
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "toxic").distinct()
     prior = known.agg(F.avg("toxic")).first()[0]
     toxic = known.where("toxic = 1").select("doc_id").distinct()
     texts = docs.select("doc_id", "text").where(~held_out("doc_id"))
     pick = F.xxhash64("doc_id", F.lit(17))
     # Ids are chosen first, so that only chosen texts are read on.
-    positive = texts.select("doc_id").join(toxic, "doc_id", "left_semi").orderBy(pick).limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
+    positive = texts.select("doc_id").join(toxic, "doc_id", "left_semi").distinct().orderBy(pick).limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
     listed = labels.select("doc_id").distinct()
-    unlabelled = texts.select("doc_id").join(listed, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(23))).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    unlabelled = texts.select("doc_id").join(listed, "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id", F.lit(23))).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # At most max_positive + max_unlabelled ids, so texts stay where they are.
-    chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "text")
-    rows = chosen.mapInArrow(K.task(_features), "positive boolean, places binary").toArrow().combine_chunks()
+    chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "doc_id", "text")
+    # An id counts once in each set, however many rows it has; of several texts the one of least places is taken.
+    rows = chosen.mapInArrow(K.task(_features), "positive boolean, doc_id long, places binary").groupBy("positive", "doc_id").agg(F.min("places").alias("places"))
+    rows = rows.select("positive", "places").toArrow().combine_chunks()
     return fit(*(_sets(rows.filter(rows.column("positive") if on else pc.invert(rows.column("positive")))) for on in (True, False)), DEFAULT_PRIOR if prior is None else float(prior))
 
 

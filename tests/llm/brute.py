@@ -285,3 +285,73 @@ def ranked(docs, items, best=20):
                 scores.append((-score, doc is None, doc or 0, place, doc))
         out += [(item, k + 1, s[4], -s[0]) for k, s in enumerate(sorted(scores)[:best])]
     return out
+
+
+def linked_secrets(text, base, weak, walls, reach, mixed):
+    """Which weak parts are reported, from every pair of parts.  ``weak``: all candidates; ``mixed``: whether a secret has letters and digits."""
+
+    def scope(x):
+        low = max([w for w in walls if w <= x[0]], default=0)
+        high = min([w for w in walls if w >= x[1]], default=len(text))
+        return max(x[0] - reach, low), min(x[1] + reach, high)
+
+    def over(x, y):
+        return x[0] < y[1] and y[0] < x[1]
+
+    named = [x for x in base if x[2] != "access"]
+    weak = [x for x in weak if not (x[2] == "secret" and any(over(x, y) for y in named))]
+    idents = [x for x in base if x[2] == "access"] + [x for x in weak if x[2] == "ident"]
+    endpoints = [x for x in weak if x[2] == "endpoint"]
+    secrets = []
+    for x in weak:
+        if x[2] == "secret":
+            beside = any(over(x, scope(y)) for y in idents if not over(x, y))
+            beside |= mixed(x) and not any(over(x, y) for y in endpoints) and any(over(x, scope(y)) for y in endpoints)
+            if beside:
+                secrets.append(x)
+    return secrets + [x for x in weak if x[2] != "secret" and any(over(x, scope(y)) for y in named + secrets)]
+
+
+def nn_pu(positive, unlabelled, prior, epochs, rate=0.3, decay=1e-4, seed=7, support=6, share=0.006, lift=0.5):
+    """(places, weights, bias) by the non-negative positive-unlabelled risk; documents are lists of places."""
+    import math
+
+    import numpy as np
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    def loss(x):
+        return math.log1p(math.exp(x))
+
+    inp, inu = Counter(x for d in positive for x in d), Counter(x for d in unlabelled for x in d)
+    least = max(1, min(support, len(positive) // 8), share * len(positive))
+    places = sorted(x for x, n in inp.items() if n >= least and (n / len(positive)) / ((inu[x] + 1) / (len(unlabelled) + 1)) >= lift / prior)
+    w, g2 = dict.fromkeys(places, 0.0), dict.fromkeys(places, 1e-8)
+    bias, b2 = math.log(prior / (1 - prior)), 1e-8
+    rng = np.random.default_rng(seed)
+    batch, steps = max(1, min(256, len(positive))), max(8, len(unlabelled) // 512)
+    for _ in range(epochs):
+        order = [rng.permutation(len(x)).tolist() for x in (positive, unlabelled)]
+        for step in range(steps):
+            ps = [positive[order[0][(step * batch + k) % len(positive)]] for k in range(batch)]
+            us = [unlabelled[k] for k in order[1][step::steps]]
+            logit = lambda d: sum(w.get(x, 0.0) for x in d) + bias
+            zp, zu = [logit(d) for d in ps], [logit(d) for d in us]
+            clean = sum(map(loss, zu)) / len(zu) - prior * sum(map(loss, zp)) / len(zp)
+            grad, gb = {x: decay * w[x] for x in places}, 0.0
+            for docs, slopes in (
+                (ps, [(-prior * sigmoid(-z) - prior * sigmoid(z) if clean >= 0 else prior * sigmoid(z)) / len(zp) for z in zp]),
+                (us, [(sigmoid(z) if clean >= 0 else -sigmoid(z)) / len(zu) for z in zu]),
+            ):
+                for d, slope in zip(docs, slopes):
+                    gb += slope
+                    for x in d:
+                        if x in grad:
+                            grad[x] += slope
+            for x in places:
+                g2[x] += grad[x] ** 2
+                w[x] -= rate * grad[x] / math.sqrt(g2[x])
+            b2 += gb * gb
+            bias -= rate * gb / math.sqrt(b2)
+    return places, [w[x] for x in places], bias
