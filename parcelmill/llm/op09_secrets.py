@@ -119,7 +119,8 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     idents = [x for x in base if x[2] == "access"] + [x for x in weak if x[2] == "ident"]
     endpoints = [x for x in weak if x[2] == "endpoint"]
     bare = [x for x in weak if x[2] == "secret"]
-    mixed = [x for x in bare if MIXED.match(text, x[0], x[1]) and not _within(x, _merged(endpoints, [], 0))] if endpoints else []
+    inside = _merged(endpoints, [], 0)
+    mixed = [x for x in bare if MIXED.match(text, x[0], x[1]) and not _within(x, inside)] if endpoints else []
     secrets = sorted({*_beside(bare, idents, walls, reach), *_beside(mixed, endpoints, walls, reach)})
     scope = _merged([x for x in base if x[2] != "access"] + secrets, walls, reach)
     return secrets + [x for x in weak if x[2] != "secret" and _within(x, scope)]
@@ -164,8 +165,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
                 if text:
                     base = base_spans(text)
                     starts, ends = _merged(base + linked(text, base), [], 0)
-                    for s, e in reversed(list(zip(starts, ends))):
-                        text = text[:s] + mark + text[e:]
+                    text = mark.join(text[e:s] for e, s in zip([0, *ends], [*starts, len(text)]))
                     lengths.append(len(text) if starts else None)
                 else:
                     lengths.append(None)
