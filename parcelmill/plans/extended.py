@@ -17,6 +17,7 @@ from ..operators import jobs as J
 from ..operators import perception
 from ..operators import reconcile as R
 from ..operators import report
+from ..streaming import guard
 from .adapters import view
 from .catalog import COPIED, IOU, query, table, with_copies
 
@@ -494,3 +495,22 @@ def setting_values(spark, d):
     k = F.col("p_partkey")
     raw = F.when(k % 6 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).when(k % 6 == 1, F.upper(F.left("p_brand", F.lit(3)))).when(k % 6 == 2, "Yes").when(k % 6 == 3, (k % 3).cast("string")).when(k % 6 == 4, " ON").otherwise("")
     return table(spark, d, "part").select(k.alias("k"), T.truthy(raw).alias("flag"), F.coalesce(F.trim(raw).try_cast("int"), F.lit(7)).alias("n"))
+
+
+CALLS = """ev AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'request' WHEN 'signup' THEN 'image' ELSE 'answer' END AS kind,
+ event_type = 'view' AND event_id % 11 = 0 AND user_id % 3 <> 0 AS cached, event_type = 'purchase' AND user_id % 3 <> 0 AS ok, 5 + user_id % 4 AS total FROM events)"""
+
+
+@query(f"""WITH {CALLS}, s AS (SELECT *, coalesce(bool_or((kind = 'request' AND cached) OR (kind = 'answer' AND ok)) OVER b, false) AS verified, count(*) FILTER (kind = 'answer' AND NOT ok) OVER b AS bad, count(*) FILTER (kind = 'answer' AND NOT ok) OVER u AS failures,
+ count(*) FILTER (kind = 'image') OVER u AS done FROM ev WINDOW b AS (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, NOT verified AND bad >= 3 AS shut FROM s), n AS (SELECT *, count(*) FILTER (kind = 'request' AND NOT cached AND NOT shut) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS asked FROM a)
+SELECT job_id, seq, ts AS "at", kind, CASE WHEN kind <> 'request' THEN 'recorded' WHEN cached THEN 'cached' WHEN shut THEN 'circuit_open' WHEN asked > 4 THEN 'job_limit' ELSE 'call' END AS decision, least(asked, 4) AS used, failures, done,
+ CASE WHEN done > 0 THEN round(least(100.0::DOUBLE, 100.0::DOUBLE * done / total), 2) END AS percent FROM n""")
+def call_guard(spark, d):
+    """What each job's cap and circuit breaker decide, event by event, with its progress; the stream keeps the same counts as state."""
+    c, kind = F.col, F.col("event_type")
+    what = F.when(kind.isin("view", "click"), "request").when(kind == "signup", "image").otherwise("answer")
+    cached = (kind == "view") & (c("event_id") % 11 == 0) & (c("user_id") % 3 != 0)
+    ok = (kind == "purchase") & (c("user_id") % 3 != 0)
+    e = table(spark, d, "events").select(c("user_id").alias("job_id"), c("event_id").alias("seq"), c("ts").alias("at"), what.alias("kind"), cached.alias("cached"), ok.alias("ok"), (5 + c("user_id") % 4).alias("total"))
+    return guard.decided(e, 4)
