@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import io
-import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import archives as Z
+
 # Limits and signatures.
 MAX_BYTES = 25 * 1024 * 1024
 MAX_SIDE = 12_000
 MAX_PIXELS = 50_000_000
-MAX_ENTRIES = 500
-MAX_UNPACKED = 250 * 1024 * 1024
-MAX_RATIO = 100
 JPEG, PNG = "FFD8FF", "89504E470D0A1A0A"
-SUFFIXES = ("jpg", "jpeg", "png")
+SUFFIXES = Z.SUFFIXES
 
 
 def suffix(path: Column) -> Column:
@@ -112,16 +110,26 @@ def folder(spark: SparkSession, path: str, max_batch: int = 500) -> DataFrame:
     return _whole(files.where(suffix(F.col("path")).isin(*SUFFIXES)), max_batch)
 
 
+def entries_of(spark: SparkSession, path: str) -> DataFrame:
+    """An archive's entries, range by range where its path can be opened directly, else from its content."""
+    try:
+        system, at = Z.store(path)
+        system.get_file_info(at)
+    except (OSError, ValueError, NotImplementedError):
+        return unzipped(spark, spark.read.format("binaryFile").load(path).select("path", "content"))
+    return Z.entries(spark, path)
+
+
 def archive(spark: SparkSession, path: str, max_batch: int = 500) -> DataFrame:
     """The valid images of a ZIP archive, in order; entries that are no images, or invalid, are left out with a ``warning`` row
     (no content); an unsafe or empty archive is an error."""
-    entries = unzipped(spark, spark.read.format("binaryFile").load(path).select("path", "content"))
+    entries = entries_of(spark, path)
     known = entries.select(F.concat("path", F.lit("!"), F.coalesce("name", F.lit(""))).alias("path"), "name", "content", "code", "message", F.length("content").cast("long").alias("size"), F.hex(F.substring("content", 1, 8)).alias("head"), F.sha2("content", 256).alias("sha256"))
     unsafe = known.where("code is not null and code <> 'SKIPPED'").select("code", "message").first()
     if unsafe:
         raise InvalidInput(unsafe.code, unsafe.message)
     checked = validated(known)
-    reason = F.when(F.col("code") == "SKIPPED", F.concat(F.lit("Skipped unsupported entry "), "name")).when(F.col("error").isNotNull(), F.concat(F.lit("Skipped invalid image "), "name", F.lit(": "), "error"))
+    reason = F.when(F.col("code") == "SKIPPED", F.concat(F.lit("Ignored "), "message", F.lit(": "), "name")).when(F.col("error").isNotNull(), F.concat(F.lit("Skipped invalid image "), "name", F.lit(": "), "error"))
     out = checked.withColumn("warning", reason).withColumn("content", F.when(reason.isNull(), F.col("content"))).drop("code", "message", "error")
     images = out.where("warning is null").limit(max_batch + 1).count()
     if not images:
@@ -142,51 +150,14 @@ def inputs(spark: SparkSession, path: str, max_batch: int = 500) -> DataFrame:
     return _whole(scan(spark, path), max_batch)
 
 
-ENTRY = "name string, content binary, code string, message string"
-
-
 class _Unzip:
     def eval(self, content: bytes):
-        yield from unzip(content)
-
-
-def unzip(content: bytes):
-    """(name, bytes, error code, message) of an archive's entries; a code ends the archive."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content or b""))
-    except zipfile.BadZipFile:
-        yield None, None, "CORRUPT_ZIP", "not a readable archive"
-        return
-    entries = [e for e in archive.infolist() if not e.is_dir()]
-    if not entries:
-        yield None, None, "EMPTY_ZIP", "no entries"
-        return
-    if len(entries) > MAX_ENTRIES:
-        yield None, None, "ZIP_TOO_MANY_ENTRIES", str(len(entries))
-        return
-    total = 0
-    for e in entries:
-        parts = e.filename.replace("\\", "/").split("/")
-        if e.filename.startswith("/") or ".." in parts or ":" in parts[0]:
-            yield e.filename, None, "ZIP_PATH_TRAVERSAL", "unsafe entry name"
-            return
-        total += e.file_size
-        if total > MAX_UNPACKED:
-            yield e.filename, None, "ZIP_TOO_LARGE", str(total)
-            return
-        if e.file_size / max(1, e.compress_size) > MAX_RATIO:
-            yield e.filename, None, "ZIP_SUSPICIOUS_RATIO", e.filename
-            return
-    for e in entries:
-        if e.filename.rpartition(".")[2].lower() not in SUFFIXES:
-            yield e.filename, None, "SKIPPED", "not an image"
-        else:
-            yield e.filename, archive.read(e), None, None
+        yield from Z.unzip(io.BytesIO(content or b""))
 
 
 def unzipped(spark: SparkSession, archives: DataFrame) -> DataFrame:
-    """Entries of each archive (``content``), by a table function next to the archive's path."""
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("code", T.StringType()), T.StructField("message", T.StringType())])
+    """Entries of each archive (``content``), by a table function next to the archive's path, for paths that only Spark can read."""
+    schema = T._parse_datatype_string(Z.SCHEMA.removeprefix("path string, "))
     spark.udtf.register("parcelmill_unzip", F.udtf(_Unzip, returnType=schema))
     return spark.sql("SELECT a.path, e.* FROM {a} a, LATERAL parcelmill_unzip(a.content) e", a=archives)
 

@@ -357,19 +357,6 @@ def archive(**entries):
     return out.getvalue()
 
 
-def test_archives(spark):
-    code = lambda data: [x[2] for x in files.unzip(data)]
-    assert code(b"nope") == ["CORRUPT_ZIP"] and code(archive()) == ["EMPTY_ZIP"]
-    assert code(archive(**{"../escape.jpg": b"x"})) == ["ZIP_PATH_TRAVERSAL"]
-    assert code(archive(**{"C:/x.jpg": b"x"})) == ["ZIP_PATH_TRAVERSAL"]
-    assert code(archive(**{"big.jpg": b"0" * 10**6})) == ["ZIP_SUSPICIOUS_RATIO"]
-    assert code(archive(**{f"{k}.jpg": b"x" for k in range(501)})) == ["ZIP_TOO_MANY_ENTRIES"]
-    both = archive(**{"a.jpg": JPEG, "b.zip": b"inner"})
-    assert code(both) == [None, "SKIPPED"]
-    df = spark.createDataFrame([("z", bytearray(both))], "path string, content binary")
-    assert {(r.name, r.code) for r in files.unzipped(spark, df).collect()} == {("a.jpg", None), ("b.zip", "SKIPPED")}
-
-
 def test_scan_and_validate(spark, tmp_path):
     (tmp_path / "ok.jpg").write_bytes(JPEG)
     (tmp_path / "fake.jpg").write_bytes(b"not an image")
