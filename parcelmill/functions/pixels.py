@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .shapes import edges
+
 
 def grey(bgr: np.ndarray) -> np.ndarray:
     return np.rint(bgr.astype(np.float64) @ np.array([0.114, 0.587, 0.299]))
@@ -23,13 +25,9 @@ def quality(bgr: np.ndarray) -> dict[str, float]:
     return {"blur": float(laplace.var()), "brightness": float(g.mean()), "contrast": float(g.std()), "under": float((g < 25).mean() * 100), "over": float((g > 230).mean() * 100)}
 
 
-def edge_share(bgr: np.ndarray, threshold: float = 100.0) -> float:
-    """Share of pixels whose Sobel gradient is over a threshold: an approximation of an edge detector's density."""
-    p = np.pad(grey(bgr), 1, mode="edge")
-    row = p[:, 2:] - p[:, :-2]
-    col = p[2:, :] - p[:-2, :]
-    gx, gy = row[:-2] + 2 * row[1:-1] + row[2:], col[:, :-2] + 2 * col[:, 1:-1] + col[:, 2:]
-    return float((np.abs(gx) + np.abs(gy) > threshold).mean())
+def edge_share(bgr: np.ndarray) -> float:
+    """Share of pixels on thin edges."""
+    return float(edges(grey(bgr)).mean())
 
 
 def low_quality(m: dict[str, float]) -> bool:
@@ -43,18 +41,30 @@ def orientation(width: int, height: int) -> str:
 def fitted(width: int, height: int, longest: int = 4096) -> tuple[int, int]:
     """Size after the longest side is brought down to ``longest``."""
     scale = min(1.0, longest / max(width, height, 1))
-    return max(1, round(width * scale)), max(1, round(height * scale))
+    return max(1, int(width * scale)), max(1, int(height * scale))
+
 
+# Hue (0 to 179), saturation and value of an overlay's writing.
+YELLOW = (15, 80, 80), (42, 255, 255)
 
-def yellow(bgr: np.ndarray, low=(18, 70, 90), high=(42, 255, 255)) -> np.ndarray:
-    """Mask of yellow overlay pixels by hue (0-179), saturation and value."""
-    x = bgr.astype(np.float64)
-    top, bottom = x.max(axis=2), x.min(axis=2)
-    span = np.where(top > bottom, top - bottom, 1)
-    b, g, r = x[..., 0], x[..., 1], x[..., 2]
-    hue = np.where(top == r, (g - b) / span % 6, np.where(top == g, (b - r) / span + 2, (r - g) / span + 4)) * 30
-    saturation = np.where(top > 0, (top - bottom) / np.where(top > 0, top, 1) * 255, 0)
-    return (hue >= low[0]) & (hue <= high[0]) & (saturation >= low[1]) & (saturation <= high[1]) & (top >= low[2]) & (top <= high[2])
+
+def hsv(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue in steps of two degrees, saturation and value as bytes, in 12-bit fixed point."""
+    b, g, r = (bgr[..., k].astype(np.int64) for k in range(3))
+    top = np.maximum(np.maximum(b, g), r)
+    span = top - np.minimum(np.minimum(b, g), r)
+    part = lambda whole, by: np.where(by > 0, np.rint((whole << 12) / np.maximum(by, 1)).astype(np.int64), 0)
+    turn = np.where(top == r, g - b, np.where(top == g, b - r + 2 * span, r - g + 4 * span))
+    hue = (turn * part(30, span) + 2048) >> 12
+    return np.where(hue < 0, hue + 180, hue), (span * part(255, top) + 2048) >> 12, top
+
+
+def yellow(bgr: np.ndarray, low=YELLOW[0], high=YELLOW[1]) -> np.ndarray:
+    """Mask of overlay pixels."""
+    out = np.ones(bgr.shape[:2], bool)
+    for value, a, b in zip(hsv(bgr), low, high):
+        out &= (value >= a) & (value <= b)
+    return out
 
 
 def opened(mask: np.ndarray) -> np.ndarray:
@@ -259,25 +269,3 @@ def adverse(bgr: np.ndarray) -> dict[str, np.ndarray]:
 def adverse_files(png_bytes: bytes, other: bytes) -> dict[str, list[bytes]]:
     """Adverse sets of whole files: a copy, two pictures of one name that conflict, a file that is cut off."""
     return {"duplicate": [png_bytes, png_bytes], "conflict": [png_bytes, other], "corrupt": [png_bytes[: len(png_bytes) // 3]]}
-
-
-def blob_parts(mask: np.ndarray, cell: int = 8) -> list[tuple[int, int, int, int, int]]:
-    """(pixels, x, y, w, h) of connected groups of cells that hold marked pixels (a dilated component search)."""
-    h, w = mask.shape
-    rows, cols = -(-h // cell), -(-w // cell)
-    padded = np.zeros((rows * cell, cols * cell), bool)
-    padded[:h, :w] = mask
-    counts = padded.reshape(rows, cell, cols, cell).sum(axis=(1, 3))
-    label = np.where(counts > 0, np.arange(1, rows * cols + 1).reshape(rows, cols), 0)
-    while True:  # the least label spreads over neighbours until nothing changes
-        p = np.pad(np.where(label > 0, label, rows * cols + 1), 1, constant_values=rows * cols + 1)
-        least = np.min([p[1 + i : 1 + i + rows, 1 + j : 1 + j + cols] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-        new = np.where(label > 0, least, 0)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for k in np.unique(label[label > 0]):
-        r, c = np.nonzero(label == k)
-        out.append((int(counts[label == k].sum()), int(c.min() * cell), int(r.min() * cell), int((c.max() - c.min() + 1) * cell), int((r.max() - r.min() + 1) * cell)))
-    return sorted(out, reverse=True)

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
+from ..functions import shapes as S
+from . import hamming as H
 from .perception import low_quality
+from .steps import cut
 
 
 def _each(images: DataFrame, fields: dict[str, pa.DataType], schema: str, measure: Callable[..., dict], *more: str) -> DataFrame:
@@ -53,13 +56,29 @@ def hashed(images: DataFrame) -> DataFrame:
 
 
 def overlay_parts(images: DataFrame) -> DataFrame:
-    """Connected groups of yellow pixels (opened by 2 x 2), a row each: pixels, x, y, w, h; see ``perception.union_box``."""
+    """Groups of an overlay's pixels, a row each, the fullest first: pixels, x, y, w, h; see ``perception.union_box``."""
     part = pa.struct([(k, pa.int32()) for k in ("pixels", "x", "y", "w", "h")])
-    found = lambda bgr: {"parts": [dict(zip(("pixels", "x", "y", "w", "h"), p)) for p in P.blob_parts(P.opened(P.yellow(bgr)))]}
+    found = lambda bgr: {"parts": [dict(zip(("pixels", "x", "y", "w", "h"), p)) for p in S.overlay_parts(P.opened(P.yellow(bgr)))]}
     out = _each(images, {"parts": pa.list_(part)}, "parts array<struct<pixels:int,x:int,y:int,w:int,h:int>>", found)
     return out.select(F.col("origin").alias("image_id"), F.inline("parts"))
 
 
+def overlay_box(images: DataFrame) -> DataFrame:
+    """``overlay``: the padded box (x, y, w, h) around the overlay's writing, null without one."""
+    box = pa.struct([(k, pa.int32()) for k in "xywh"])
+    found = lambda bgr: {"overlay": dict(zip("xywh", b)) if (b := S.overlay_box(P.opened(P.yellow(bgr)))) else None}
+    return _each(images, {"overlay": box}, "overlay struct<x:int,y:int,w:int,h:int>", found)
+
+
+def visual_groups(images: DataFrame, reach: int = 6) -> DataFrame:
+    """``images`` (pos, sha256, and what ``hashed`` needs) in groups by look: each picture joins the first earlier leader within ``reach`` bits and takes the
+    first 12 digits of that one's digest as ``group_id``.  Pictures that can't be read have none."""
+    bits = hashed(images).select("pos", "sha256", "bits").where("bits is not null")
+    led = H.leaders(cut(bits.select(F.lit(0).alias("set_id"), "pos", "bits")), reach)
+    names = bits.select(F.col("pos").alias("leader"), F.substring("sha256", 1, 12).alias("group_id"))
+    return bits.join(led.select("pos", "leader"), "pos").join(names, "leader").select("pos", "sha256", "bits", "group_id")
+
+
 def upright(images: DataFrame, longest: int = 4096) -> DataFrame:
     """Pictures turned as their EXIF tag in ``content`` says, with the longest side brought down to ``longest``."""
 

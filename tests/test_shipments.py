@@ -233,8 +233,8 @@ def test_imaging(spark):
     bits = {r.origin: r.bits for r in imaging.hashed(images).collect()}
     assert bits["noise"] == pixels.difference_hash(noise) and bits["bad"] is None
     parts = imaging.overlay_parts(images.where("origin = 'patch'"))
-    assert [(r.pixels, r.x, r.y, r.w, r.h) for r in parts.collect()] == [(128, 8, 8, 16, 8)]
-    assert perception.union_box(parts).first().x2 == 24
+    assert [(r.pixels, r.x, r.y, r.w, r.h) for r in parts.collect()] == [(128, 4, 6, 24, 12)]  # joined by a rectangle of 5 x 3, twice
+    assert perception.union_box(parts).first().x2 == 28
     gone = imaging.without_region(images.withColumn("region", F.expr("if(origin = 'patch', struct(8 as x, 8 as y, 16 as w, 8 as h), null)")))
     assert {r.origin: sum(r.pixels) for r in gone.where("origin = 'patch'").collect()} == {"patch": 470}
     exif = b"\xff\xd8\xff\xe1" + (34).to_bytes(2, "big") + b"Exif\0\0" + b"II*\0" + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + (0x0112).to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + (6).to_bytes(4, "little") + bytes(4)
@@ -532,7 +532,3 @@ def test_previews_and_fixtures():
     assert set(worse) == {"blur", "dark", "bright", "turned", "cut", "covered", "empty", "combined", "over"} and worse["turned"].shape == (60, 40, 3)
     kinds = pixels.adverse_files(b"0123456789", b"other")
     assert kinds["duplicate"][0] == kinds["duplicate"][1] and kinds["conflict"][0] != kinds["conflict"][1] and len(kinds["corrupt"][0]) == 3
-    mask = np.zeros((40, 60), bool)
-    mask[2:6, 2:6] = mask[30:36, 40:50] = True
-    parts = pixels.blob_parts(mask)
-    assert [p[0] for p in parts] == [60, 16]
