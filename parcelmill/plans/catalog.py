@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..operators import browse as B
 from ..operators import evaluate as E
 from ..operators import evidence as V
 from ..operators import hamming as H
@@ -141,11 +142,33 @@ def review_queue(spark, d):
     return _records(spark, d).where("requires_review").select("image_id", "awb_number", "primary_status", F.array_join("review_reasons", ";").alias("reasons"))
 
 
-@query(f"WITH {STATUS} SELECT image_id, filename, primary_status FROM res WHERE primary_status IN ('REVIEW_REQUIRED', 'SUCCESS_LABEL_VERIFIED') AND (';' || flags || ';') LIKE '%;WEIGHT_NOT_FOUND;%' AND regexp_matches(filename, '(?i)IMG_.*[05]') AND coalesce(awb_confidence, 0) BETWEEN 0.0 AND 0.95")
+OVERALL = "round(coalesce(list_avg(list_filter([awb_confidence, weight_confidence, location_confidence], lambda x: x > 0)), 0.0), 4)"
+BROWSED = f"""SELECT image_id, filename, primary_status, awb_source, label_status, requires_review, {OVERALL} AS overall_confidence FROM res WHERE primary_status IN ('REVIEW_REQUIRED', 'SUCCESS_LABEL_VERIFIED', 'SUCCESS_PARTIAL_FIELDS')
+ AND awb_source IN ('BARCODE', 'OVERLAY_OCR') AND label_status IN ('LABEL_VISIBLE_READABLE', 'LABEL_STATUS_UNCERTAIN', 'LABEL_NOT_VISIBLE', 'LABEL_PARTIALLY_VISIBLE') AND list_has_any(string_split(flags, ';'), ['WEIGHT_NOT_FOUND', 'LOW_IMAGE_QUALITY', 'MULTIPLE_PARCELS'])
+ AND requires_review AND regexp_matches(filename, '(?i)img_.*[05]') AND {OVERALL} BETWEEN 0.4 AND 0.95"""
+ASKED = B.Filters(
+    statuses=("REVIEW_REQUIRED", "SUCCESS_LABEL_VERIFIED", "SUCCESS_PARTIAL_FIELDS"), sources=("BARCODE", "OVERLAY_OCR"), labels=("LABEL_VISIBLE_READABLE", "LABEL_STATUS_UNCERTAIN", "LABEL_NOT_VISIBLE", "LABEL_PARTIALLY_VISIBLE"),
+    flags=("WEIGHT_NOT_FOUND", "LOW_IMAGE_QUALITY", "MULTIPLE_PARCELS"), review=True, filename="img_.*[05]", confidence=(0.4, 0.95),
+)
+
+
+def _browsable(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d).withColumn("sure", F.coalesce("awb_confidence", F.lit(0.0)))
+    return r.withColumn("overall_confidence", R.overall_confidence("sure", "weight_confidence", "location_confidence"))
+
+
+@query(f"WITH {STATUS} {BROWSED}")
 def browse_filter(spark, d):
-    r = _records(spark, d)
-    r = r.where(F.col("primary_status").isin("REVIEW_REQUIRED", "SUCCESS_LABEL_VERIFIED") & F.arrays_overlap("flags", F.array(F.lit("WEIGHT_NOT_FOUND"))) & F.col("filename").rlike("(?i)IMG_.*[05]") & F.coalesce("awb_confidence", F.lit(0.0)).between(0.0, 0.95))
-    return r.select("image_id", "filename", "primary_status")
+    """All seven filters of the browser."""
+    return B.browse(_browsable(spark, d), ASKED).select("image_id", "filename", "primary_status", "awb_source", "label_status", "requires_review", "overall_confidence")
+
+
+@query(f"WITH {STATUS} SELECT CASE WHEN requires_review THEN 'review' ELSE 'clean' END AS shown, count(*) AS n FROM res GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM res")
+def browse_review_states(spark, d):
+    """What each of the three settings of the review filter shows."""
+    r = _browsable(spark, d).select("requires_review", "overall_confidence")
+    each = F.array(*(F.when(B.matching(B.Filters(review=state)), F.lit(name)) for name, state in (("all", None), ("review", True), ("clean", False))))
+    return r.select(F.explode(F.array_compact(each)).alias("shown")).groupBy("shown").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {STATUS} SELECT count(*) AS total, count(*) FILTER (primary_status IN ('SUCCESS_LABEL_VERIFIED', 'SUCCESS_OVERLAY_AND_LABEL', 'SUCCESS_OVERLAY_ONLY', 'SUCCESS_PARTIAL_FIELDS')) AS ok, count(*) FILTER (requires_review) AS review, count(*) FILTER (primary_status = 'REJECTED') AS rejected, count(*) FILTER (has_awb) AS with_awb, count(*) FILTER (has_awb AND NOT requires_review) AS ready FROM res")
