@@ -451,12 +451,30 @@ def record_errors(spark, d):
     return R.error_boundary(o).select("image_id", "processing_status", "primary_status", F.array_join("flags", ";").alias("flags"), "requires_review")
 
 
-@query("SELECT name, errors FROM (VALUES ('good', ''), ('bad', 'Duplicate rule name: a;Invalid regex for b'), ('broken', 'Invalid courier rule file')) t(name, errors)")
+_RULE_TEXTS = """rt AS (SELECT p_partkey AS key, CASE p_partkey % 9
+ WHEN 0 THEN '{"version": "2", "rules": [{"name": "' || p_brand || '", "pattern": "[A-Z]{2}' || p_size || '[0-9]+"}, {"name": "' || p_type || '", "pattern": ".*", "prefixes": ["' || p_brand || '"], "check_digit": null}]}'
+ WHEN 1 THEN '{"rules": [{"name": "' || p_brand || '", "pattern": "x"}, {"name": "b' || p_size || '", "pattern": "' || p_partkey || '("}, {"name": "' || p_brand || '", "pattern": "y"}, {"name": "b' || p_size || '", "pattern": "["}]}'
+ WHEN 2 THEN '{"rules": [{"name": ' || p_size || ', "pattern": "x"}]}' WHEN 3 THEN '{"rules": [{"name": "' || p_brand || '"}]}' WHEN 4 THEN '{"rules": [{"name": "' || p_brand || '", "pattern": "' || p_name
+ WHEN 5 THEN '{"rules": [{"name": "' || p_brand || '", "pattern": "x", "prefixes": ["a", ' || CASE WHEN p_size % 2 = 0 THEN '"b"' ELSE '7' END || ']}]}' WHEN 6 THEN '["' || p_name || '"]'
+ WHEN 7 THEN '{"rules": [], "version": ' || CASE WHEN p_size % 2 = 0 THEN '"3"' ELSE '3' END || '}' ELSE '{"other": "' || p_name || '"}' END AS text FROM part)"""
+_LIST = "(json_type({0}) IS NULL OR (json_type({0}) = 'ARRAY' AND len(list_filter(json_extract({0}, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0))"
+
+
+@query(f"""WITH {_RULE_TEXTS}, v AS (SELECT key, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM rt),
+w AS (SELECT key, j, coalesce(json_type(j) = 'OBJECT' AND coalesce(json_type(j, '$.version') = 'VARCHAR', true) AND coalesce(json_type(j, '$.rules') = 'ARRAY', true), false) AS whole FROM v),
+r AS (SELECT key, unnest(range(0, json_array_length(j, '$.rules')::BIGINT)) AS i, j FROM w WHERE whole AND json_type(j, '$.rules') = 'ARRAY'), e AS (SELECT key, i, json_extract(j, '$.rules[' || i || ']') AS o FROM r),
+k AS (SELECT key, i, json_extract_string(o, '$.name') AS name, json_extract_string(o, '$.pattern') AS pattern, coalesce(json_type(o, '$.name') = 'VARCHAR' AND json_type(o, '$.pattern') = 'VARCHAR', false) AND {_LIST.format("json_extract(o, '$.prefixes')")} AND {_LIST.format("json_extract(o, '$.context_terms')")} AS ok FROM e),
+bad AS (SELECT key FROM w WHERE NOT whole UNION SELECT key FROM k WHERE NOT ok),
+t AS (SELECT key, i, CASE WHEN EXISTS (SELECT 1 FROM k p WHERE p.key = k.key AND p.name = k.name AND p.i < k.i) THEN 'Duplicate rule name: ' || name END AS a,
+ 'Invalid regex for ' || name || ': ' || CASE WHEN pattern = '[' THEN 'unterminated character set at position 0' WHEN pattern LIKE '%(' THEN 'missing ), unterminated subpattern at position ' || (length(pattern) - 1) END AS b FROM k WHERE key NOT IN (SELECT key FROM bad)),
+s AS (SELECT key, string_agg(x, ';' ORDER BY i, o) AS errors FROM (SELECT key, i, 0 AS o, a AS x FROM t UNION ALL SELECT key, i, 1, b FROM t) WHERE x IS NOT NULL GROUP BY 1)
+SELECT rt.key, CASE WHEN rt.key IN (SELECT key FROM bad) THEN 'Invalid courier rule file: ValidationError' ELSE coalesce(s.errors, '') END AS errors FROM rt LEFT JOIN s USING (key)""")
 def rule_file_errors(spark, d):
+    """What is wrong with rule files, one for each part: sound ones, names again, patterns that don't compile, and texts that are no rule files."""
     from ..sources import readers
 
-    files = {"good": RULES_JSON, "bad": '{"rules": [{"name": "a", "pattern": "x"}, {"name": "a", "pattern": "y"}, {"name": "b", "pattern": "("}]}', "broken": "{"}
-    return reduce(DataFrame.unionByName, (spark.range(1).select(F.lit(n).alias("name"), F.lit(";".join(readers.rule_text_errors(t))).alias("errors")) for n, t in files.items()))
+    texts = table(spark, d, "part").selectExpr("p_partkey AS key", _RULE_TEXTS[_RULE_TEXTS.index("CASE p_partkey") : _RULE_TEXTS.rindex(" FROM part")])
+    return readers.rule_text_errors(texts).select("key", F.array_join("errors", ";").alias("errors"))
 
 
 # --- inputs of many values -------------------------------------------------------------------------

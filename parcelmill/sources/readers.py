@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.steps import cut
+
 
 def csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as text; an absent value is the empty string.  A leading byte-order mark is no part of
@@ -36,18 +41,9 @@ def frozen_calibration(spark: SparkSession, path: str, default: float = 0.90) ->
 
 
 def rule_errors(spark: SparkSession, path: str) -> DataFrame:
-    """What is wrong with a carrier-rule file: repeated names, patterns that don't compile."""
-    import re
-
-    rules = json_setting(spark, path, "version string, rules array<struct<name:string,pattern:string,prefixes:array<string>,context_terms:array<string>>>").select(F.inline("rules"))
-    twice = rules.groupBy("name").count().where("count > 1").select(F.concat(F.lit("duplicate_rule:"), "name").alias("error"))
-    bad = []
-    for r in rules.select("name", "pattern").collect():  # a settings file
-        try:
-            re.compile(r.pattern or "")
-        except re.error:
-            bad.append((f"invalid_pattern:{r.name}",))
-    return twice.unionByName(spark.createDataFrame(bad, "error string"))
+    """What is wrong with a carrier-rule file, a row each."""
+    text = spark.read.text(path, wholetext=True).select(F.lit(0).alias("key"), F.col("value").alias("text"))
+    return rule_text_errors(text).select(F.explode("errors").alias("error"))
 
 
 def rule_file(spark: SparkSession, path: str) -> list:
@@ -70,26 +66,62 @@ def dataset_errors(spark: SparkSession, root: str) -> DataFrame:
     return alone.unionByName(labels.join(images, "stem", "left_anti").withColumn("error", F.lit("label_without_image")))
 
 
-def rule_text_errors(text: str) -> list[str]:
-    """What is wrong with a rule file's text; a file that can't be read as rules is one error."""
-    import re
-
-    from ..operators.evidence import parsed_rules
-
-    try:
-        rules = parsed_rules(text)
-    except (ValueError, KeyError, TypeError, AttributeError):
-        return ["Invalid courier rule file"]
-    errors, names = [], set()
-    for r in rules:
-        if r.name in names:
-            errors.append(f"Duplicate rule name: {r.name}")
-        names.add(r.name)
-        try:
-            re.compile(r.pattern)
-        except re.error:
-            errors.append(f"Invalid regex for {r.name}")
-    return errors
+UNREADABLE = "Invalid courier rule file: ValidationError"
+
+
+def _pattern_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is wrong with each pattern, null if nothing is."""
+    for batch in batches:
+        found: list[str | None] = []
+        for pattern in batch.column("pattern").to_pylist():
+            try:
+                re.compile(pattern)
+                found.append(None)
+            except (re.error, OverflowError, RecursionError) as error:
+                found.append(str(error))
+        yield pa.RecordBatch.from_arrays([batch.column("pattern"), pa.array(found, pa.string())], ["pattern", "wrong"])
+
+
+def rule_text_errors(texts: DataFrame) -> DataFrame:
+    """``texts`` (key, text) of rule files with ``errors``: in the order of the rules, names that were there before and patterns that don't
+    compile; one error for a text that isn't a rule file.
+
+    Texts are parsed as variants, so a number where a name should be is told from a name; different patterns are compiled once, in Arrow
+    batches.  A null text is no rule file; keys may repeat."""
+    kind = lambda v: F.schema_of_variant(v)
+    get = lambda v, path, to: F.try_variant_get(v, path, to)
+    v = F.col("v")
+
+    def texts_in(rule: Column, path: str) -> Column:
+        """Missing, or a list of texts."""
+        raw, values = get(rule, path, "variant"), get(rule, path, "array<string>")
+        typed = kind(raw).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(values, lambda x: x.isNull())
+        return raw.isNull() | F.coalesce(typed, F.lit(False))
+
+    def sound(rule: Column) -> Column:
+        named = (kind(get(rule, "$.name", "variant")) == "STRING") & (kind(get(rule, "$.pattern", "variant")) == "STRING")
+        digit = get(rule, "$.check_digit", "variant")
+        return F.coalesce(named, F.lit(False)) & texts_in(rule, "$.prefixes") & texts_in(rule, "$.context_terms") & (digit.isNull() | kind(digit).isin("STRING", "VOID"))
+
+    # The parser stops after the first value; in a list of one and an object of one nothing can follow it unseen.
+    lone = F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]")))
+    also = F.try_parse_json(F.concat(F.lit('{"v":'), "text", F.lit("}"))).isNotNull()
+    first = F.when(also & (F.size(get(lone, "$", "array<variant>")) == 1), get(lone, "$[0]", "variant"))
+    parsed = texts.select("key", F.monotonically_increasing_id().alias("row"), first.alias("v"))
+    parsed = parsed.withColumn("raw", get(v, "$.rules", "variant")).withColumn("rules", get(v, "$.rules", "array<variant>"))
+    version = get(v, "$.version", "variant")
+    whole = F.coalesce(F.startswith(kind(v), F.lit("OBJECT")), F.lit(False)) & (version.isNull() | (kind(version) == "STRING"))
+    listed = F.col("raw").isNull() | F.coalesce(F.startswith(kind(F.col("raw")), F.lit("ARRAY")) & F.forall("rules", sound), F.lit(False))
+    parsed = cut(parsed.withColumn("good", whole & listed).withColumn("rules", F.when(F.col("good"), F.transform("rules", lambda r: F.struct(get(r, "$.name", "string").alias("name"), get(r, "$.pattern", "string").alias("pattern"))))).select("key", "row", "good", "rules"))
+    names = F.col("rules.name")
+    each = parsed.select("row", F.posexplode("rules").alias("i", "rule"), names.alias("names")).select("row", "i", "rule.name", "rule.pattern", (F.array_position("names", F.col("rule.name")) <= F.col("i")).alias("again"))
+    wrong = each.select("pattern").distinct().mapInArrow(_pattern_errors, "pattern string, wrong string").where("wrong is not null")
+    told = each.join(wrong, "pattern", "left").where("again or wrong is not null")
+    told = told.select("row", "i", F.concat(F.lit("Duplicate rule name: "), "name").alias("a"), F.concat(F.lit("Invalid regex for "), "name", F.lit(": "), "wrong").alias("b"), "again")
+    told = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", F.when(F.col("again"), F.col("a")).alias("a"), "b"))).alias("told"))  # one file's rules
+    errors = F.array_compact(F.flatten(F.transform("told", lambda t: F.array(t["a"], t["b"]))))
+    none = F.array().cast("array<string>")
+    return parsed.select("key", "row", "good").join(told, "row", "left").select("key", F.when(~F.col("good"), F.array(F.lit(UNREADABLE))).otherwise(F.coalesce(errors, none)).alias("errors"))
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:

@@ -320,7 +320,6 @@ def test_carrier_rules_of_a_file(spark):
     ask = lambda v, ctx: value(spark, F.array_join(V.matching_rules(F.col("x"), F.lit(ctx), rules), ";"), x=v)
     assert ask("nh12", "") == "p;c" and ask("xx12", "the awb no") == "c" and ask("NH1", "other") == "p" and ask("zz", "other") == ""
     assert V.parsed_rules("{}") == [] and value(spark, F.size(V.matching_rules(F.col("x"), F.lit(""), [])), x="a") == 0
-    assert readers.rule_text_errors("[") and readers.rule_text_errors('{"rules": [{"pattern": "x"}]}') == ["Invalid courier rule file"]
 
 
 def test_calibration_without_a_threshold_raises(spark):
@@ -421,7 +420,7 @@ def test_settings_and_rules(spark, tmp_path):
     (tmp_path / "cal2.json").write_text(json.dumps({"version": "v2", "awb_clean_threshold": 0.97, "frozen": True}))
     assert tuple(readers.frozen_calibration(spark, str(tmp_path / "cal2.json")).first()) == (0.97, "v2")
     (tmp_path / "rules.json").write_text(json.dumps({"version": "1", "rules": [{"name": "a", "pattern": "["}, {"name": "a", "pattern": "x"}]}))
-    assert {r.error for r in readers.rule_errors(spark, str(tmp_path / "rules.json")).collect()} == {"duplicate_rule:a", "invalid_pattern:a"}
+    assert {r.error for r in readers.rule_errors(spark, str(tmp_path / "rules.json")).collect()} == {"Duplicate rule name: a", "Invalid regex for a: unterminated character set at position 0"}
     assert value(spark, F.array_join(V.matching_rules(F.col("x"), F.lit("Explicit AWB anchor")), ";"), x="11112222333344") == "numeric_14;generic_alphanumeric"
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "p1.txt").write_text("0 0.5 0.5 0.1 0.1\n1 2")
