@@ -15,6 +15,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """A column of one value a row that is worked out once: filters and columns that follow can't repeat its expression."""
+    return F.explode(F.array(value))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+\z", "")
 
@@ -54,9 +59,9 @@ def lines(text: Column) -> Column:
     return F.filter(each, lambda x: x != "")
 
 
-def field_line(text: Column, field: str) -> Column:
+def field_line(text: Column, field: str, own: Column | None = None) -> Column:
     """What follows a field's anchor: the rest of the first line that has it and more, or the line after
-    it; failing both, the rest of the flattened text up to the next anchor."""
+    it; failing both, the rest of the flattened text up to the next anchor.  ``own``: the text's ``lines``, where they are at hand."""
     anchor = "(?i)" + ANCHORS[field]
     head = r"(?i)\A.*?" + ANCHORS[field]
     rest = lambda x: F.regexp_replace(F.regexp_replace(x, head, ""), r"\A[ :.\-]+", "")
@@ -68,7 +73,7 @@ def field_line(text: Column, field: str) -> Column:
     flat = F.regexp_replace(text, r"\s+", " ")
     stop = r"(?is)(" + "|".join(ANCHORS.values()) + r").*\z"
     tail = F.when(flat.rlike(anchor), F.nullif(F.trim(F.regexp_replace(rest(flat), stop, "")), F.lit("")))
-    return F.coalesce(let(lines(text), of), tail)
+    return F.coalesce(let(lines(text) if own is None else own, of), tail)
 
 
 def awb_token(raw: Column) -> Column:

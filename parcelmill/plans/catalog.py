@@ -263,7 +263,7 @@ def normalise_awb(spark, d):
 
 @query(f"SELECT image_id, translate(raw, 'OoQIl|S', '0001115') AS fixed, translate(raw, 'OoQIl|S', '0001115') <> raw AS changed FROM (SELECT image_id, {_line('Height')} AS raw FROM v_ocr)")
 def ocr_numeric_correction(spark, d):
-    raw = view(spark, d, "v_ocr").select("image_id", T.field_line(F.col("text"), "height_cm").alias("raw"))
+    raw = view(spark, d, "v_ocr").select("image_id", T.once(T.field_line(F.col("text"), "height_cm")).alias("raw"))
     return raw.select("image_id", T.corrected(F.col("raw")).alias("fixed"), (T.corrected(F.col("raw")) != F.col("raw")).alias("changed"))
 
 
@@ -281,8 +281,8 @@ n AS (SELECT *, regexp_replace(regexp_replace(upper(fixed), '[^A-Z0-9 -]', '', '
 SELECT image_id, token, v AS awb, greatest(0.0, least(0.99, conf + 0.05 - 0.15 * (fixed <> token)::INT))::DOUBLE AS confidence FROM n WHERE length(v) BETWEEN 8 AND 30 AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 6""")
 def parse_awb(spark, d):
     c = F.col
-    a = view(spark, d, "v_ocr").select("image_id", "conf", T.awb_token(T.field_line(c("text"), "awb_number")).alias("token"))
-    a = a.withColumn("fixed", T.awb_fixed(c("token"))).withColumn("awb", T.normalise_awb(c("fixed"))).where("awb is not null")
+    a = view(spark, d, "v_ocr").select("image_id", "conf", T.once(T.awb_token(T.field_line(c("text"), "awb_number"))).alias("token")).withColumn("fixed", T.awb_fixed(c("token")))
+    a = a.select("*", T.once(T.normalise_awb(c("fixed"))).alias("awb")).where("awb is not null")
     return a.select("image_id", "token", "awb", T.confidence(c("conf"), (c("fixed") != c("token")).cast("int")).alias("confidence"))
 
 
@@ -294,8 +294,9 @@ _DIM_SQL = " UNION ALL ".join(f"SELECT image_id, conf, '{f}' AS field, {_line(a)
 SELECT image_id, field, v AS value, coalesce(u, 'cm') AS unit, round(CASE u WHEN 'mm' THEN v / 10 WHEN 'm' THEN v * 100 WHEN 'in' THEN v * 2.54 ELSE v END, 4) AS cm, greatest(0.0, least(0.99, conf + 0.05 - 0.15 * w))::DOUBLE AS confidence FROM n WHERE v IS NOT NULL""")
 def parse_dimensions(spark, d):
     c = F.col
-    raws = F.array(*(F.struct(F.lit(f).alias("field"), T.field_line(c("text"), f).alias("raw")) for f in _DIMENSIONS))
-    r = view(spark, d, "v_ocr").select("image_id", "conf", F.inline(raws)).withColumn("value", T.number(c("raw"))).where("value is not null")
+    raws = F.array(*(F.struct(F.lit(f).alias("field"), T.field_line(c("text"), f, c("lines")).alias("raw")) for f in _DIMENSIONS))
+    r = view(spark, d, "v_ocr").select("image_id", "conf", "text", T.once(T.lines(c("text"))).alias("lines")).select("image_id", "conf", F.inline(raws))
+    r = r.select("*", T.once(T.number(c("raw"))).alias("value")).where("value is not null")
     u = F.coalesce(T.unit(c("raw"), "mm|cm|m|in|inch|inches"), F.lit("cm"))
     return r.select("image_id", "field", "value", u.alias("unit"), T.centimetres(c("value"), u).alias("cm"), T.confidence(c("conf"), T.warned(c("raw"))).alias("confidence"))
 
@@ -304,7 +305,7 @@ def parse_dimensions(spark, d):
 SELECT image_id, v AS value, CASE WHEN u IN ('kg', 'kgs') THEN 'kg' ELSE 'g' END AS unit, round(CASE WHEN u IN ('kg', 'kgs') THEN v * 1000 ELSE v END, 4) AS grams FROM n WHERE v IS NOT NULL AND u IS NOT NULL""")
 def parse_weight(spark, d):
     c = F.col
-    r = view(spark, d, "v_ocr").select("image_id", T.field_line(c("text"), "weight").alias("raw"))
+    r = view(spark, d, "v_ocr").select("image_id", T.once(T.field_line(c("text"), "weight")).alias("raw"))
     r = r.select("image_id", T.number(c("raw")).alias("value"), T.unit(c("raw"), "kg|kgs|g|gm|gms|gram|grams").alias("u")).where("value is not null and u is not null")
     kilos = c("u").isin("kg", "kgs")
     return r.select("image_id", "value", F.when(kilos, "kg").otherwise("g").alias("unit"), F.round(F.when(kilos, c("value") * 1000).otherwise(c("value")), 4).alias("grams"))
@@ -312,18 +313,18 @@ def parse_weight(spark, d):
 
 @query(rf"SELECT image_id, try_cast(regexp_extract(translate({_line('R[.]?[ ]*Vol')}, 'OoQIl|S', '0001115'), '[-+]?\d+', 0) AS DOUBLE) AS volume FROM v_ocr")
 def parse_volume(spark, d):
-    return view(spark, d, "v_ocr").select("image_id", T.number(T.field_line(F.col("text"), "recorded_volume")).alias("volume"))
+    return view(spark, d, "v_ocr").select("image_id", T.once(T.field_line(F.col("text"), "recorded_volume")).alias("raw")).select("image_id", T.number(F.col("raw")).alias("volume"))
 
 
 @query(rf"""WITH r AS (SELECT image_id, {_line('Location')} AS raw FROM v_ocr), f AS (SELECT image_id, raw, contains(raw, '_') OR (upper(raw) = raw AND lower(raw) <> raw) AS shout FROM r)
 SELECT image_id, CASE WHEN shout THEN replace(regexp_replace(raw, '\s+', '_', 'g'), '_(', ' (') ELSE raw END AS location FROM f""")
 def parse_location(spark, d):
-    return view(spark, d, "v_ocr").select("image_id", T.location(T.field_line(F.col("text"), "location")).alias("location"))
+    return view(spark, d, "v_ocr").select("image_id", T.once(T.field_line(F.col("text"), "location")).alias("raw")).select("image_id", T.location(F.col("raw")).alias("location"))
 
 
 @query(rf"SELECT image_id, coalesce(try_strptime(raw, '%m/%d/%Y %I:%M:%S %p'), try_strptime(raw, '%Y-%m-%d %H:%M:%S')) AS taken FROM (SELECT image_id, {_line('Time')} AS raw FROM v_ocr)")
 def parse_timestamp(spark, d):
-    return view(spark, d, "v_ocr").select("image_id", T.timestamp(T.field_line(F.col("text"), "capture_timestamp")).alias("taken"))
+    return view(spark, d, "v_ocr").select("image_id", T.once(T.field_line(F.col("text"), "capture_timestamp")).alias("raw")).select("image_id", T.timestamp(F.col("raw")).alias("taken"))
 
 
 @query(rf"""SELECT field, count(*) AS n FROM (
@@ -856,10 +857,20 @@ def ocr_pass_schedule(spark, d):
     return perception.until_strong(p)
 
 
-@query("SELECT part.p_partkey AS k, CASE lower(replace(trim(n), '_', ' ')) WHEN 'barcode' THEN 'barcode_region' WHEN 'cardboard box' THEN 'parcel_full' WHEN 'hand' THEN 'hand_or_obstruction' WHEN 'parcel full' THEN 'parcel_full' END AS class_name FROM part JOIN (SELECT p_partkey, ['Barcode ', 'cardboard_box', 'person', 'HAND', 'parcel_full'][(p_partkey % 5 + 1)::INT] AS n FROM part) t USING (p_partkey)")
+_CLASS_NAMES = [*perception.ALIASES, *perception.CLASSES]
+_CLASS_SQL = " ".join(f"WHEN '{n.replace('_', ' ')}' THEN '{c}'" for n, c in [*perception.ALIASES.items(), *((c, c) for c in perception.CLASSES)])
+_STYLED = f"""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN n WHEN 1 THEN upper(n) WHEN 2 THEN '  ' || replace(n, ' ', '_') || ' ' WHEN 3 THEN replace(n, '_', ' ') WHEN 4 THEN n || ' ' || p_size ELSE p_name END AS raw
+ FROM (SELECT p_partkey, p_size, p_name, [{', '.join(f"'{n}'" for n in _CLASS_NAMES)}][(p_partkey % {len(_CLASS_NAMES)} + 1)::INT] AS n FROM part)"""
+
+
+@query(f"SELECT p_partkey AS k, raw, CASE lower(replace(trim(raw), '_', ' ')) {_CLASS_SQL} END AS class_name FROM ({_STYLED})")
 def class_aliases(spark, d):
-    names = F.array(*(F.lit(x) for x in ("Barcode ", "cardboard_box", "person", "HAND", "parcel_full")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), perception.internal_class(F.get(names, (F.col("p_partkey") % 5).cast("int"))).alias("class_name"))
+    """Every class and alias in several spellings, names with something added, and names of parts."""
+    c = F.col
+    n = F.get(F.array(*(F.lit(x) for x in _CLASS_NAMES)), (c("p_partkey") % len(_CLASS_NAMES)).cast("int"))
+    k = c("p_size") % 6
+    raw = F.when(k == 0, n).when(k == 1, F.upper(n)).when(k == 2, F.concat(F.lit("  "), F.replace(n, F.lit(" "), F.lit("_")), F.lit(" "))).when(k == 3, F.replace(n, F.lit("_"), F.lit(" "))).when(k == 4, F.concat_ws(" ", n, c("p_size"))).otherwise(c("p_name"))
+    return table(spark, d, "part").select(c("p_partkey").alias("k"), raw.alias("raw")).select("k", "raw", perception.internal_class(c("raw")).alias("class_name"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT image_id AS page, y + h / 2 AS center, x::DOUBLE AS lft, h::DOUBLE AS height, 't' || box_id AS token, row_number() OVER (PARTITION BY image_id ORDER BY y + h / 2, x, h, 't' || box_id) AS rk FROM v_boxes),

@@ -532,3 +532,47 @@ def call_guard(spark, d):
     ok = (kind == "purchase") & (c("user_id") % 3 != 0)
     e = table(spark, d, "events").select(c("user_id").alias("job_id"), c("event_id").alias("seq"), c("ts").alias("at"), what.alias("kind"), cached.alias("cached"), ok.alias("ok"), (5 + c("user_id") % 4).alias("total"))
     return guard.decided(e, 4)
+
+
+# --- text that is torn over lines, and all forms of times -------------------------------------------
+
+_TORN = """SELECT o_orderkey AS image_id, CASE o_orderkey % 6
+ WHEN 0 THEN 'note ' || o_custkey || chr(10) || 'R.' || chr(10) || 'Vol : ' || (1000 + o_orderkey % 700) || ' cm3' || chr(10) || 'W' || chr(10) || 'idth 4' || o_orderkey % 10 || ' cm W' || chr(10) || 'eight ' || o_orderkey % 40 || ' kg'
+ WHEN 1 THEN 'W' || chr(10) || chr(10) || '  eight - ' || o_orderkey % 30 || ' kg  Time 9:00 R' || chr(10) || 'Vol' || chr(10) || o_custkey || chr(10) || 'W  idth: ' || o_custkey % 90
+ WHEN 2 THEN 'W eight ' || o_orderkey % 50 || ' kg' || chr(10) || 'R Vol' || chr(10) || 'W idth 7 cm'
+ WHEN 3 THEN 'R.Vol ' || o_orderkey || chr(10) || 'x W' || chr(10) || 'eight' || chr(10) || 'Length 3 cm W' || chr(10) || 'idth Height 9'
+ WHEN 4 THEN 'width' || chr(10) || 'WEIGHT' ELSE 'no anchors, order ' || o_orderkey END AS text FROM orders"""
+_TORN_FIELDS = {"recorded_volume": r"\bR\.?\s*Vol\.?\b", "width_cm": r"\bW\s*idth\b", "weight": r"\bW\s*eight\b"}
+_ANY_ANCHOR = "|".join(C.ANCHORS.values())
+_TORN_SQL = " UNION ALL ".join(
+    rf"""SELECT image_id, '{f}' AS field, coalesce(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches(l[i], '(?i){a}') THEN coalesce(nullif(regexp_replace(regexp_replace(l[i], '(?i)^.*?{a}', ''), '^[ :.-]+', ''), ''), l[i + 1]) END), lambda x: x IS NOT NULL)[1],
+ CASE WHEN regexp_matches(flat, '(?i){a}') THEN nullif(trim(regexp_replace(regexp_replace(regexp_replace(flat, '(?i)^.*?{a}', ''), '^[ :.-]+', ''), '(?is)({_ANY_ANCHOR}).*$', '')), '') END) AS raw FROM s"""
+    for f, a in _TORN_FIELDS.items()
+)
+
+
+@query(rf"""WITH t AS ({_TORN}), s AS (SELECT image_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM t)
+{_TORN_SQL}""")
+def torn_fields(spark, d):
+    """Fields whose anchors are torn over lines: only the flattened text has them, up to the next anchor."""
+    c = F.col
+    t = table(spark, d, "orders").selectExpr("o_orderkey AS image_id", _TORN[_TORN.index("CASE o_orderkey") : _TORN.rindex(" FROM orders")])
+    t = t.select("image_id", "text", T.once(T.lines(c("text"))).alias("lines"))
+    return t.select("image_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), T.field_line(c("text"), f, c("lines")).alias("raw")) for f in _TORN_FIELDS))))
+
+
+_TIMES = """SELECT o_orderkey AS image_id, CASE o_orderkey % 11
+ WHEN 0 THEN m || '/' || big || '/2024 ' || h || ':' || mi || ':07 PM' WHEN 1 THEN big || '/' || m || '/2024 ' || h || ':' || mi || ':08 am' WHEN 2 THEN m || '/' || d || '/2023 ' || hh || ':' || mi || ':09' WHEN 3 THEN big || '/' || m || '/2023 ' || hh || ':' || mi || ':10'
+ WHEN 4 THEN d || '-' || m || '-2022 ' || hh || ':' || mi || ':11' WHEN 5 THEN m || '-' || big || '-2022  ' || hh || ':' || mi || ':12' WHEN 6 THEN '2021-' || m || '-' || d || ' ' || hh || ':' || mi || ':13'
+ WHEN 7 THEN m || '/' || big || '/2025' || h || ':' || mi || ':14PM' WHEN 8 THEN ' ' || d || '/' || m || '/2020' || chr(9) || h || ':' || mi || ':15am ' WHEN 9 THEN big || '-' || big || '-2022 ' || hh || ':' || mi || ':16' ELSE o_orderkey || ' ' || hh || ':' || mi END AS raw
+ FROM (SELECT o_orderkey, 1 + o_orderkey % 12 AS m, 1 + o_custkey % 12 AS d, 13 + o_custkey % 15 AS big, 1 + o_orderkey % 9 AS h, lpad(CAST(o_custkey % 24 AS STRING), 2, '0') AS hh, lpad(CAST(o_orderkey % 60 AS STRING), 2, '0') AS mi FROM orders)"""
+
+
+@query(rf"""WITH t AS ({_TIMES}), c AS (SELECT image_id, upper(regexp_replace(regexp_replace(regexp_replace(trim(raw, ' ' || chr(9)), '\s+', ' ', 'g'), '(\d{{4}})(\d{{1,2}}:\d{{2}}:\d{{2}})', '\1 \2'), '(?i)(\d)([AP]M)$', '\1 \2')) AS x FROM t)
+SELECT image_id, coalesce(try_strptime(x, '%m/%d/%Y %I:%M:%S %p'), try_strptime(x, '%d/%m/%Y %I:%M:%S %p'), try_strptime(x, '%m/%d/%Y %H:%M:%S'), try_strptime(x, '%d/%m/%Y %H:%M:%S'), try_strptime(x, '%d-%m-%Y %H:%M:%S'), try_strptime(x, '%m-%d-%Y %H:%M:%S'), try_strptime(x, '%Y-%m-%d %H:%M:%S')) AS taken FROM c""")
+def parse_time_forms(spark, d):
+    """All seven forms of times, month or day first, run together with the year or the half of the day, and impossible ones."""
+    t = table(spark, d, "orders").selectExpr("o_orderkey", "1 + o_orderkey % 12 AS m", "1 + o_custkey % 12 AS d", "13 + o_custkey % 15 AS big", "1 + o_orderkey % 9 AS h", "lpad(CAST(o_custkey % 24 AS STRING), 2, '0') AS hh", "lpad(CAST(o_orderkey % 60 AS STRING), 2, '0') AS mi")
+    raw = t.selectExpr("o_orderkey AS image_id", _TIMES[_TIMES.index("CASE o_orderkey") : _TIMES.index("\n FROM (SELECT")])
+    return raw.select("image_id", T.timestamp(F.col("raw")).alias("taken"))
+
