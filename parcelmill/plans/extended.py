@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from ..operators import jobs as J
 from ..operators import perception
 from ..operators import reconcile as R
 from ..operators import report
+from ..operators.steps import shared_folder
+from ..sources import store
 from ..streaming import guard
 from .adapters import view
 from .catalog import COPIED, IOU, query, table, with_copies
@@ -576,3 +579,50 @@ def parse_time_forms(spark, d):
     raw = t.selectExpr("o_orderkey AS image_id", _TIMES[_TIMES.index("CASE o_orderkey") : _TIMES.index("\n FROM (SELECT")])
     return raw.select("image_id", T.timestamp(F.col("raw")).alias("taken"))
 
+
+# --- the keyed store -------------------------------------------------------------------------------
+
+_STORED = """SELECT CAST(job_id AS STRING) AS job_id, 'i' || event_id % 7 AS image_id, 'f' || lpad(CAST(event_id AS STRING), 12, '0') || '.jpg' AS original_filename, md5(CAST(event_id AS STRING)) AS sha256,
+ CASE WHEN event_id % 2 = 0 THEN '{"status": "' || primary_status || '", "n": ' || n_warnings || '}' ELSE '{"status": "' || primary_status || '", "n": ' || n_warnings || '.5, "flags": ["a", "b' || event_id % 5 || '"], "size": {"w": ' || event_id || '}}' END AS payload,
+ CAST(NULL AS STRING) AS input_path, ts AS created_at, seq % 3 AS batch FROM v_jobs"""
+
+
+def _stored(spark, d):
+    """Results in three batches, of which the first two are compacted."""
+    rows = _results(spark, d)
+    made = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 16)
+    for n in range(3):
+        made.save(rows.where(F.col("batch") == n).drop("batch"), n)
+        if n == 1:
+            made.compact()
+    return made
+
+
+def _results(spark, d):
+    c = F.col
+    event = c("event_id").cast("string")
+    old = F.concat(F.lit('{"status": "'), c("primary_status"), F.lit('", "n": '), c("n_warnings").cast("string"))
+    new = F.concat(old, F.lit('.5, "flags": ["a", "b'), (c("event_id") % 5).cast("string"), F.lit('"], "size": {"w": '), event, F.lit("}}"))
+    return view(spark, d, "v_jobs").select(
+        c("job_id").cast("string").alias("job_id"), F.concat(F.lit("i"), (c("event_id") % 7).cast("string")).alias("image_id"), F.concat(F.lit("f"), F.lpad(event, 12, "0"), F.lit(".jpg")).alias("original_filename"), F.md5(event).alias("sha256"),
+        F.when(c("event_id") % 2 == 0, F.concat(old, F.lit("}"))).otherwise(new).alias("payload"), F.lit(None).cast("string").alias("input_path"), c("ts").cast("timestamp_ntz").alias("created_at"), (c("seq") % 3).alias("batch"),
+    )
+
+
+_LAST = f"r AS ({_STORED}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, image_id ORDER BY batch DESC, created_at DESC, original_filename DESC) AS k FROM r) WHERE k = 1)"
+
+
+@query(f"WITH {_LAST} SELECT job_id, image_id, original_filename, sha256, json_extract_string(payload, '$.status') AS status, json_extract(payload, '$.n')::DOUBLE AS n, CASE WHEN json_type(payload, '$.flags') IS NOT NULL THEN array_to_string(json_extract_string(payload, '$.flags[*]'), ';') END AS flags, json_extract(payload, '$.size.w')::BIGINT AS w FROM l")
+def stored_results(spark, d):
+    """Every key's last result, from a base and a batch beside it; the payloads' fields come from the data, old and new records together."""
+    out = store.typed(_stored(spark, d).rows())
+    return out.select("job_id", "image_id", "original_filename", "sha256", "status", F.col("n").cast("double").alias("n"), F.array_join("flags", ";").alias("flags"), F.col("size.w").cast("long").alias("w"))
+
+
+@query(f"WITH {_LAST} SELECT job_id, image_id, original_filename FROM l WHERE job_id = (SELECT min(job_id) FROM r)")
+def stored_lookup(spark, d):
+    """One job's results by a look-up that reads its bucket only."""
+    made = _stored(spark, d)
+    job = _results(spark, d).agg(F.min("job_id")).first()[0]
+    return made.get(job or "").select("job_id", "image_id", "original_filename")
+

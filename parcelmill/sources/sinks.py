@@ -56,30 +56,45 @@ def _file_context(spark: SparkSession, path: str):
     return jvm, at.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write a new version below ``path`` and then replace the pointer to the current one, in one rename of a file.
-    Readers (``published``) see the old or the new report and nothing between; the version before the old one is removed."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
+def point(spark: SparkSession, path: str, words: str) -> None:
+    """Replace the pointer below ``path`` in one rename of a file: readers see the old words or the new ones."""
     jvm, fs, context = _file_context(spark, path)
     hadoop = jvm.org.apache.hadoop.fs.Path
-    before = _current(spark, path)
-    staged = hadoop(f"{path}/_next-{version}")
+    staged = hadoop(f"{path}/_next-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
-    out.write(bytearray(f"{version} {before}".strip().encode()))
+    out.write(bytearray(words.encode()))
     out.close()
-    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
     options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-    options[0] = overwrite
-    old = _versions(spark, path)[1:2]
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
     context.rename(context.makeQualified(staged), context.makeQualified(hadoop(f"{path}/_current")), options)
-    for name in old:
-        fs.delete(hadoop(f"{path}/{name}"), True)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """The current version and the one before, as far as there are any."""
+def removed(spark: SparkSession, path: str) -> None:
+    jvm, fs, _ = _file_context(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    jvm, fs, _ = _file_context(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write a new version below ``path`` and then point to it.
+    Readers (``published``) see the old or the new report and nothing between; the version before the old one is removed."""
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    versions = pointed(spark, path)
+    point(spark, path, " ".join([version, *versions[:1]]))
+    for name in versions[1:2]:
+        removed(spark, f"{path}/{name}")
+
+
+def pointed(spark: SparkSession, path: str) -> list[str]:
+    """The pointer's words, none if there is no pointer."""
     jvm, fs, _ = _file_context(spark, path)
     pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
     if not fs.exists(pointer):
@@ -91,15 +106,11 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
         stream.close()
 
 
-def _current(spark: SparkSession, path: str) -> str:
-    return next(iter(_versions(spark, path)), "")
-
-
 def published(spark: SparkSession, path: str) -> DataFrame:
     """The current version of a published report."""
-    if not (version := _current(spark, path)):
+    if not (versions := pointed(spark, path)):
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{versions[0]}")
 
 
 def write_evaluation(metrics: DataFrame, failures: DataFrame, sweep: DataFrame, confusion: DataFrame, path: str) -> None:
