@@ -15,7 +15,7 @@ in P as in U, get a weight; a document's logit is the sum of
 its places' weights and a bias.  Nothing but the text enters a score.
 
 The fit uses at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents of the rows in ``labels``, chosen by hash of the
-doc_id; hashing and choosing run in the cluster, and only hashed places come to the driver.
+doc_id; hashing and choosing run in the cluster, and only hashed places that enough positives share come to the driver.
 Scoring reads every whole text.
 
 Edge cases: null and empty texts have no features and get the bias alone; null labels and
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import table
+from .common import cut, table
 
 LOG_DIM = 22
 DIM = 1 << LOG_DIM
@@ -125,8 +125,7 @@ def fit(positive: Sets, unlabelled: Sets, prior: float, epochs: int = 40, rate:
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
     support = np.bincount(positive.values, minlength=DIM)
-    # Few positives share few places, so the support asked for follows them.
-    places = np.flatnonzero(support >= max(1, min(MIN_SUPPORT, len(positive) // 8), MIN_SHARE * len(positive)))
+    places = np.flatnonzero(support >= least_support(len(positive)))
     # A place of toxic text alone is 1 / prior times as frequent in P as in U; places below a share
     # of that add noise.
     common = np.bincount(unlabelled.values, minlength=DIM)[places]
@@ -199,10 +198,39 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "doc_id", "text")
     # An id counts once in each set, however many rows it has; of several texts the one of least places is taken.
     rows = chosen.mapInArrow(K.task(_features), "positive boolean, doc_id long, places binary").groupBy("positive", "doc_id").agg(F.min("places").alias("places"))
-    rows = rows.select("positive", "places").toArrow().combine_chunks()
+    rows = _narrowed(cut(rows.select("positive", "places"), narrow=True)).toArrow().combine_chunks()
     return fit(*(_sets(rows.filter(rows.column("positive") if on else pc.invert(rows.column("positive")))) for on in (True, False)), DEFAULT_PRIOR if prior is None else float(prior))
 
 
+def least_support(positives: int) -> float:
+    """Positives that must share a place.  Few positives share few places, so it follows them."""
+    return max(1, min(MIN_SUPPORT, positives // 8), MIN_SHARE * positives)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents have each place."""
+    total = np.zeros(DIM, np.int32)
+    for batch in batches:
+        for x in batch.column("places"):
+            total[np.frombuffer(x.as_py(), np.int32)] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["place", "n"])
+
+
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the places that can get a weight: the others, nearly all, stay in the cluster."""
+    count = rows.where("positive").mapInArrow(K.task(_counted), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    least = least_support(rows.where("positive").count())
+    known = np.sort(count.where(F.col("n") >= least).select("place").toArrow().column("place").to_numpy())  # a few for each 100 of a positive's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("places")]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([x[np.isin(x, known)].tobytes() for x in found], pa.binary())], ["positive", "places"])
+
+    return rows.mapInArrow(K.task(run), "positive boolean, places binary")
+
+
 def _sets(rows: pa.Table) -> Sets:
     """The documents in an order that doesn't depend on the tasks'."""
     cells = rows.column("places").to_pylist()
