@@ -24,6 +24,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,35 +55,41 @@ def upto(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def gram_hashes(w: Column, n: int) -> Column:
-    """Hash of the n words from each place, from word hashes (5 longs hash faster than 5 strings)."""
-    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(upto(F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n))))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def gram_hashes(h: Column, n: int) -> Column:
+    """Hash of the n words from each place, from the words' hashes."""
+    return F.transform(upto(F.size(h) - (n - 1)), lambda i: F.xxhash64(*(F.get(h, i + (k - 1)) for k in range(n))))
 
 
-def fingerprints(w: Column, gram: int, spread: int) -> Column:
-    """(hash, first and last place of the windows it is least in) by runs of windows with one least hash.
+def fingerprints(h: Column, gram: int, spread: int) -> Column:
+    """(hash, first and last place of the windows it is least in) by runs of windows with one least hash, from the words' hashes.
     A run is longer than ``spread`` where its gram comes again within ``spread`` words."""
 
-    def least(h: Column) -> Column:
-        return F.transform(upto(F.size(h) - (spread - 1)), lambda i: F.array_min(F.slice(h, i, spread)))
+    def least(g: Column) -> Column:
+        if spread == 1:
+            return g
+        return F.transform(upto(F.size(g) - (spread - 1)), lambda i: F.least(*(F.get(g, i + (k - 1)) for k in range(spread))))
 
     def runs(m: Column) -> Column:
-        changed = F.transform(m, lambda x, i: F.struct(x.alias("hash"), (i + 1).alias("place"), ((i == 0) | (F.get(m, i - 1) != x)).alias("new")))
-        return let(F.filter(changed, lambda x: x["new"]), lambda r: F.transform(r, lambda x, i: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), F.coalesce(F.get(r, i + 1)["place"] - 1, F.size(m)).alias("last"))))
+        new = F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (F.get(m, i - 1) != x), i + 1)), lambda p: p.isNotNull())
+        return let(new, lambda r: F.transform(r, lambda p, i: F.struct(F.get(m, p - 1).alias("hash"), p.alias("place"), F.coalesce(F.get(r, i + 1) - 1, F.size(m)).alias("last"))))
 
-    return let(gram_hashes(w, gram), lambda h: let(least(h), runs))
+    return let(gram_hashes(h, gram), lambda g: let(least(g), runs))
 
 
-def spelled(w: Column, start: Column, n: int) -> Column:
+def spelled(w: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(w, start, n), " ")
 
 
-def among(rows: DataFrame, known: DataFrame, column: str, few: bool) -> DataFrame:
-    """Rows whose ``column`` is in ``known``: by broadcast, or by column and salt."""
+def among(rows: DataFrame, known: DataFrame, columns: list[str], few: bool) -> DataFrame:
+    """Rows whose ``columns`` are in ``known``: by broadcast, or by columns and salt."""
     if few:
-        return rows.join(F.broadcast(known), column, "left_semi")
+        return rows.join(F.broadcast(known), columns, "left_semi")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salted, [column, "salt"], "left_semi").drop("salt")
+    return rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salted, [*columns, "salt"], "left_semi").drop("salt")
 
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
@@ -99,39 +107,36 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM
 
 def judged(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``find`` with the ``row_key`` that tells rows of one doc_id apart."""
-    spread = width - gram + 1
     windows = cut(windows_of(items, width))
     sizes = [r.n for r in windows.select("n").distinct().orderBy("n").collect()]  # at most ``width`` numbers
+
+    def marks(h: Column, n: int) -> Column:
+        """An item size's fingerprints: of the full size by winnowing, of a smaller one all grams of that size."""
+        found = fingerprints(h, *((gram, width - gram + 1) if n == width else (n, 1)))
+        return F.transform(found, lambda x: F.struct(F.lit(n).alias("n"), x["hash"].alias("hash"), x["place"].alias("place"), x["last"].alias("last")))
+
     docs = with_key(docs)
-    hits = None
-    for n in sizes:
-        k, s = (gram, spread) if n == width else (n, 1)
-        own = windows.where(F.col("n") == n)
-        known = own.select(F.explode(F.transform(fingerprints(F.split("window", " "), k, s), lambda x: x["hash"])).alias("hash")).distinct()
-        few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
-        marks = docs.select("row_key", "doc_id", F.explode(fingerprints(words(F.col("text")), k, s)).alias("f"))
-        marks = marks.select("row_key", "doc_id", F.col("f.hash").alias("hash"), F.struct("f.place", "f.last").alias("run"))
-        at = among(marks, known, "hash", few)
-        at = cut(at.groupBy(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).agg(F.collect_set("run").alias("runs")))
-        # Words of the documents with a hit only; their places are bounded by their length.
-        near = at.limit(broadcast_rows + 1).count() <= broadcast_rows
-        same = (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
-        hit_docs = docs.join(F.broadcast(at) if near else at, same).select("row_key", "doc_id", "runs", words(F.col("text")).alias("w"))
-        # All windows of a run share its least hash; runs do not overlap.
-        starts = F.flatten(F.transform("runs", lambda r: F.sequence(r["place"], r["last"])))
-        texts = let(F.struct("w", starts.alias("s")), lambda x: F.transform(F.filter(x["s"], lambda i: i + (n - 1) <= F.size(x["w"])), lambda i: F.struct(i.alias("start"), spelled(x["w"], i, n).alias("window"))))
-        spread_out = hit_docs.select("row_key", "doc_id", F.inline(texts))
-        target = own.select("window", "items")
-        small = few and target.limit(broadcast_rows + 1).count() <= broadcast_rows
-        found = among(spread_out, target.select("window"), "window", small)
-        found = found.select("row_key", "doc_id", F.lit(n).alias("n"), "start", "window")
-        hits = found if hits is None else hits.unionByName(found)
-    base = docs.select("doc_id", "row_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    if hits is None:
-        none = base.select("row_key", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"))
-        return none.select("*", F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
-    hits = cut(hits.distinct())
-    return _summed(base, hits, windows, broadcast_rows)
+    own = [windows.where(F.col("n") == n).select(F.inline(marks(word_hashes(F.split("window", " ")), n))) for n in sizes]
+    zero = windows.sparkSession.range(1).select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("hash"))  # that of the mark of the document itself
+    known = reduce(DataFrame.unionByName, (x.select("n", "hash") for x in own), zero).distinct()
+    few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
+    # One reading of the documents: the words are split once, and give the document's own mark, with their number, and those of all sizes.
+    mark = lambda h: F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("hash"), F.size(h).alias("place"), F.lit(0).alias("last"))), *(marks(h, n) for n in sizes))
+    found = docs.select("row_key", "doc_id", F.inline(let(word_hashes(words(F.col("text"))), mark)))
+    found = cut(among(found, known, ["n", "hash"], few).select("row_key", "doc_id", "n", "place", "last"))
+    base = found.where("n = 0").select("doc_id", "row_key", F.col("place").cast("long").alias("n_words"))
+    at = cut(found.where("n > 0").groupBy(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("n", "place", "last")).alias("runs")))
+    # Words of the documents with a hit only; their places are bounded by their length.
+    near = at.limit(broadcast_rows + 1).count() <= broadcast_rows
+    same = (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    hit_docs = docs.join(F.broadcast(at) if near else at, same).select("row_key", "doc_id", "runs", words(F.col("text")).alias("w"))
+    # All windows of a run share its least hash; a size's runs do not overlap.
+    starts = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["place"], r["last"]), lambda i: F.struct(r["n"].alias("n"), i.alias("start")))))
+    texts = let(F.struct("w", starts.alias("s")), lambda x: F.transform(F.filter(x["s"], lambda i: i["start"] + (i["n"] - 1) <= F.size(x["w"])), lambda i: F.struct(i["n"].alias("n"), i["start"].alias("start"), spelled(x["w"], i["start"], i["n"]).alias("window"))))
+    spread_out = hit_docs.select("row_key", "doc_id", F.inline(texts))
+    target = windows.select("n", "window")
+    hits = among(spread_out, target, ["n", "window"], few and target.limit(broadcast_rows + 1).count() <= broadcast_rows)
+    return _summed(base, cut(hits.distinct()), windows, broadcast_rows)
 
 
 def _summed(base: DataFrame, hits: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:
