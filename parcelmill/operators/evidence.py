@@ -25,13 +25,13 @@ def barcode_evidence(observed: DataFrame) -> DataFrame:
 
 def barcode_candidates(evidence: DataFrame, known: DataFrame) -> DataFrame:
     """Identifiers from barcodes; ``known`` has the image's identifiers from text."""
-    several = F.count_distinct("value") > 1
     agrees = known.select("image_id", F.col("awb").alias("awb"), F.lit(True).alias("agrees")).distinct()
     e = F.col("evidence_level")
     conf = F.when(~F.col("agrees") & F.col("several"), F.least(F.lit(0.73), e)).when(F.col("agrees"), F.least(F.lit(0.97), e + 0.08)).otherwise(F.least(F.lit(0.84), e))
-    per = evidence.groupBy("image_id").agg(several.alias("several"), F.collect_list(F.struct("value", "source_crop", "evidence_level")).alias("all"))  # an image has some dozens of observations
-    each = per.select("image_id", "several", F.inline("all"))
-    full = each.withColumn("awb", T.normalise_awb(F.col("value"))).where("awb is not null").join(agrees, ["image_id", "awb"], "left")
+    per = evidence.groupBy("image_id").agg(F.collect_list(F.struct("value", "source_crop", "evidence_level")).alias("all"))  # an image has some dozens of observations
+    several = F.array_min("all.value") != F.array_max("all.value")
+    each = per.select("image_id", several.alias("several"), F.inline(F.transform("all", lambda b: F.struct(T.normalise_awb(b["value"]).alias("awb"), b["source_crop"].alias("source_crop"), b["evidence_level"].alias("evidence_level")))))
+    full = each.where("awb is not null").join(agrees, ["image_id", "awb"], "left")
     full = full.withColumn("agrees", F.coalesce("agrees", F.lit(False)))
     return full.select("image_id", "awb", "source_crop", "agrees", F.round(conf, 6).alias("confidence"))
 
