@@ -120,7 +120,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(positive: Sets, unlabelled: Sets, prior: float, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
     """The non-negative risk minimiser by Adagrad."""
-    prior = min(max(prior, 1e-4), 0.9)
+    prior = clipped(prior)
     bias = float(np.log(prior / (1 - prior)))
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
@@ -198,8 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     chosen = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "doc_id", "text")
     # An id counts once in each set, however many rows it has; of several texts the one of least places is taken.
     rows = chosen.mapInArrow(K.task(_features), "positive boolean, doc_id long, places binary").groupBy("positive", "doc_id").agg(F.min("places").alias("places"))
-    rows = _narrowed(cut(rows.select("positive", "places"), narrow=True)).toArrow().combine_chunks()
-    return fit(*(_sets(rows.filter(rows.column("positive") if on else pc.invert(rows.column("positive")))) for on in (True, False)), DEFAULT_PRIOR if prior is None else float(prior))
+    prior = DEFAULT_PRIOR if prior is None else float(prior)
+    rows = _narrowed(cut(rows.select("positive", "places"), narrow=True), prior).toArrow().combine_chunks()
+    return fit(*(_sets(rows.filter(rows.column("positive") if on else pc.invert(rows.column("positive")))) for on in (True, False)), prior)
+
+
+def clipped(prior: float) -> float:
+    return min(max(prior, 1e-4), 0.9)
 
 
 def least_support(positives: int) -> float:
@@ -208,25 +213,34 @@ def least_support(positives: int) -> float:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents have each place."""
-    total = np.zeros(DIM, np.int32)
+    """How many positives and how many others have each place."""
+    total = np.zeros((2, DIM), np.int32)
     for batch in batches:
-        for x in batch.column("places"):
-            total[np.frombuffer(x.as_py(), np.int32)] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["place", "n"])
-
-
-def _narrowed(rows: DataFrame) -> DataFrame:
-    """``rows`` with the places that can get a weight: the others, nearly all, stay in the cluster."""
-    count = rows.where("positive").mapInArrow(K.task(_counted), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    least = least_support(rows.where("positive").count())
-    known = np.sort(count.where(F.col("n") >= least).select("place").toArrow().column("place").to_numpy())  # a few for each 100 of a positive's
+        for positive, x in zip(batch.column("positive").to_pylist(), batch.column("places")):
+            total[0 if positive else 1, np.frombuffer(x.as_py(), np.int32)] += 1  # distinct in a document
+    at = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, total[0, at], total[1, at])], ["place", "p", "u"])
+    rest = np.flatnonzero((total[0] == 0) & (total[1] > 0))
+    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rest, total[0, rest], total[1, rest])], ["place", "p", "u"])
+
+
+def _narrowed(rows: DataFrame, prior: float) -> DataFrame:
+    """``rows`` with the places that can get a weight: the others, nearly all, stay in the cluster.  ``fit`` judges the rest again."""
+    sizes = {r.positive: r["count"] for r in rows.groupBy("positive").count().collect()}
+    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    count = rows.mapInArrow(K.task(_counted), "place long, p long, u long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    lift = (F.col("p") / max(1, n_p)) / ((F.col("u") + 1) / (n_u + 1))
+    some = count.where((F.col("p") >= least_support(n_p)) & (lift >= MIN_LIFT / clipped(prior) * (1 - 1e-9)))
+    known = np.sort(some.select("place").toArrow().column("place").to_numpy())  # some hundreds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("places")]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([x[np.isin(x, known)].tobytes() for x in found], pa.binary())], ["positive", "places"])
+            out = []
+            for x in batch.column("places"):
+                own = np.frombuffer(x.as_py(), np.int32)
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                out.append(own[known[at] == own].tobytes() if len(known) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(out, pa.binary())], ["positive", "places"])
 
     return rows.mapInArrow(K.task(run), "positive boolean, places binary")
 
