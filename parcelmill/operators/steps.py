@@ -30,3 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``rows`` rows; it is read for that, so cut it first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bytes of a table that is dealt out anew where its files give fewer parts than there are cores.
+SPREAD = (1 << 20, 256 << 20)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A small table in one file of one row group is read by one task, whatever the cores: it is dealt out over them.  Larger tables have parts
+    enough, and are never moved for this; columns and filters still reach the scan."""
+    execution = scan._jdf.queryExecution()
+    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if SPREAD[0] <= size <= SPREAD[1] and execution.toRdd().getNumPartitions() < cores:
+        return scan.repartition(cores)
+    return scan

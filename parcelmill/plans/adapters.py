@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.steps import spread
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 VIEWS: dict[str, str] = {
@@ -190,7 +192,7 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter over one folder, without temporary names."""
     sql = VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in sql}
+    used = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if f"FROM {t}" in sql}
     for t in used:
         sql = sql.replace(f"FROM {t}", "FROM {" + t + "}")
     return spark.sql(sql, **used)

@@ -19,7 +19,7 @@ from ..operators import perception
 from ..operators import reconcile as R
 from ..operators import report
 from ..operators.quantiles import quantiles
-from ..operators.steps import cut
+from ..operators.steps import cut, spread
 from .adapters import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def query(sql: str = ""):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def queries() -> dict[str, Query]:
