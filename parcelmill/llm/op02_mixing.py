@@ -6,14 +6,16 @@ of which several hashed-context bit predictors foretell from what stands before
 * *Phrase.*  Words are cut into phrases where a hash of two neighbouring words says so (about every
   ``PHRASE`` words), so repeated passages are cut alike.  Does the next phrase occur in another
   training text?  If so, it is named at its share of all phrases and its words cost no more.
-* *Word.*  Else, word by word: did the next word occur before in this text?  If so, it is named at its
-  share of the text so far; if not, it comes from the training vocabulary at its share of first occurrences, or is new.
+* *Word.*  Else, word by word: did the next word occur before in this text?
+* *Class.*  Of which of ``CLASSES`` classes is the word, bit by bit?  The previous word and the previous two foretell that, and the classes of the text so far.
+  Within its class a word that occurred is named at its share of the text so far; any other comes from the training vocabulary at its share of first occurrences, or is new.
 * *Bit.*  A new word is spelled, byte by byte and each byte bit by bit, up to a closing blank.
 
 Each kind of decision has its own mixer:
 
 * *Hashed-context bit predictors.*  Slots hold how often no and yes followed.  Contexts of words are the
   place and the share of new words, the last outcomes, the previous word, and the previous word with the last outcomes; of
+  a class's bits the previous word, the previous two, and what the text so far leans to, each with the bits known and whether the word occurred; of
   phrases the last outcomes, how common the last phrase is, and the run of hits; of bits one to three bytes and the word so far.
 * *Gated mixing.*  Predictions are added in the logistic domain with weights chosen by a gate,
   trained online, each decision being foretold before it is learnt from, over every slice of the corpus;
@@ -27,8 +29,8 @@ and one that occurs twice is told apart.
 
 What is gathered grows with the input: the vocabulary (a row a word) and the phrases (a row a
 phrase) are tables that are joined; only the most frequent words (``DICTIONARY``) are broadcast, which decides how a word
-meets its counts and not what they are.  Slots of the spelling follow the number of training words up
-to 2^22 for the longest context.  A document's phrases and rare words travel in its own row; a phrase in a third of all texts is counted
+meets its counts and not what they are.  Slots of the classes' and the spelling's contexts follow the numbers of training words and tokens, up
+to 2^21 and 2^22 for the longest.  A document's phrases and rare words travel in its own row; a phrase in a third of all texts is counted
 in each task first.
 
 Edge cases: null and empty texts are one end token; repeated rows get equal rows and, in training,
@@ -188,27 +190,31 @@ def _counts(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield np.frombuffer(row[f"{name}at"], np.uint16).astype(np.int64), np.frombuffer(row[f"{name}zeros"], kind), np.frombuffer(row[f"{name}ones"], kind)
 
 
-def _shares(mixer: Mixer) -> Iterator[pa.RecordBatch]:
+MANY = 1 << 16  # blocks of a mixer, at most
+
+
+def _shares(mixer: Mixer, number: int = 0) -> Iterator[pa.RecordBatch]:
+    """The slots of the ``number``-th mixer of a pass."""
     zeros, ones = mixer.counts[::2], mixer.counts[1::2]
     used = np.flatnonzero(zeros + ones)
     for b in np.unique(used >> BLOCK):
         at = used[np.searchsorted(used, b << BLOCK) : np.searchsorted(used, (b + 1) << BLOCK)]
-        yield _share(int(b), zeros[at], ones[at], at & ((1 << BLOCK) - 1))
+        yield _share(int(b) + number * MANY, zeros[at], ones[at], at & ((1 << BLOCK) - 1))
 
 
-def _learnt(mixer: Mixer) -> pa.RecordBatch:
-    """Weights times decisions and the refinement's sums, as a row of block -1."""
+def _learnt(mixer: Mixer, number: int = 0) -> pa.RecordBatch:
+    """Weights times decisions and the refinement's sums, as a row of block -1 (-2 for the second mixer, and so on)."""
     sums = np.concatenate([[mixer.mass], mixer.weights.reshape(-1).astype(np.float64) * mixer.mass, mixer.met.reshape(-1)])
-    return pa.RecordBatch.from_pylist([{"block": -1, "big_ones": sums.tobytes()}], _SHARE)
+    return pa.RecordBatch.from_pylist([{"block": -1 - number, "big_ones": sums.tobytes()}], _SHARE)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            if row["block"] < 0:
+            if (b := row["block"]) < 0:
                 sums = np.frombuffer(row["big_ones"])
-                total[-1] = total[-1] + sums if -1 in total else sums
+                total[b] = total[b] + sums if b in total else sums
                 continue
             sums = total.setdefault(row["block"], np.zeros((2, 1 << BLOCK), np.float32))
             for at, zeros, ones in _counts(row):
@@ -216,7 +222,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[1, at] += ones
     for b, sums in total.items():
         if b < 0:
-            yield pa.RecordBatch.from_pylist([{"block": -1, "big_ones": sums.tobytes()}], _SHARE)
+            yield pa.RecordBatch.from_pylist([{"block": b, "big_ones": sums.tobytes()}], _SHARE)
         else:
             at = np.flatnonzero(sums.any(axis=0))
             yield _share(b, sums[0, at], sums[1, at], at)
@@ -229,17 +235,26 @@ def _blocks(rows: DataFrame, learn: Callable) -> Iterator:
 
 def gathered(rows: DataFrame, learn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], make: Callable[[], Mixer]) -> Mixer:
     """A mixer with all that the slices of ``rows`` have taught."""
-    mixer, weights, met = make(), None, None
+    return all_gathered(rows, learn, make)[0]
+
+
+def all_gathered(rows: DataFrame, learn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *makes: Callable[[], Mixer]) -> list[Mixer]:
+    """Mixers that one pass teaches."""
+    mixers = [make() for make in makes]
+    sums: dict[int, np.ndarray] = {}
     for r in _blocks(rows, learn):
         if r["block"] < 0:
-            sums = np.frombuffer(r["big_ones"])
-            n = mixer.weights.size
-            weights, met = (sums[1 : n + 1] / sums[0] if sums[0] else None), sums[n + 1 :]
+            sums[-1 - r["block"]] = np.frombuffer(r["big_ones"])
             continue
+        number, block = divmod(r["block"], MANY)
         for at, zeros, ones in _counts(r):
-            at = 2 * (at + (r["block"] << BLOCK))
-            mixer.counts[at], mixer.counts[at + 1] = zeros, ones
-    return mixer.settled(weights, met)
+            at = 2 * (at + (block << BLOCK))
+            mixers[number].counts[at], mixers[number].counts[at + 1] = zeros, ones
+    out = []
+    for number, mixer in enumerate(mixers):
+        found, n = sums.get(number), mixer.weights.size
+        out.append(mixer.settled(None, None) if found is None else mixer.settled(found[1 : n + 1] / found[0] if found[0] else None, found[n + 1 :]))
+    return out
 
 
 # Counts travel in a byte: exact up to 32, then eight steps for each doubling.
@@ -486,6 +501,54 @@ class Tokens:
         return at, far * 4 + (last & 3), hit
 
 
+# --- Which class the next word is of.
+
+CLASS_BITS = 3
+CLASSES = 1 << CLASS_BITS
+CLASS_GATES = 2 * CLASSES
+_STEP = U(0x8CB92BA72F3D8DD7)
+
+
+def class_of(hashes: np.ndarray) -> np.ndarray:
+    """A word's class, by its hash: so classes need no table."""
+    return (K.mix(hashes * U(0x9E3779B97F4A7C15)) >> U(64 - CLASS_BITS)).astype(np.int64)
+
+
+def class_slots(words: int, tokens: int) -> tuple[int, ...]:
+    """Slots for the previous word, the previous two, and the text so far, as many as training has words and tokens, at most 2^20 and 2^21."""
+    return tuple(min(max(10, (x * CLASSES).bit_length()), most) for x, most in ((words, 20), (tokens, 21))) + (11,)
+
+
+def class_decisions(tokens: Tokens, mixer: Mixer) -> tuple[list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], np.ndarray]:
+    """Slots, gate and outcome of each bit of each token's class, and how many tokens of its class the text had before."""
+    n, start, own = len(tokens.hash), tokens.first[:-1], np.arange(len(tokens.hash))
+    kind, hit = class_of(tokens.hash), (tokens.before > 0).astype(np.int64)
+    one, two = np.zeros((2, n), U)
+    one[1:], two[2:] = tokens.hash[:-1], tokens.hash[:-2]
+    one[start] = two[start] = U(0)
+    two[tokens.place == 1] = U(0)
+    two = K.mix(two * _STEP + one)
+    upto = np.zeros((CLASSES + 1, n), np.int32)  # tokens before, of the classes below each
+    for c in range(CLASSES):
+        here = (kind == c).astype(np.int32)
+        before = np.cumsum(here, dtype=np.int32) - here
+        upto[c + 1] = upto[c] + before - before[start][tokens.doc]
+    out, node = [], np.ones(n, np.int64)
+    for b in range(CLASS_BITS):
+        wide = CLASSES >> b
+        low = (node - (1 << b)) * wide
+        middle, most = upto[low + wide // 2, own], upto[low + wide, own]
+        all_, ones = (most - upto[low, own]).astype(np.int64), (most - middle).astype(np.int64)
+        lean = 8 * (2 * ones + 1) // (2 * all_ + 2)
+        far = np.minimum(np.log2(all_ + 1), 7).astype(np.int64)
+        gate = node * 2 + hit
+        key = gate.astype(U) * _STEP
+        bit = (kind >> (CLASS_BITS - 1 - b)) & 1
+        out.append((mixer.slots([one + key, two + key, (lean * 8 + far) * CLASS_GATES + gate]), gate, bit))
+        node = node * 2 + bit
+    return out, (upto[kind + 1, own] - upto[kind, own]).astype(np.int64)
+
+
 def phrases(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First token of each phrase, its hash, and each document's first phrase (one more at the end).  End
     tokens are phrases of their own, with hash 0."""
@@ -507,22 +570,27 @@ def phrases(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, keys, np.searchsorted(starts, tokens.first)
 
 
-def word_mixer(docs: DataFrame) -> Mixer:
-    """Learnt online from every training text, slice by slice."""
+def word_mixers(docs: DataFrame, slots: tuple[int, ...]) -> list[Mixer]:
+    """Mixers of words and of their classes, learnt online from every training text, slice by slice."""
+    makes = lambda: Mixer(WORD_SLOTS, WORD_GATES), lambda: Mixer(slots, CLASS_GATES)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(WORD_SLOTS, WORD_GATES)
+        words, classes = (make() for make in makes)
         for batch in batches:
             for _, data, offsets in K.blocks(batch):
-                at, gate, hit = Tokens(K.LOWER[data], offsets).decisions(mixer)
-                for k in range(0, len(hit), STEP):
+                tokens = Tokens(K.LOWER[data], offsets)
+                decisions = tokens.decisions(words)
+                steps, _ = class_decisions(tokens, classes)
+                for k in range(0, len(tokens.hash), STEP):
                     part = slice(k, k + STEP)
-                    mixer.learn([a[part] for a in at], gate[part], hit[part])
-        if mixer.mass:
-            yield from _shares(mixer)
-            yield _learnt(mixer)
+                    for mixer, (at, gate, bit) in ((words, decisions), *((classes, x) for x in steps)):
+                        mixer.learn([a[part] for a in at], gate[part], bit[part])
+        for number, mixer in enumerate((words, classes)):
+            if mixer.mass:
+                yield from _shares(mixer, number)
+                yield _learnt(mixer, number)
 
-    return gathered(docs.where(~F.col("held_out")).select("text"), learn, lambda: Mixer(WORD_SLOTS, WORD_GATES))
+    return all_gathered(docs.where(~F.col("held_out")).select("text"), learn, *makes)
 
 
 # --- Phrases: does the next one occur in another training text?
@@ -611,6 +679,15 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.rows()
 
 
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of all words of each class."""
+    total = np.zeros(CLASSES, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            np.add.at(total, class_of(hashed(batch.column("word").cast(pa.binary()))), batch.column("d").to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(total)], ["class", "d"])
+
+
 def hashed(words: list[bytes] | pa.Array) -> np.ndarray:
     """The hashes that these words have in texts."""
     words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
@@ -692,6 +769,11 @@ def score(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     total, pairs, distinct, lone = (int(x) for x in sums)
     novel = min(max(lone / pairs, 1e-6), 1 - 1e-6) if pairs else 1 - 1e-6
     make = speller(vocabulary, distinct)
+    # What share of first occurrences each class has; a new word is of any class alike.
+    by_class = vocabulary.select("word", "d").mapInArrow(K.task(_by_class), "class int, d long").groupBy("class").agg(F.sum("d").alias("d")).collect()  # a row a class
+    mass = np.full(CLASSES, novel / CLASSES)
+    for r in by_class:
+        mass[r["class"]] += (1 - novel) * r.d / max(pairs, 1)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bits of words that are new to held-out texts (d = 0) or to the only text that has them (d = 1)."""
@@ -727,11 +809,11 @@ def score(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     frequent = costed(vocabulary.where(listed)).select("word", *names).toArrow().combine_chunks()
     hashes = hashed(frequent.column("word").chunk(0).cast(pa.binary()) if len(frequent) else [])
     c, base, *costs = (np.append(frequent.column(x).to_numpy(), 0) for x in names)
-    shared = spark.sparkContext.broadcast((word_mixer(docs), hashes, c > 0, base, np.stack(costs)))
+    shared = spark.sparkContext.broadcast((word_mixers(docs, class_slots(distinct, total)), hashes, c > 0, base, np.stack(costs)))
     del frequent, hashes, c, base, costs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, hashes, c, base, costs = shared.value
+        (mixer, classes), hashes, c, base, costs = shared.value
         index = Index(hashes)
         for batch in batches:
             for row, data, offsets in K.blocks(batch):
@@ -744,9 +826,14 @@ def score(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
                 slots, gate, hit = tokens.decisions(mixer)
                 train = (~held).astype(np.float32)
                 bits = mixer.bits(slots, gate, hit.astype(np.float32), train[tokens.doc])
+                steps, alike = class_decisions(tokens, classes)
+                for own_slots, own_gate, bit in steps:
+                    bits += classes.bits(own_slots, own_gate, bit.astype(np.float32), train[tokens.doc])
+                # The class being known, a word is one of its class: of the text's so far, or of the first occurrences'.
                 again = np.flatnonzero(hit)
-                bits[again] += np.log2(tokens.place[again] / tokens.before[again])
+                bits[again] += np.log2(alike[again] / tokens.before[again])
                 once = tokens.firsts
+                bits[once] += np.log2(mass[class_of(tokens.hash[once])])
                 bits[once] += costs[train[tokens.doc[once]].astype(np.int64), at[once]]
                 starts, keys, first = phrases(tokens)
                 by_phrase = np.add.reduceat(bits, starts) if len(starts) else np.zeros(0)

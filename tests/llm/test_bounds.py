@@ -71,3 +71,15 @@ def test_a_long_text_of_links_and_tokens_takes_seconds(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert "Ab1" not in op09_secrets.redact(df).first().text
     assert time.time() - began < 60
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    """Sets that share exactly three quarters of their union meet in a band."""
+    from parcelmill.llm import op08_setsketch as S
+
+    rng = np.random.default_rng(5)
+    for size, inter, n in ((7, 6, 1500), (70, 60, 1500), (700, 600, 200)):
+        for _ in range(n):
+            both = rng.integers(0, 1 << 63, 2 * size - inter, dtype=np.uint64)
+            a, b = (S.registers(x).reshape(-1, S.ROWS) for x in (both[:size], both[size - inter :]))
+            assert (a == b).all(axis=1).any()

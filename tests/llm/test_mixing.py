@@ -36,18 +36,21 @@ def corpus():
 
 def test_score_against_a_plain_version(spark, monkeypatch):
     """The trained mixers, asked decision by decision in plain loops over the words of each text."""
-    mixers, spellers, gathered, speller = [], [], op.gathered, op.speller
+    mixers, pairs_of, spellers, gathered, speller, word_mixers = [], [], [], op.gathered, op.speller, op.word_mixers
+    monkeypatch.setattr(op, "word_mixers", lambda *a: pairs_of.append(word_mixers(*a)) or pairs_of[-1])
     monkeypatch.setattr(op, "gathered", lambda *a: mixers.append(gathered(*a)) or mixers[-1])
     monkeypatch.setattr(op, "speller", lambda *a: spellers.append(speller(*a)) or spellers[-1])
     rows = corpus()
     got = {r.doc_id: r.score for r in op.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
-    words_of, phrases_of, spell = mixers[-2], mixers[-1], spellers[-1]()
+    (words_of, classes_of), phrases_of, spell = pairs_of[-1], mixers[-1], spellers[-1]()
     held = {d: x[0] for d, x in brute.unigram(rows).items()}
     texts = {d: bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()).split() for d, t in rows}
     train = [d for d in texts if not held[d]]
     df = Counter(w for d in train for w in {*texts[d], op.END})
     pairs = sum(df.values())
     novel = sum(n == 1 for n in df.values()) / pairs
+    kind = lambda w: int(op.class_of(op.hashed([w]))[0])
+    share = [novel / op.CLASSES + (1 - novel) * sum(n for w, n in df.items() if kind(w) == c) / pairs for c in range(op.CLASSES)]
     hashes = dict(zip(vocabulary := sorted({w for t in texts.values() for w in t}), op.hashed(vocabulary).tolist()))
     mask = (1 << 64) - 1
 
@@ -71,15 +74,29 @@ def test_score_against_a_plain_version(spark, monkeypatch):
     far = lambda place, most: min(int(math.log2(place + 1)), most)
     for d, tokens in texts.items():
         own = 0 if held[d] else 1
-        costs, met, hits = [], Counter(), []
+        costs, met, hits, kinds = [], Counter(), [], []
         for place, w in enumerate([*tokens, op.END]):
             hit = int(met[w] > 0)
             last = sum(h << k for k, h in enumerate(reversed(hits[-6:])))
             previous = hashes[tokens[place - 1]] if place else 0
             f = far(place, 15)
             cost = decide(words_of, [f * 8 + 8 * sum(hits) // (place + 1), last * 8 + f // 2, previous, previous + (last & 3)], f * 4 + (last & 3), hit, own)
+            two = hashes[tokens[place - 2]] if place > 1 else 0
+            two = int(kernel.mix(np.array([(two * int(op._STEP) + previous) & mask], np.uint64))[0])
+            node, c = 1, kind(w)
+            for b in range(op.CLASS_BITS):
+                inside = [k for k in kinds if (k + op.CLASSES) >> (op.CLASS_BITS - b) == node]
+                ones = sum((k >> (op.CLASS_BITS - 1 - b)) & 1 for k in inside)
+                lean, gate, bit = 8 * (2 * ones + 1) // (2 * len(inside) + 2), node * 2 + hit, (c >> (op.CLASS_BITS - 1 - b)) & 1
+                key = gate * int(op._STEP)
+                cost += decide(classes_of, [previous + key, two + key, (lean * 8 + far(len(inside), 7)) * op.CLASS_GATES + gate], gate, bit, own)
+                node = node * 2 + bit
             if hit:
-                cost += math.log2(place / met[w])
+                cost += math.log2(kinds.count(c) / met[w])
+            else:
+                cost += math.log2(share[c])
+            if hit:
+                pass
             elif df[w] > own:
                 cost -= math.log2((1 - novel) * (df[w] - own) / pairs)
             else:
@@ -87,6 +104,7 @@ def test_score_against_a_plain_version(spark, monkeypatch):
             costs.append(cost)
             met[w] += 1
             hits.append(hit)
+            kinds.append(c)
         total, at, flags, common = costs[-1], 0, [], 0
         mine = cut(tokens)
         for place, p in enumerate(mine):
@@ -105,6 +123,33 @@ def test_score_against_a_plain_version(spark, monkeypatch):
         assert math.isclose(got[d], -total * math.log10(2), rel_tol=1e-6, abs_tol=1e-5), d
 
 
+def chain(rng, words, n):
+    """Text of a Markov chain: each word has four followers of its own."""
+    out = [rng.choice(words)]
+    for _ in range(n - 1):
+        out.append(words[(words.index(out[-1]) * 7 + rng.choice([1, 1, 1, 2, 2, 5, 11])) % len(words)])
+    return out
+
+
+def test_the_order_of_known_words_counts(spark):
+    """Held-out text of a chain scores better than the same words shuffled, and than the unigram."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcdefghijk", k=rng.randint(2, 6))) for _ in range(400)})
+    rows = [(k, " ".join(chain(rng, words, rng.randint(60, 200)))) for k in range(700)]
+    held = {d for d, x in brute.unigram(rows).items() if x[0]}
+    shuffled = {}
+    for d in sorted(held):
+        own = dict(rows)[d].split()
+        rng.shuffle(own)
+        twin = next(k for k in range(10_000 + len(shuffled) * 40, 10**6) if k not in shuffled.values() and brute.unigram([(k, "")])[k][0])
+        shuffled[d] = twin
+        rows.append((twin, " ".join(own)))
+    out = {r.doc_id: r for r in op.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    better = sum(out[d].score > out[t].score for d, t in shuffled.items())
+    over = sum(out[d].score > out[d].base_score for d in held)
+    assert len(held) > 80 and better >= 0.97 * len(held) and over >= 0.97 * len(held)
+
+
 def test_what_a_language_model_tells_apart(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
