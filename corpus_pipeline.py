@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmill.llm import op03_toxicity, op06_packing, op07_winnow, op08_setsketch, op09_secrets
-from parcelmill.llm.common import cut, fresh, key_of, shared_dir, small, table
+from parcelmill.llm.common import cut, dropped, fresh, key_of, shared_dir, small, table
 
 #: Ids and keys (16 bytes) that are broadcast at most; more meet their documents by a shuffle.
 IDS = 1_000_000
@@ -90,9 +90,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:  # what the stage has read is read no more
+            dropped(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
