@@ -78,3 +78,28 @@ def test_best_pass_of_scores_that_differ_in_the_last_bit(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert rows(got) == rows(con.execute(catalog.oracle_sql()["best_ocr_pass"]).df())
     assert {r.pass_no for r in got.itertuples() if r.image_id <= first} == {3}
+
+
+def test_hamming_pairs_hold_every_link(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 64))
+    near = base[rng.integers(0, 12, 40)] * np.where(rng.random((40, 64)) < 0.04, -1, 1)
+    same = base[[0] * 9 + [1, 2, 2]] * rng.random((12, 64))  # other vectors of the same signs
+    made = [(i, [float(x) for x in e]) for i, e in enumerate(np.concatenate([base, near, same]))]
+    spark.createDataFrame(made, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalog.queries()["hamming_pairs"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(catalog.oracle_sql()["hamming_pairs"]).df())
+    keys = [v for v, _ in con.execute(f"WITH {catalog.COPIED} SELECT vec_id, bits FROM hc").fetchall()]
+    own = {r.b: r.a for r in got.itertuples() if r.distance == 0}
+    classed = {(r.a, r.b): r.distance for r in got.itertuples() if r.distance}
+    links = {}
+    for a in keys:
+        for b in keys:
+            x, y = own.get(a, a), own.get(b, b)
+            if a < b and (x == y or (min(x, y), max(x, y)) in classed):
+                links[a, b] = 0 if x == y else classed[min(x, y), max(x, y)]
+    every = con.execute(f"WITH {catalog.COPIED} SELECT a.vec_id, b.vec_id, bit_count(xor(a.bits, b.bits)) FROM hc a JOIN hc b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 6").fetchall()
+    assert links == {(a, b): n for a, b, n in every} and sum(n == 0 for n in links.values()) >= 49
+    assert all(r.n_a == r.n_b for r in got.itertuples() if r.distance == 0)
