@@ -23,6 +23,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ CAPACITY = 4096
 END_ID = 1
 MEMO_BYTES = 120 << 20  # for a worker's chunks and their ids, with what Python needs for an entry
 ENTRY_BYTES = 190
+DIGITS = "0123456789"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII's, without the apostrophe
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKED = PIECES + ", part int, place long"
 RESULT = PIECES + ", sequence_id long, offset long"
@@ -45,20 +49,38 @@ RESULT = PIECES + ", sequence_id long, offset long"
 
 class Encoder(dict):
     """Ids of blank-separated chunks, as bytes.  Chunks never share a token, so the ids of a text are
-    those of its chunks in turn; frequent chunks are looked up instead of encoded again."""
+    those of its chunks in turn; frequent chunks are looked up instead of encoded again.
+
+    Nor do a chunk's runs of letters, of ASCII signs and its single digits.  A run that the normaliser changes letter
+    by letter at most goes straight to the tokeniser's model, spelled as its normaliser and byte level spell those letters;
+    all else, apostrophes among it (they open endings such as 's), goes through the whole tokeniser."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.spelled = {ord(c): c for c in SIGNS + DIGITS}
+        letters = ""
+        # Latin, Greek and Cyrillic: no two letters of these compose.  A letter joins its neighbours' run, a mark doesn't.
+        for c in map(chr, range(0x41, 0x530)):
+            plain = self.tokenizer.normalizer.normalize_str(c)
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{plain}a")
+            if len(plain) == len(parts) == 1:
+                self.spelled[ord(c)] = parts[0][0][1:-1]
+                letters += c
+        self.runs = re.compile(f"[{letters}]+|[{DIGITS}]|[{re.escape(SIGNS)}]+")
+        self.plain = re.compile(f"[{letters}{DIGITS}{re.escape(SIGNS)}]+")
         self.size = 0
 
     def __missing__(self, chunk: str) -> bytes:
-        # An ASCII letter and a sign never share a token; other letters may lower-case to a letter and a mark.
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isascii() and chunk[-2].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        else:
+        if "<|" in chunk or not self.plain.fullmatch(chunk):
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
+        elif len(runs := self.runs.findall(chunk)) > 1:
+            ids = b"".join(map(self.__getitem__, runs))
+        else:
+            found = [token.id for token in self.model.tokenize(chunk.translate(self.spelled))]
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= 64:
             if self.size >= MEMO_BYTES:
                 for old in list(self)[len(self) // 2 :]:  # the first chunks met are mostly frequent ones

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -352,6 +353,23 @@ def test_trailing_signs(text):
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.characters(min_codepoint=0x20, max_codepoint=0x52F) | st.sampled_from("'<|,. 0aé"), max_size=20).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_runs_have_the_tokenisers_ids(text):
+    encoder = op06_packing.encoder_of(op06_packing.public_vocabulary("word_bpe_49k.json"))
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_need_the_model_only():
+    """Most of the time goes into words not met before: those of letters, digits and signs take no turn through the whole tokeniser."""
+    encoder = op06_packing.Encoder(op06_packing.public_vocabulary("word_bpe_49k.json"))
+    whole, seen = encoder.tokenizer, []
+    encoder.tokenizer = SimpleNamespace(encode=lambda chunk, **more: seen.append(chunk) or whole.encode(chunk, **more))
+    text = "Chunks, ÉTIONELLE.%%% straße's (2024-01-31) it's İ. ΣΑΣ Ёлка\ne\u0301t ... <|endoftext|> a|b"
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert seen == ["straße's", "it's", "İ.", "e\u0301t", "<|endoftext|>"]
+
+
 ROW_LOCAL = {
     "rules": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
     "winnowing": ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
